@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from lexquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from lexquarry.llm.packing import op2_packing
 from lexquarry.llm.sharding import op4_sharding
+from lexquarry.llm.transducer import op10_bpe
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
