@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from lexquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lexquarry.llm.packing import op2_packing
+from lexquarry.llm.quality import op7_quality
+from lexquarry.llm.secrets import op9_secrets
 from lexquarry.llm.sharding import op4_sharding
 from lexquarry.llm.transducer import op10_bpe
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
 
