@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of about ``PASSAGE`` bytes cut at white space.  Every passage
-of every text is encoded from its own characters; a gated attention network
+A document is a bag of even passages of up to about ``PASSAGE`` bytes, cut at
+white space.  Every passage of every text is encoded from its own characters; a gated attention network
 learns from document labels alone which passages speak for the document, and
 the attention-weighted passage representation is scored.
 """
@@ -35,15 +35,17 @@ def encode_passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 
     Features: share of each ASCII byte and of groups of other bytes, of each
     pair of neighbouring byte classes, of word lengths, the share of words that repeat an
-    earlier one of the passage, and the logarithm of the passage's length.  A text without bytes has one passage of zeros.
+    earlier one of the passage, and the logarithm of the passage's length, which only
+    tells how far to trust the rest.  A text without bytes has one passage of zeros.
     """
     bag, first, last = [], [], []
     for n, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
         edges = [start]
         if end - start > PASSAGE:
             blanks = np.flatnonzero(_BLANK[data[start:end]]) + start
-            while end - edges[-1] > PASSAGE:
-                at = int(np.searchsorted(blanks, edges[-1] + PASSAGE))
+            even = (end - start) // -(-(end - start) // PASSAGE) + 1
+            while end - edges[-1] > even:
+                at = int(np.searchsorted(blanks, edges[-1] + even))
                 edges.append(int(blanks[at]) + 1 if at < len(blanks) else end)
         if edges[-1] < end or len(edges) == 1:
             edges.append(end)
@@ -109,7 +111,9 @@ class GatedAttention:
 
     def forward(self, x: np.ndarray, bag: np.ndarray, bags: int) -> dict:
         p = self.p
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
+        size = np.expm1(8 * x[:, -1:])
+        x = np.clip((x - self.mean) / self.scale * (size / (size + 64)), -8, 8)  # short passages lean to the mean
+        x[:, -1] = 0
         h = np.tanh(x @ p["E"] + p["e"])
         v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         s = (v * u) @ p["w"]
