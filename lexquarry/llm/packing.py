@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.wordbpe import WordCache, load, slices, small_batches, split_words
+from lexquarry.llm.wordbpe import WordCache, chunks, load, merged, per_worker, slices, small_batches
 from lexquarry.plans.storage import width, written
 
 CAPACITY = 4096
@@ -148,20 +148,19 @@ def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, capa
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        tokenizer = load(path)
-        cache = WordCache(
-            lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        )
+        tokenizer = per_worker(("tokenizer", path), lambda: load(path))
+        fill = lambda words: [np.array(ids, "<u4").tobytes() for ids in merged(tokenizer, words)]
+        cache = per_worker(("ids", path), lambda: WordCache(fill, b"".join))
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = [split_words(t) for t in texts]
-            of = cache.ready([w for w in words if w])
+            words = [chunks(t) for t in texts]
+            of = cache.ready(words)
             out: list[tuple] = []
             for doc_id, text, own in zip(batch.column(0).to_pylist(), texts, words, strict=True):
-                if own is None:
-                    ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-                else:
-                    ids = b"".join(map(of.__getitem__, own)) + end
+                parts = list(map(of.__getitem__, own))
+                if None in parts:
+                    parts = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+                ids = b"".join(parts) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

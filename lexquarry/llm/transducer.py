@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.wordbpe import WordCache, load, slices, small_batches, split_words
+from lexquarry.llm.wordbpe import WordCache, chunks, load, merged, per_worker, slices, small_batches, split_words
 
 #: A transducer file: a header of section lengths, then these arrays in order.
 SECTIONS = (("keys", "<i8"), ("targets", "<i4"), ("skips", "<i4"), ("final", "u1"), ("starts", "<i4"), ("ids", "<i4"))
@@ -126,15 +126,22 @@ class Transducer:
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n) over the plain texts of all rows; counted per task before the shuffle."""
 
+    def words_of(seen: Counter) -> pa.RecordBatch:
+        words: Counter = Counter()
+        for chunk, n in seen.items():
+            for word in split_words(chunk.decode()) or ():
+                words[word] += n
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
+
     def count(batches):
         seen: Counter = Counter()
         for batch in (part for whole in batches for part in slices(whole)):
             for text in batch.column(1).to_pylist():
-                seen.update(split_words(text or "") or ())
+                seen.update(chunks(text))
             if len(seen) > 300_000:
-                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
+                yield words_of(seen)
                 seen.clear()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+        yield words_of(seen)
 
     return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -148,8 +155,7 @@ def build_lexicon(rows: DataFrame, path: str | None = None, max_words: int = 1 <
     spark = rows.sparkSession
     top = word_counts(rows).orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()
     words = sorted(r[0].encode() for r in top)
-    encoded = load(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-    data = compile_words(words, [e.ids for e in encoded])
+    data = compile_words(words, merged(load(path), [w.decode() for w in words]))
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     local = os.path.join(tempfile.mkdtemp(prefix="spark-lexicon-"), name)
     with open(local, "wb") as out:
@@ -172,30 +178,33 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = ", ids array<int>, decoded string" if keep_ids else ""
 
     def run(batches):
-        tokenizer = load(path)
+        tokenizer = per_worker(("tokenizer", path), lambda: load(path))
         token = tokenizer.id_to_token
         lexicon = Transducer(SparkFiles.get(name))
 
         def fill(words: list[str]):
             ranks = lexicon.ranks([w.encode() for w in words]).tolist()
-            unseen = iter(tokenizer.encode_batch_fast([w for w, r in zip(words, ranks, strict=True) if r < 0], add_special_tokens=False))
+            unseen = iter(merged(tokenizer, [w for w, r in zip(words, ranks, strict=True) if r < 0]))
             for rank in ranks:
-                ids = lexicon.ids_of(rank) if rank >= 0 else next(unseen).ids
+                ids = lexicon.ids_of(rank) if rank >= 0 else next(unseen)
                 yield " ".join(map(str, ids)), " ".join(map(token, ids))
 
-        cache = WordCache(fill, 300_000)
+        def join(parts: list[tuple[str, str]]) -> tuple[str, str]:
+            return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+
+        cache = per_worker(("digests", path, name), lambda: WordCache(fill, join, 200_000))
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = [split_words(t) for t in texts]
-            of = cache.ready([w for w in words if w])
+            words = [chunks(t) for t in texts]
+            of = cache.ready(words)
             out = []
             for text, own in zip(texts, words, strict=True):
-                if own is None:
+                parts = list(map(of.__getitem__, own))
+                if None in parts:
                     found = tokenizer.encode(text, add_special_tokens=False).ids
                     ids, decoded = " ".join(map(str, found)), tokenizer.decode(found, skip_special_tokens=False)
                 else:
-                    parts = [of[w] for w in own]
-                    ids, decoded = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+                    ids, decoded = join(parts)
                 row = [ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 out.append([*row, [int(x) for x in ids.split()], decoded] if keep_ids else row)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())[: 5 if keep_ids else 3]

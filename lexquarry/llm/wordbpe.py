@@ -3,7 +3,7 @@
 That tokenizer normalises (NFC, white space, lower case), splits a text into
 words by a pattern and merges within each word only, so a word's ids never
 depend on its neighbours.  Texts of plain characters are split here and looked
-up word by word; a text holding any other character, or the start of a special
+up chunk by chunk; a text holding any other character, or the start of a special
 token's string, goes whole through the tokenizers library.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -47,31 +47,61 @@ def load(path: str | None = None):
     return tokenizer
 
 
-def split_words(text: str) -> list[str] | None:
-    """The words of a plain text, or None when only the library may split it."""
-    return None if _ODD.search(text) else _WORD.findall(text.lower())
+def chunks(text: str | None) -> list[bytes]:
+    """The lower-cased text between runs of ASCII white space; words never cross these."""
+    return (text or "").lower().encode().split()
+
+
+def split_words(chunk: str) -> list[str] | None:
+    """The words of a plain chunk, or None when only the library may split its text."""
+    return None if _ODD.search(chunk) else _WORD.findall(chunk)
+
+
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others from 256 on.
+_PRINTED = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+_WRITTEN = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def merged(tokenizer, words: list[str]) -> list[list[int]]:
+    """Ids of single words, merged exactly by the library's model."""
+    merge = tokenizer.model.tokenize
+    return [[t.id for t in merge(w.encode().decode("latin-1").translate(_WRITTEN))] for w in words]
+
+
+_KEPT: dict = {}
+
+
+def per_worker(key: object, make: Callable[[], object]):
+    """What ``make`` returns, made once in each Python worker and kept for its later tasks."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 class WordCache:
-    """word -> value, filled by ``fill(words)`` and emptied when it is full.
+    """chunk -> value: its words' values joined, or None for a chunk that isn't plain.
 
-    It lives as long as the Python worker; its bound keeps the worker's memory
-    flat and has no effect on results.
+    ``fill(words)`` gives values of words.  The cache may serve all tasks of a
+    worker; its bound keeps memory flat and has no effect on results.
     """
 
-    def __init__(self, fill: Callable[[list[str]], Iterator], bound: int = 400_000):
-        self.fill, self.bound, self.of = fill, bound, {}
+    def __init__(self, fill: Callable[[list[str]], Iterable], join: Callable[[list], object], bound: int = 300_000):
+        self.fill, self.join, self.bound, self.of, self.words = fill, join, bound, {}, {}
 
-    def ready(self, lists: list[list[str]]) -> dict:
-        """The mapping, holding every word of ``lists``."""
+    def ready(self, lists: list[list[bytes]]) -> dict:
+        """The mapping, holding every chunk of ``lists``."""
         new = set().union(*lists) - self.of.keys()
         if len(self.of) + len(new) > self.bound:
             self.of.clear()
             new = set().union(*lists)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.of.update(zip(part, self.fill(part), strict=True))
+        split = {c: split_words(c.decode()) for c in new}
+        words = list(set().union(*filter(None, split.values())) - self.words.keys())
+        if len(self.words) + len(words) > self.bound:
+            self.words.clear()
+            words = list(set().union(*filter(None, split.values())))
+        self.words.update(zip(words, self.fill(words), strict=True))
+        get = self.words.__getitem__
+        self.of.update((c, None if w is None else self.join(list(map(get, w)))) for c, w in split.items())
         return self.of
 
 
