@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from lexquarry.llm.jaccard import op1_jaccard
 from lexquarry.llm.packing import op2_packing
 from lexquarry.llm.quality import op7_quality
 from lexquarry.llm.secrets import op9_secrets
@@ -10,6 +11,7 @@ from lexquarry.llm.sharding import op4_sharding
 from lexquarry.llm.transducer import op10_bpe
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
     "op7_quality": op7_quality,
