@@ -9,10 +9,12 @@ from lexquarry.llm.quality import op7_quality
 from lexquarry.llm.secrets import op9_secrets
 from lexquarry.llm.sharding import op4_sharding
 from lexquarry.llm.transducer import op10_bpe
+from lexquarry.llm.vectors import OP3_SQL, op3_embeddings
 
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_packing": op2_packing,
+    "op3_embeddings": op3_embeddings,
     "op4_sharding": op4_sharding,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_embeddings": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
