@@ -9,6 +9,7 @@ from lexquarry.llm.quality import op7_quality
 from lexquarry.llm.secrets import op9_secrets
 from lexquarry.llm.sharding import op4_sharding
 from lexquarry.llm.transducer import op10_bpe
+from lexquarry.llm.suffix_tree import op6_suffix_tree
 from lexquarry.llm.vectors import OP3_SQL, op3_embeddings
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_embeddings": op3_embeddings,
     "op4_sharding": op4_sharding,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
