@@ -202,6 +202,19 @@ def score_quality(docs: DataFrame, model: GatedAttention, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
 
 
+def keep_quality(docs: DataFrame, model: GatedAttention, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores ``least`` or more."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, at, 2_000_000)):
+            x, bag = encode_texts(batch.column(at))
+            yield batch.filter(pa.array(model.scores(x, bag, batch.num_rows) >= least))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 

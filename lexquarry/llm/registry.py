@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lexquarry.llm.jaccard import op1_jaccard
+from lexquarry.llm.lines import op5_lines
 from lexquarry.llm.packing import op2_packing
 from lexquarry.llm.quality import op7_quality
 from lexquarry.llm.secrets import op9_secrets
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_embeddings": op3_embeddings,
     "op4_sharding": op4_sharding,
+    "op5_lines": op5_lines,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,

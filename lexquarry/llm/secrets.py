@@ -114,6 +114,36 @@ def scan_secrets(
     return paths.select("doc_id", "blob", "findings"), added
 
 
+def redact_secrets(docs: DataFrame, ledger: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every finding of ``ledger`` in their texts replaced by ``mark``; overlapping ones once.
+
+    Rows are matched by blob; texts without findings stay as they are, null included.
+    """
+    blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    hits = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    joined = docs.withColumn("_blob", blob).join(hits.dropDuplicates(["_blob"]), "_blob", "left").drop("_blob")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def mask(text: str, spans: list[dict]) -> str:
+        out, done = [], 0
+        for span in sorted(spans, key=lambda f: f["start"]):
+            if span["start"] >= done:
+                out += [text[done : span["start"]], mark]
+            done = max(done, span["end"])
+        return "".join(out) + text[done:]
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text_col))):
+            spans = batch.column(batch.schema.get_field_index("_findings")).to_pylist()
+            texts = [mask(t, f) if f else t for t, f in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), spans, strict=True)]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    small_batches(docs.sparkSession)
+    return joined.mapInArrow(run, docs.schema)
+
+
 def span_digest(findings: str = "findings") -> tuple:
     """Columns n_assign, n_access, n_hex, base_sha256 and spans over a findings column."""
     base = [r.kind for r in BASE_RULES]
