@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, FloatType, IntegerType
 
 #: Queries that one pass over the table holds at once; more go in further passes.
 QUERY_BLOCK = 4096
+FLOATS = ArrayType(FloatType())
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
@@ -28,7 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(FLOATS)
 def pseudo_embedding(seed: pd.Series) -> pd.Series:
     """A unit normal vector drawn from each seed (the hash of a text)."""
     out = []
@@ -47,7 +49,7 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray] | None = N
     if model is None:
         return chunks.withColumn("embedding", pseudo_embedding(F.xxhash64(said)))
 
-    @pandas_udf("array<float>")
+    @pandas_udf(FLOATS)
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(np.asarray(model(texts.tolist()), np.float32)))
 
@@ -115,7 +117,7 @@ def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 1
     centers = np.array(fitted.clusterCenters())
 
     def near_cells(number: int):
-        @pandas_udf("array<int>")
+        @pandas_udf(ArrayType(IntegerType()))
         def run(v: pd.Series) -> pd.Series:
             x = np.stack(v.to_numpy())
             far = (centers**2).sum(1) - 2 * x @ centers.T

@@ -36,7 +36,7 @@ def _(docs):
     return docs.select("doc_id", F.array_join(X.citations(C("text")), ",").alias("citations"))
 
 
-@query("court_infer", "judgments", sql=f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'SUPREME COURT OF INDIA' WHEN 1 THEN 'HIGH COURT OF ' || n_name ELSE CASE WHEN o_orderkey % 4 = 1 THEN 'Bombay High Court' END END AS court, CASE WHEN o_orderkey % 3 < 2 THEN 'extracted' WHEN o_orderkey % 4 = 1 THEN 'inferred' ELSE 'not_found' END AS status FROM {_ORDERS}")
+@query("court_infer", "judgments", sql=f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'SUPREME COURT OF INDIA' WHEN 1 THEN trim(regexp_extract('HIGH COURT OF ' || n_name, '(?i)HIGH COURT OF [A-Z ]+')) ELSE CASE WHEN o_orderkey % 4 = 1 THEN 'Bombay High Court' END END AS court, CASE WHEN o_orderkey % 3 < 2 THEN 'extracted' WHEN o_orderkey % 4 = 1 THEN 'inferred' ELSE 'not_found' END AS status FROM {_ORDERS}")
 def _(docs):
     return docs.select("doc_id", X.court(C("text")).alias("c")).select("doc_id", C("c.value").alias("court"), "c.status")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from lexquarry.functions import text as T
 
@@ -34,15 +35,18 @@ def read_texts(spark: SparkSession, path: str, suffixes: str = "txt", exclude: s
 
 def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENT) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) of JSON files (objects or arrays) and JSON lines below ``path``."""
-    reader = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
-    lines = reader.option("pathGlobFilter", "*.jsonl").json(path)
-    whole = reader.option("pathGlobFilter", "*.json").option("multiLine", "true").json(path)
-    rows = _with_path(lines).unionByName(_with_path(whole))
-    return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("path", "_corrupt_record")
-
-
-def _with_path(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.col("_metadata.file_path").alias("path"))
+    fields = StructType.fromDDL(schema)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    lines = reader.option("pathGlobFilter", "*.jsonl").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.from_json("value", fields).alias("r"))
+    whole = reader.option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    whole = whole.select(F.col("_metadata.file_path").alias("path"), "value", F.explode_outer(F.from_json("value", ArrayType(fields))).alias("r"))
+    rows = lines.unionByName(whole).filter("trim(value) <> ''")
+    said = F.lit(False)
+    for name in fields.names:  # a line that isn't an object has no field at all
+        said |= F.col(f"r.{name}").isNotNull()
+    good = F.coalesce(said, F.lit(False))
+    return rows.filter(good).select("path", "r.*"), rows.filter(~good).select("path", F.col("value").alias("_corrupt_record"))
 
 
 def qa_rows(docs: DataFrame) -> DataFrame:
