@@ -14,6 +14,7 @@ import hashlib
 import itertools
 import os
 import tempfile
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -156,7 +157,7 @@ def build_lexicon(rows: DataFrame, path: str | None = None, max_words: int = 1 <
     top = word_counts(rows).orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()
     words = sorted(r[0].encode() for r in top)
     data = compile_words(words, merged(load(path), [w.decode() for w in words]))
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}-{uuid.uuid4().hex[:8]}.bin"  # a session takes each name once
     local = os.path.join(tempfile.mkdtemp(prefix="spark-lexicon-"), name)
     with open(local, "wb") as out:
         out.write(data)
@@ -192,7 +193,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def join(parts: list[tuple[str, str]]) -> tuple[str, str]:
             return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
-        cache = per_worker(("digests", path, name), lambda: WordCache(fill, join, 200_000))
+        cache = per_worker(("digests", path, name.rpartition("-")[0]), lambda: WordCache(fill, join, 200_000))
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             words = [chunks(t) for t in texts]
