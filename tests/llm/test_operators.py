@@ -1,0 +1,301 @@
+"""Each numbered operator against a brute-force version on small documents, hard cases included."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from lexquarry.llm.components import components
+from lexquarry.llm.exact_dedup import exact_dedup
+from lexquarry.llm.jaccard import Likeness, jaccard_components
+from lexquarry.llm.lines import drop_repeated_lines
+from lexquarry.llm.packing import best_fit, pack_documents, plan_packing
+from lexquarry.llm.quality import classify_quality, keep_quality, fit_quality
+from lexquarry.llm.secrets import BASE_RULES, redact_secrets, scan_secrets, span_digest
+from lexquarry.llm.sharding import minimax_cuts, plan_shards, shard_documents
+from lexquarry.llm.suffix_tree import held_out, score_texts
+from lexquarry.llm.transducer import Transducer, compile_words, encode_decode
+from lexquarry.llm.vectors import near_vectors
+from lexquarry.llm.wordbpe import load
+from tests.llm.fixtures import WORD, LOW, documents, frame, grouped, shingles, squeezed
+
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+ROWS = documents()
+TEXTS = {i: t for i, t in ROWS if i is not None}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def test_jaccard(docs):
+    got = jaccard_components(docs).collect()
+    assert len(got) == len(ROWS)
+    sets = {i: shingles(t, 4) for i, t in TEXTS.items()}
+    link = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and bool(sets[b])
+    want = grouped(sorted(sets), link)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
+
+
+@pytest.mark.parametrize("share", [Fraction(85, 100), Fraction(4, 5)])
+def test_parts_bound_the_difference(share):
+    like = Likeness(share)
+    for level in range(10):
+        parts, spare = like.parts(level)
+        for a in range(like.bottom(level), like.bottom(level + 1)):
+            for b in range(a, math.floor(a / share) + 1):
+                assert a + b - 2 * like.need(a, b) <= parts - spare
+
+
+def test_jaccard_many_near_copies(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.integers(0, 7)):
+            words[rng.integers(0, 60)] = f"x{rng.integers(0, 9999)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingles(t, 4) for i, t in rows}
+    want = grouped(sorted(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_components_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
+
+
+def test_packing(docs):
+    rows = pack_documents(docs).collect()
+    tokenizer = load()
+    want = Counter()
+    for i, t in ROWS:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        for p, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4").tobytes()
+            want[(i, p, at, len(part) // 4, zlib.crc32(part))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    at = defaultdict(list)
+    for r in rows:
+        at[r.sequence_id].append((r.offset, r.length))
+    for pieces in at.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:], strict=False)) and sum(n for _, n in pieces) <= 4096
+    assert len(at) == -(-sum(r.length for r in rows) // 4096)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_plan_uses_every_piece(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(4097, np.int64)
+    np.add.at(counts, rng.integers(1, [200, 4097, 1400, 2500][seed], 900), 1)
+    runs = plan_packing(counts)
+    used = np.zeros(4097, np.int64)
+    for lengths, times in runs:
+        assert sum(lengths) <= 4096
+        np.add.at(used, list(lengths), times)
+    assert (used == counts).all()
+    assert sum(k for _, k in runs) <= sum(k for _, k in best_fit(counts, 4096))
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(12, 8))
+    rows = []
+    for i in range(120):
+        v = base[i % 12] + rng.normal(size=8) * [0, 0.02, 0.2][i % 3]
+        rows.append((i, [float(x) for x in v], i % 2))
+    rows += [(200, None, 0), (201, [], 0), (202, [0.0] * 8, 0), (203, [float("nan")] * 8, 0), (204, [1.0, None], 1), (205, rows[0][1], None), (206, rows[0][1], 0), (207, [1.0, 2.0], 0), (208, [2.0, 4.0], 0)]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    vec = {i: (np.array(v, np.float32).astype(float), l) for i, v, l in rows if v and None not in v and l is not None and np.isfinite(v).all() and any(v)}
+
+    def link(a, b):
+        if a not in vec or b not in vec or vec[a][1] != vec[b][1] or len(vec[a][0]) != len(vec[b][0]):
+            return False
+        x, y = vec[a][0], vec[b][0]
+        return x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98
+
+    ids = [r[0] for r in rows]
+    want = grouped(ids, link)
+    assert len(got) == len(rows)
+    for i in ids:
+        assert (got[i].component_id, got[i].n_links, got[i].kept) == (want[i], sum(link(i, j) for j in ids if j != i), want[i] == i)
+
+
+def test_vectors_empty(spark):
+    assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_sharding(docs):
+    rows = shard_documents(docs, 5).collect()
+    assert len(rows) == len(ROWS)
+    of = defaultdict(set)
+    by_crc = {zlib.crc32((t or "").encode()): t or "" for _, t in ROWS}
+    for r in rows:
+        of[by_crc[r.text_crc32]].add(r.shard)
+        assert r.size == len(by_crc[r.text_crc32].encode()) + 8 and r.law == "bytes" and r.grown_shard is None
+    assert all(len(s) == 1 for s in of.values())
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots))) and 0 <= shard < 5
+
+
+def test_minimax_is_the_least_capacity():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        sizes = rng.integers(1, 50, rng.integers(1, 14)).tolist()
+        k = int(rng.integers(1, 6))
+
+        def least(left, parts):
+            if parts == 1 or not left:
+                return sum(left)
+            return min(max(sum(left[:i]), least(left[i:], parts - 1)) for i in range(1, len(left) + 1))
+
+        cuts = [0, *minimax_cuts(sizes, k)]
+        assert len(cuts) - 1 <= k and max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)) == least(sizes, k)
+    alone, firsts = plan_shards([(0, 5), (1, 900), (2, 5), (3, 5), (4, 5)], 3)
+    assert alone == [1] and len(firsts) == 1
+
+
+def test_lines(docs):
+    got = {r.doc_id: r for r in drop_repeated_lines(docs).collect() if r.doc_id is not None}
+    runs = [i for i, t in TEXTS.items() if t and t.count("\n") == 2 and len(t.split("\n")[1].split()) == 60]
+    assert len(runs) == 4
+    first, *later = sorted(runs)
+    assert got[first].n_removed == 0
+    for i in later:
+        lines = TEXTS[i].split("\n")
+        assert got[i].removed == [1] and got[i].text == lines[0] + "\n" + lines[2]
+    whole = {}
+    for i in sorted(TEXTS):  # texts of one line: later copies of 50 words or more go
+        t = TEXTS[i] or ""
+        if "\n" not in t:
+            key, long = t.replace("\t", " ").rstrip(" "), len(WORD.findall(t)) >= 50
+            assert got[i].removed == ([0] if long and key in whole else []), i
+            whole.setdefault(key, i)
+
+
+def test_suffix_tree(docs):
+    rows = score_texts(docs).collect()
+    assert len(rows) == len(ROWS)
+    tokens = lambda t: WORD.findall((t or "").translate(LOW)) + [None]
+    seen = Counter(w for i, t in ROWS if not held_out(i) for w in tokens(t))
+    total, kinds = sum(seen.values()), len(seen)
+    for r in rows:
+        if r.doc_id is None:
+            continue
+        own = tokens(TEXTS[r.doc_id])
+        base = sum(math.log10((seen[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in own)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(seen[w] > 0 for w in own), total)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) and r.base_score == pytest.approx(base) and r.score < 0
+    test = [r for r in rows if r.held_out and r.n_tokens > 20]
+    assert sum(r.score for r in test) > sum(r.base_score for r in test)
+
+
+def test_suffix_tree_nothing_to_learn(spark, empty):
+    assert score_texts(empty).count() == 0
+    ids = [i for i in range(200) if held_out(i)][:3]
+    rows = score_texts(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")).collect()
+    assert len(rows) == 3 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(2, 9)))
+    good = [(i, " ".join(word() for _ in range(rng.integers(5, 200))) + ".") for i in range(120)]
+    junk = [(i + 500, " | ".join(word().upper() + "$$$" for _ in range(rng.integers(5, 200)))) for i in range(120)]
+    rows = good + junk + [(900, None), (901, ""), (902, good[0][1]), (902, good[0][1])]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in junk] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    got = classify_quality(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    test = [r for r in got if r.held_out and r.doc_id < 900]
+    assert sum(r.predicted == (r.doc_id < 500) for r in test) / len(test) > 0.95
+    kept = keep_quality(docs, fit_quality(docs, labels))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
+    assert classify_quality(docs, labels.limit(0)).count() == len(rows)
+    assert classify_quality(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_exact_dedup(docs, whole):
+    got = exact_dedup(docs, digest_all=whole).collect()
+    assert len(got) == len(ROWS)
+    groups = defaultdict(list)
+    for i, t in ROWS:
+        groups[squeezed(t)].append(i)
+    for r in got:
+        if r.doc_id is not None:
+            own = groups[squeezed(TEXTS[r.doc_id])]
+            keep = min(i for i in own if i is not None)
+            assert (r.keep_id, r.group_size, r.kept) == (keep, len(own), r.doc_id == keep)
+            assert r.text_sha256 in ((sha(squeezed(TEXTS[r.doc_id])),) if whole or len(own) > 1 else (None, sha(squeezed(TEXTS[r.doc_id]))))
+
+
+def spans_of(text):
+    import re
+
+    found = []
+    for n, rule in enumerate(BASE_RULES):
+        for m in re.finditer(rule.pattern, text, re.ASCII | (re.IGNORECASE if rule.any_case else 0)):
+            if len(m.group(rule.group)) >= rule.least:
+                found.append((m.start(), n, m.end(), rule.kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_secrets_and_ledger(docs):
+    found, ledger = scan_secrets(docs)
+    rows = found.select("doc_id", *span_digest()).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        if r.doc_id is not None:
+            want = spans_of(TEXTS[r.doc_id] or "")
+            assert (r.spans, r.base_sha256) == (want, sha(want))
+    assert ledger.count() == len({t or "" for _, t in ROWS})
+    again, added = scan_secrets(docs, ledger=ledger)
+    assert added.count() == 0 and sorted(map(str, again.collect())) == sorted(map(str, found.collect()))
+    clean = redact_secrets(docs, ledger)
+    assert clean.columns == docs.columns and clean.count() == len(ROWS)
+    _, left = scan_secrets(clean)
+    assert left.filter("size(findings) > 0").count() == 0
+
+
+def test_bpe_round(docs):
+    tokenizer = load()
+    rows = encode_decode(docs, keep_ids=True).collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        if r.doc_id is not None:
+            ids = tokenizer.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+            assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == sha(" ".join(map(str, ids)))
+            assert r.decoded == tokenizer.decode(ids, skip_special_tokens=False) and r.decoded_sha256 == sha(r.decoded)
+
+
+def test_transducer_is_minimal_and_exact(tmp_path):
+    words = sorted({f"{a}{b}ing".encode() for a in "abcdef" for b in "xyz"} | {b"a", b"ab"})
+    path = tmp_path / "t.bin"
+    path.write_bytes(compile_words(words, [[i, i + 1] for i in range(len(words))]))
+    t = Transducer(str(path))
+    assert t.ranks(words).tolist() == list(range(len(words))) and t.ids_of(3) == [3, 4]
+    assert t.ranks([b"", b"axin", b"axingo", b"zz", b"abx"]).tolist() == [-1] * 5
+    assert len(t.final) < 12  # the suffix "ing" is one path, whatever stands before it
+
+
+def test_empty_tables(empty):
+    for rows in (jaccard_components(empty), pack_documents(empty), shard_documents(empty), drop_repeated_lines(empty), exact_dedup(empty), scan_secrets(empty)[0], encode_decode(empty)):
+        assert rows.count() == 0
