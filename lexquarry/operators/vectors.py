@@ -113,7 +113,8 @@ def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 1
     from pyspark.ml.functions import array_to_vector
 
     unit = points.select(F.col(key), normalized(F.col("embedding")).alias("v"))
-    fitted = KMeans(k=cells, seed=3, featuresCol="f").fit(unit.orderBy(F.xxhash64(key), key).limit(sample).select(array_to_vector("v").alias("f")))
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(points.count(), 1))
+    fitted = KMeans(k=cells, seed=3, featuresCol="f").fit(unit.filter(share).select(array_to_vector("v").alias("f")))
     centers = np.array(fitted.clusterCenters())
 
     def near_cells(number: int):
