@@ -66,7 +66,8 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, where: dict | None
     for column, value in (where or {}).items():
         points = points.filter(F.col(column) == value)
     rows = points.filter(F.size(vector) > 0).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1 + _blocks(queries))))
+    blocks = 1 + queries.count() // QUERY_BLOCK
+    asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
     def near(batches, ids: np.ndarray, matrix: np.ndarray):
         for batch in batches:
@@ -82,7 +83,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, where: dict | None
             )
 
     parts = []
-    for block in range(1 + _blocks(queries)):
+    for block in range(blocks):
         table = asked.filter(F.col("block") == block).toArrow()  # about QUERY_BLOCK rows
         if not table.num_rows:
             continue
@@ -100,10 +101,6 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, where: dict | None
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> int:
-    return queries.count() // QUERY_BLOCK
-
-
 def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 8, sample: int = 10_000, key: str = "vec_id") -> DataFrame:
     """Approximate nearest neighbours: k-means cells fitted on a bounded sample, ``probes`` cells joined, exact scores.
 
