@@ -101,7 +101,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, where: dict | None
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 8, sample: int = 10_000, key: str = "vec_id") -> DataFrame:
+def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 12, sample: int = 10_000, key: str = "vec_id") -> DataFrame:
     """Approximate nearest neighbours: k-means cells fitted on a bounded sample, ``probes`` cells joined, exact scores.
 
     Every point is indexed in its cell; a query visits its nearest cells only.
