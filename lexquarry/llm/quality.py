@@ -157,18 +157,18 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> GatedAttention:
-    """Fit on at most ``per_class`` labelled documents of each label outside fold 1.
+    """Fit on about ``per_class`` labelled documents of each label outside fold 1, or all when there are fewer.
 
-    The sample is those with the smallest hashes of their ids, so it is the same on
+    The sample is those whose hashed ids lie under the share wanted, so it is the same on
     every run.  Labels other than 0 and 1 are ignored; with no document of one
     of the labels the untrained network is returned.
     """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     marks = marks.filter(fold(F.col("_id")) != 1).dropDuplicates(["_id"])
-    order = [F.xxhash64(F.col("_id")), F.col("_id")]
-    picks = [marks.filter(F.col("label") == v).orderBy(*order).limit(per_class) for v in (0, 1)]
-    chosen = F.broadcast(picks[0].unionByName(picks[1]))  # 2 * per_class rows at most
+    counts = dict(marks.groupBy("label").count().collect())
+    share = F.when(F.col("label") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
+    chosen = F.broadcast(marks.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30)))  # about 2 * per_class rows
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):

@@ -75,8 +75,11 @@ def near_vectors(
     reach = math.sqrt(2 - 2 * threshold)
     centers = None
     if total:
-        sample = classes.filter(F.size("v") == wide).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
-        x = np.asarray(sample.column("v").combine_chunks().values, np.float64).reshape(-1, wide)
+        share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / total)  # about SAMPLE rows by the hash of their ids
+        sample = classes.filter((F.size("v") == wide) & share).select("v").toArrow()
+        x = np.asarray(sample.column("v").combine_chunks().flatten(), np.float64).reshape(-1, wide)
+        if not len(x):
+            x = np.ones((1, wide))
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         centers = spherical_kmeans(x, max(1, min(CELLS, len(x), -(-largest // BLOCK))))

@@ -59,7 +59,9 @@ def test_parts_bound_the_difference(share):
                 assert a + b - 2 * like.need(a, b) <= parts - spare
 
 
-def test_jaccard_many_near_copies(spark):
+@pytest.mark.parametrize("block", [1024, 40])
+def test_jaccard_many_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr("lexquarry.llm.jaccard.BLOCK_SETS", block)  # small blocks: the family is crowded and compared block by block
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     rows = []
