@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.wordbpe import WordCache, chunks, load, merged, per_worker, slices, small_batches, split_words
+from lexquarry.plans.storage import written
 
 #: A transducer file: a header of section lengths, then these arrays in order.
 SECTIONS = (("keys", "<i8"), ("targets", "<i4"), ("skips", "<i4"), ("final", "u1"), ("starts", "<i4"), ("ids", "<i4"))
@@ -148,13 +149,20 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def build_lexicon(rows: DataFrame, path: str | None = None, max_words: int = 1 << 16) -> str:
-    """Compile the ``max_words`` most frequent words and send the file to all executors.
+    """Compile the most frequent words, ``max_words`` at most, and send the file to all executors.
 
-    The bound is the lexicon's size by design; every other word is merged
-    exactly, so it never changes a result.  Returns the file's name there.
+    Counts are put in some 900 logarithmic classes first; the words of the highest classes that fit
+    are read, so no task sends the driver more than the lexicon.  The bound is the lexicon's size by
+    design; every other word is merged exactly, so it never changes a result.  Returns the file's name there.
     """
     spark = rows.sparkSession
-    top = word_counts(rows).orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()
+    counts = written(word_counts(rows).withColumn("class", F.floor(16 * F.log2("n")).cast("int")), "words")
+    left, least = max_words, 1 << 30
+    for level, n in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, level
+    top = counts.filter(F.col("class") >= least).select("word").collect()
     words = sorted(r[0].encode() for r in top)
     data = compile_words(words, merged(load(path), [w.decode() for w in words]))
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}-{uuid.uuid4().hex[:8]}.bin"  # a session takes each name once
