@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import cached_property
+from functools import cached_property, lru_cache
 from itertools import combinations
 from math import ceil, floor
 
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.components import Forest, components, groups
+from lexquarry.llm.prefilter import split_by_ids
 from lexquarry.llm.shingles import mixed, shingle_sets
 from lexquarry.llm.wordbpe import slices, small_batches
 from lexquarry.plans.storage import written
 
 #: Sets and tokens that one side of a block holds at most, on average.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 400_000
+BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
 GROUP = 16
 SEEDS = 4
 
@@ -50,8 +51,12 @@ class Likeness:
         return -(-p * (a + b) // (p + q))
 
     def apart(self, a: int) -> int:
-        """The most that a set of size a and a linked one no smaller can differ in."""
-        return max(a + b - 2 * self.need(a, b) for b in range(a, floor(a / self.share) + 1))
+        """The most that a set of size a and a linked one no smaller can differ in; a tight bound for large sets."""
+        p, q = self.share.numerator, self.share.denominator
+        top = floor(a / self.share)
+        if a > 64:
+            return (a + top) * (q - p) // (q + p)
+        return max(a + b - 2 * self.need(a, b) for b in range(a, top + 1))
 
     @cached_property
     def small(self) -> int:
@@ -71,9 +76,11 @@ class Likeness:
             bottoms.append(self.bottom(len(bottoms)))
         return np.searchsorted(bottoms, sizes, side="right") - 1
 
+    @lru_cache
     def parts(self, level: int) -> tuple[int, int]:
         """(parts of the sets matched on a level, how many of them agree at least)."""
-        most = max(self.apart(a) for a in range(self.bottom(level), self.bottom(level + 1)))
+        low, high = self.bottom(level), self.bottom(level + 1)
+        most = max(self.apart(a) for a in range(max(low, high - 8), high))
         spare = 2 + most // 16
         return most + spare, spare
 
@@ -162,7 +169,7 @@ def link_block(left: list[np.ndarray], right: list[np.ndarray] | None, like: Lik
     width = int((seen > 1).sum())
     group_of = np.arange(len(order)) // GROUP
     n_groups = int(group_of[-1]) + 1
-    step = 4096
+    step = 1024
     n_left = len(left)
     bound = np.zeros((n_left, n_groups), np.float32)
     cells = [(np.repeat(np.arange(len(ids)), [len(columns[i]) for i in ids]), np.concatenate([columns[i] for i in ids]) if len(ids) else np.zeros(0, np.int64)) for ids in (list(range(n_left)), order.tolist())]
@@ -264,15 +271,17 @@ def block_links(rows: DataFrame, classes: DataFrame, size: int, like: Likeness)
         .filter("n > 1")
         .select("family", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     )
-    placed = family.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("own"))
+    placed = written(family.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("own")), "placed")
 
     def tokens_of(batches):
         for batch in (part for whole in batches for part in slices(whole, most=4_000_000)):
             tokens, bounds = shingle_sets(batch.column(1), size)
             packed = pa.array([tokens[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(k) for k in (2, 3, 4)), packed], names=["doc_id", "family", "blocks", "own", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc_id", "tokens"])
 
-    chosen = rows.join(placed, "doc_id").mapInArrow(tokens_of, "doc_id long, family long, blocks int, own int, tokens binary")
+    # Only sets that may be in a family are made again and shuffled; the texts themselves are not.
+    may, _ = split_by_ids(rows, placed)
+    chosen = may.mapInArrow(tokens_of, "doc_id long, tokens binary").join(placed.hint("shuffle_hash"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = chosen.select("*", other).select(
         "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "tokens"

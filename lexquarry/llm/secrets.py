@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.llm.prefilter import fresh, split_by_ids
 from lexquarry.llm.wordbpe import slices, small_batches
 from lexquarry.plans.storage import written
 
@@ -120,8 +121,10 @@ def redact_secrets(docs: DataFrame, ledger: DataFrame, text_col: str = "text", m
     Rows are matched by blob; texts without findings stay as they are, null included.
     """
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    hits = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    joined = docs.withColumn("_blob", blob).join(hits.dropDuplicates(["_blob"]), "_blob", "left").drop("_blob")
+    key, spans_of = fresh(docs, "_blob"), fresh(docs, "_findings")
+    hits = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias(key), F.col("findings").alias(spans_of))
+    may, rest = split_by_ids(docs.withColumn(key, blob), hits, key)  # texts that surely have none stay where they are
+    joined = may.join(hits.dropDuplicates([key]).hint("shuffle_hash"), key, "left").drop(key)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def mask(text: str, spans: list[dict]) -> str:
@@ -134,14 +137,14 @@ def redact_secrets(docs: DataFrame, ledger: DataFrame, text_col: str = "text", m
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text_col))):
-            spans = batch.column(batch.schema.get_field_index("_findings")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(spans_of)).to_pylist()
             texts = [mask(t, f) if f else t for t, f in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), spans, strict=True)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     small_batches(docs.sparkSession)
-    return joined.mapInArrow(run, docs.schema)
+    return rest.select(names).unionByName(joined.mapInArrow(run, docs.schema))
 
 
 def span_digest(findings: str = "findings") -> tuple:
