@@ -216,6 +216,22 @@ def test_suffix_tree_nothing_to_learn(spark, empty):
     assert len(rows) == 3 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
 
 
+def test_suffix_tree_contexts_of_three(spark):
+    bits = [1, 0, 0]
+    for _ in range(200):
+        bits.append(bits[-1] ^ bits[-3])  # the last two words leave the next one open, the last three tell it
+    rows = [(i, " ".join("ab"[b] for b in bits[i % 7 :])) for i in range(60)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.score / r.n_tokens > -0.05 for r in got)
+
+
+def test_suffix_tree_frequent_words_are_symbols(spark):
+    words = [f"w{i:03d}xx" for i in range(120)]  # one ending: only symbols of their own tell them apart
+    rows = [(i, " ".join(words[(i + k) % 120] for k in range(240))) for i in range(120)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.score / r.n_tokens > -0.1 for r in got)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(2, 9)))
