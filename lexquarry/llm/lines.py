@@ -1,20 +1,23 @@
 """Line dedup by repeated line runs.
 
 Lines are numbered by their hash and each document is a sequence of line ids.
-Prefix doubling names every window of 1, 2, 4, ... lines: a window's name joins
-the names of its two halves.  Windows of one length with the same name are the neighbours in the
-suffix array that share a prefix of that length, an interval of its
-longest-common-prefix array; the cluster gathers them by name.  Only whether windows
-share an interval and which comes first matters here, so names stay hashes and are not ranked.
-
-A window that also occurs earlier (in order of document id and line) points
-to its first occurrence.  Neighbouring windows of one length that point to
-neighbouring windows form a maximal repeated run; in a run of at least
-``min_words`` words every line is a later copy and is deleted.
+Prefix doubling gives every window of 1, 2, 4, ... lines its name and its words.
+From these, binary lifting finds for each line the shortest window of
+``min_words`` words that starts there and the shortest that ends there, and
+names it by its pieces.  Which pieces a window has depends on its own lines alone,
+so equal windows have equal names wherever they stand.  Only whether windows
+are equal and which comes first matters here, so names stay hashes and are not ranked.
+
+A line of a repeated run of ``min_words`` words or more lies in a shortest
+window within the run, one that ends there or starts where the run does.  So
+the lines of all windows that also occur earlier (in order of document id and
+line), each held against all its occurrences, are those of all repeated runs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +35,52 @@ def line_ids(text: Column) -> tuple[Column, Column]:
     )
 
 
-def doubled(names: Column, lines: Column, step: int) -> Column:
-    """Names of the windows of ``2 * step`` lines, from those of ``step`` lines."""
+def doubled(values: Column, lines: Column, step: int, joined: Callable[[Column, Column], Column]) -> Column:
+    """Values of the windows of ``2 * step`` lines, from those of ``step`` lines."""
     kept = F.greatest(lines - 2 * step + 1, F.lit(0))
-    return F.zip_with(F.slice(names, F.lit(1), kept), F.slice(names, F.lit(1 + step), kept), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(F.slice(values, F.lit(1), kept), F.slice(values, F.lit(1 + step), kept), lambda a, b: joined(a, b))
+
+
+def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, side, start, end, words, name) of the shortest windows of ``min_words`` words from each line on (side 0) and back (side 1)."""
+    longest = lines.agg(F.max(F.size("names"))).first()[0] or 0
+    sides = F.array(F.struct(F.lit(0).alias("side"), "names", "words"), F.struct(F.lit(1).alias("side"), F.reverse("names").alias("names"), F.reverse("words").alias("words")))
+    both = lines.select("doc_id", F.size("names").alias("n"), F.explode(sides).alias("of"))
+    named, steps = both.select("doc_id", "n", "of.side", F.col("of.names").alias("w1"), F.col("of.words").alias("s1")), [1]
+    while 2 * steps[-1] <= longest:  # two columns for each doubling, within the row that holds the document
+        step = steps[-1]
+        named = named.withColumns({
+            f"w{2 * step}": doubled(F.col(f"w{step}"), F.col("n"), step, F.xxhash64),
+            f"s{2 * step}": doubled(F.col(f"s{step}"), F.col("n"), step, lambda a, b: a + b),
+        })
+        steps.append(2 * step)
+    state = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("to"), F.lit(0).alias("sum"), F.lit(0).cast("long").alias("name")))
+    named = named.withColumn("state", state)
+    for step in reversed(steps):  # a piece is taken while the window stays short of the words; outside of the document there is none
+
+        def longer(x: Column) -> Column:
+            total = x["sum"] + F.get(f"s{step}", x["to"])
+            taken = F.struct((x["to"] + step).alias("to"), total.alias("sum"), F.xxhash64(x["name"], F.get(f"w{step}", x["to"])).alias("name"))
+            return F.when(total < min_words, taken).otherwise(x)
+
+        named = named.withColumn("state", F.when(F.col("n") >= step, F.transform("state", longer)).otherwise(F.col("state")))
+    last = F.transform(
+        "state",
+        lambda x: F.struct((x["to"] + 1).alias("to"), (x["sum"] + F.get("s1", x["to"])).alias("words"), F.xxhash64(x["name"], F.get("w1", x["to"])).alias("name")),
+    )
+    found = named.select("doc_id", "n", "side", F.posexplode(last).alias("pos", "w")).filter(F.col("w.words") >= min_words)
+    ahead = F.col("side") == 0
+    return found.select(
+        "doc_id", "side", F.when(ahead, F.col("pos")).otherwise(F.col("n") - F.col("w.to")).alias("start"),
+        F.when(ahead, F.col("w.to")).otherwise(F.col("n") - F.col("pos")).alias("end"), F.col("w.words").cast("long").alias("words"), "w.name",
+    )
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, words, source_id, source_start) of every run that is a later copy.
+    """(doc_id, start, end, words, source_id, source_start) of the shortest runs that are later copies.
 
-    Lines count from 0 and ``end`` is exclusive.  Runs may overlap.  Null text
+    Lines count from 0 and ``end`` is exclusive.  Runs overlap: together they
+    cover the lines of all longer ones.  The source is a run's first occurrence.  Null text
     is one empty line; rows that repeat an id are one document's lines and
     never copies of each other; null ids are left out; an empty table gives an
     empty result; other columns are ignored.
@@ -49,41 +88,15 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     ids, words = line_ids(F.col("text"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     lines = written(base.select("doc_id", ids.alias("names"), words.alias("words")), "lines")
-    longest = lines.agg(F.max(F.size("names"))).first()[0] or 0
-    named, steps = lines.select("doc_id", F.size("names").alias("n"), F.col("names").alias("w1")), [1]
-    while 2 * steps[-1] <= longest:  # one column for each doubling, within the row that holds the document
-        step = steps[-1]
-        named = named.withColumn(f"w{2 * step}", doubled(F.col(f"w{step}"), F.col("n"), step))
-        steps.append(2 * step)
-    levels = F.array(*[F.struct(F.lit(k).alias("step"), F.col(f"w{k}").alias("names")) for k in steps])
-    windows = named.select("doc_id", F.explode(levels).alias("level")).select("doc_id", "level.step", F.posexplode("level.names").alias("pos", "name"))
-    at = F.struct("doc_id", "pos")
+    windows = written(shortest_windows(lines, min_words), "windows")
     # Few windows repeat: the first pass keeps those names, each with its first occurrence.
-    first = written(
-        windows.groupBy("step", "name").agg(F.min(at).alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "intervals"
-    )
-    copies = (
-        windows.join(first, ["step", "name"])
-        .filter("doc_id <> source.doc_id or pos > source.pos")
-        .select("doc_id", "step", "pos", F.col("source.doc_id").alias("source_id"), F.col("source.pos").alias("source_pos"))
-        .distinct()
-    )
-    shift = (F.col("source_pos") - F.col("pos")).alias("shift")
-    lane = Window.partitionBy("doc_id", "step", "source_id", "shift").orderBy("pos")
-    runs = (
-        copies.select("doc_id", "step", "pos", "source_id", shift)
-        .withColumn("island", F.col("pos") - F.row_number().over(lane))
-        .groupBy("doc_id", "step", "source_id", "shift", "island")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + F.col("step")).alias("end"))
-        .select("doc_id", "start", "end", "source_id", (F.col("start") + F.col("shift")).alias("source_start"))
-        .distinct()
-    )
-    of = F.aggregate(F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")), F.lit(0), lambda a, x: a + x)
-    counted = lines.groupBy("doc_id").agg(F.max("words").alias("words"))
+    first = windows.groupBy("side", "name").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count(F.lit(1)).alias("n"))
+    first = written(first.filter("n > 1").drop("n"), "intervals")
     return (
-        runs.join(counted, "doc_id")
-        .select("doc_id", "start", "end", of.cast("long").alias("words"), "source_id", "source_start")
-        .filter(F.col("words") >= min_words)
+        windows.join(first, ["side", "name"])
+        .filter("doc_id <> source.doc_id or start > source.start")
+        .select("doc_id", "start", "end", "words", F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
+        .distinct()
     )
 
 
@@ -93,6 +106,10 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc
     A document whose lines all go keeps an empty text.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col)
+    lane = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(lane.rowsBetween(Window.unboundedPreceding, -1))
+    apart = runs.withColumn("apart", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("apart").over(lane.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = apart.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     gone = runs.select(F.col("doc_id").alias("_id"), F.explode(F.sequence("start", F.col("end") - 1)).alias("line"))
     gone = written(gone.groupBy("_id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -192,6 +192,38 @@ def test_lines(docs):
             whole.setdefault(key, i)
 
 
+def repeated_lines(rows, least=50):
+    """Lines of every window of ``least`` words or more that stands earlier too, by comparing all windows."""
+    seen, gone = set(), {i: set() for i, _ in rows}
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        for a in range(len(lines)):  # in order of the start: windows of earlier places are known by then
+            for b in range(a + 1, len(lines) + 1):
+                window = tuple(lines[a:b])
+                if sum(len(x.split()) for x in window) >= least:
+                    gone[i] |= set(range(a, b)) if window in seen else set()
+                    seen.add(window)
+    return {i: sorted(g) for i, g in gone.items()}
+
+
+def test_lines_runs_of_any_length(spark):
+    line = lambda k, n=20: " ".join([f"line{k}"] * n)
+    a, b, c = map(line, "ABC")
+    cases = [[(1, f"{b}\n{c}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}")]]
+    for n in (3, 5, 7):  # parts of the run, each too short, stand earlier elsewhere
+        own = [line(k, 50 // n + 1) for k in range(n)]
+        cases.append([(k, "\n".join(own[k : k + n - 1])) for k in (0, 1)] + [(5, "\n".join(["x", *own])), (6, "\n".join([*own, "y"]))])
+    cases.append([(1, "\n".join([line("A")] * 6))])
+    rng = np.random.default_rng(6)
+    kinds = [line(k, n) for k, n in enumerate([0, 1, 5, 20, 30, 60])]
+    cases += [[(i, "\n".join(kinds[k] for k in rng.integers(0, 6, rng.integers(1, 14)))) for i in range(12)] for _ in range(3)]
+    rows = []
+    for n, case in enumerate(cases):  # one table: the words of each case are its own
+        rows += [(100 * n + i, t.replace("line", f"c{n}l")) for i, t in case]
+    got = {r.doc_id: list(r.removed) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == repeated_lines(rows) and got[3] == [0, 1, 2]
+
+
 def test_suffix_tree(docs):
     rows = score_texts(docs).collect()
     assert len(rows) == len(ROWS)
