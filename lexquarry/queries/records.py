@@ -624,13 +624,10 @@ def _(rows):
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T02 over the events table as a stream of files: every event once."""
-    import uuid
-
     rows = view(spark, sf_dir, "events")
     stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
-    name = f"events_{uuid.uuid4().hex[:8]}"
     once = flows.distinct_events(stream.withColumn("ts", C("ts").cast("timestamp")))
-    return flows.run_to_memory(once.select("event_id", "event_type"), name)
+    return flows.run_to_table(once.select("event_id", "event_type"), "events")
 
 
 QUERIES["stream_distinct_events"] = _stream

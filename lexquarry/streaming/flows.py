@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lexquarry.functions import text as T
 from lexquarry.operators import chunking, vectors
+from lexquarry.plans.storage import shared_dir
 from lexquarry.sources import files
 
 # The steps of an analysis in order, and what the user sees of each.
@@ -74,3 +77,12 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def run_to_table(stream: DataFrame, tag: str) -> DataFrame:
+    """Drain a stream of files to Parquet in the shared folder, with a checkpoint of its own, and return it as read back."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/lexquarry/{tag}-{uuid.uuid4().hex}"
+    sink = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
