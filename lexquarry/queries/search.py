@@ -274,6 +274,14 @@ def _(docs, queries):
     return rows.select("doc_id", "query_id", F.round(R.term_overlap(C("q"), C("text")), 6).alias("overlap"))
 
 
+@query("rerank_hits", "documents", "queries")
+def _(docs, queries):
+    """R14 over the fused BM25 hits of every query; term_overlap_rerank only holds the overlap itself against SQL."""
+    hits = B.bm25(docs, queries, 20).join(docs.select("doc_id", "text"), "doc_id")
+    hits = hits.withColumnsRenamed({"doc_id": "doc_key"}).withColumns({"retriever": F.lit("keyword"), "weight": F.lit(1.0)})
+    return R.rerank(R.fuse(hits), queries).select("query_id", "doc_key", "final", "rank")
+
+
 @query("position_decay", "sections", sql="SELECT section_id, round(greatest(0.0, 0.9 - 0.02 * (row_number() OVER (PARTITION BY act ORDER BY section_id) - 1))::DOUBLE, 6) AS score FROM sections")
 def _(sections):
     order = Window.partitionBy("act").orderBy("section_id")
