@@ -10,7 +10,8 @@ from lexquarry.operators import chunking as K
 from lexquarry.operators import lexical as B
 from lexquarry.operators import retrieval as R
 from lexquarry.operators import vectors as V
-from lexquarry.queries.base import query
+from lexquarry.plans.views import view
+from lexquarry.queries.base import ORACLE_SQL, QUERIES, query
 from lexquarry.sources import files as S
 
 C = F.col
@@ -252,6 +253,24 @@ def _(queries):
     return R.variants(_cued(queries))
 
 
+# The same on the whole texts of the queries; the three above hold the operators against SQL on short texts with a cue.
+def _whole(name: str, of) -> None:
+    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: of(view(spark, sf_dir, "queries"))
+    ORACLE_SQL[f"{name}_whole"] = ORACLE_SQL[name].replace(_CUED, "SELECT query_id, text FROM queries")
+
+
+_whole("intent_score", lambda queries: queries.select("query_id", R.detect_intent(C("text")).alias("intent")))
+_whole("query_variants", R.variants)
+
+
+def _weights(queries: DataFrame) -> DataFrame:
+    rows = queries.select("query_id", R.detect_intent(C("text")).alias("intent"), F.explode(F.array(*map(F.lit, ("vector", "kg", "citation", "keyword")))).alias("retriever"))
+    return rows.select("query_id", "retriever", R.weight_of(C("intent"), C("retriever")).alias("weight"))
+
+
+_whole("retriever_weights", _weights)
+
+
 _HITS_SQL = """h AS (SELECT query_id, doc_key, 'a' AS retriever, q AS score, row_number() OVER (PARTITION BY query_id ORDER BY q DESC, doc_key) AS rank, 0.6 AS weight FROM (SELECT l_suppkey AS query_id, l_partkey AS doc_key, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
  UNION ALL SELECT query_id, doc_key, 'b', n::DOUBLE, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_key), 0.4 FROM (SELECT l_suppkey AS query_id, l_partkey AS doc_key, count(*) AS n FROM lineitem GROUP BY 1, 2))"""
 
