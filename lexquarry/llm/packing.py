@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +74,17 @@ class Available:
             n = int(n)
             if 3 * n < gap:
                 break
-            if sums >> (gap - n) & 1 and (two := self.pair(gap - n, n)) and self.times((n, *two)):
+            if sums >> (gap - n) & 1 and (two := self.beside(n, lambda n=n: self.pair(gap - n, n))):
                 return (n, *two)
         return None
 
+    def beside(self, n: int, search: Callable[[], tuple[int, ...] | None]) -> tuple[int, ...] | None:
+        """What ``search`` finds while one piece of length ``n`` is set aside."""
+        self.counts[n] -= 1
+        found = search()
+        self.counts[n] += 1
+        return found
+
 
 def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, how many such sequences) for a histogram by length.
@@ -96,9 +104,8 @@ def complement_plan(counts: np.ndarray, capacity: int, parts: int) -> list[tuple
         runs.append(((capacity,), full))
         stock.take((capacity,), full)
     for n in range(capacity - 1, 0, -1):
-        while stock.counts[n] and (rest := stock.fill(capacity - n, n, parts)):
-            if not (times := stock.times((n, *rest))):
-                break
+        while stock.counts[n] and (rest := stock.beside(n, lambda n=n: stock.fill(capacity - n, n, parts))):
+            times = stock.times((n, *rest))
             runs.append(((n, *rest), times))
             stock.take((n, *rest), times)
     return runs + best_fit(stock.counts, capacity)

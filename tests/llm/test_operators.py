@@ -13,7 +13,7 @@ from lexquarry.llm.components import components
 from lexquarry.llm.exact_dedup import exact_dedup
 from lexquarry.llm.jaccard import Likeness, jaccard_components
 from lexquarry.llm.lines import drop_repeated_lines
-from lexquarry.llm.packing import best_fit, pack_documents, plan_packing
+from lexquarry.llm.packing import best_fit, complement_plan, pack_documents, plan_packing
 from lexquarry.llm.quality import classify_quality, keep_quality, fit_quality
 from lexquarry.llm.secrets import BASE_RULES, redact_secrets, scan_secrets, span_digest
 from lexquarry.llm.sharding import minimax_cuts, plan_shards, shard_documents
@@ -115,6 +115,12 @@ def test_packing_plan_uses_every_piece(seed):
     assert sum(k for _, k in runs) <= sum(k for _, k in best_fit(counts, 4096))
 
 
+def test_packing_sets_a_piece_aside():
+    counts = np.zeros(4097, np.int64)
+    counts[[2000, 1090, 1050, 1046, 96]] = 1  # 2000 + 2000 + 96 would fill too, but 2000 is there once
+    assert (2000, 1050, 1046) in [lengths for lengths, _ in complement_plan(counts, 4096, 3)]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 8))
