@@ -184,6 +184,8 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, sections: DataFrame, vect
     """Intents, four retrievers (3k, 2k, k, 2k), fusion by intent's weights, rerank to ``k``; one plan for all queries.
 
     ``vectors`` are ready vector hits (query_id, doc_key, text, score, rank) when an embedding model is at hand.
+    Without them three retrievers run and the vector weight takes no part; so it is in the registered queries
+    hybrid_search and pipeline_stats.
     """
     asked = queries.withColumn("intent", detect_intent(F.col("text")))
     lexical = bm25(docs, queries, 2 * k).join(docs.select("doc_id", F.substring("text", 1, 500).alias("text")), "doc_id")
