@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.wordbpe import WordCache, chunks, load, merged, per_worker, slices, small_batches
+from lexquarry.llm.wordbpe import ChunkIds, chunks, flattened, load, merged, per_worker, ranges, slices, small_batches
 from lexquarry.plans.storage import width, written
 
 CAPACITY = 4096
@@ -152,24 +152,24 @@ def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, capa
 
     Null text counts as empty and gives the end id alone.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         tokenizer = per_worker(("tokenizer", path), lambda: load(path))
-        fill = lambda words: [np.array(ids, "<u4").tobytes() for ids in merged(tokenizer, words)]
-        cache = per_worker(("ids", path), lambda: WordCache(fill, b"".join))
+        cache = per_worker(("ids", path), lambda: ChunkIds(lambda words: flattened(merged(tokenizer, words))))
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = [chunks(t) for t in texts]
-            of = cache.ready(words)
+            ids, sizes, odd = cache.of([chunks(t) for t in texts])
+            ends = np.cumsum(sizes + 1)
+            flat = np.full(int(ends[-1]), end_id, "<u4")
+            flat[ranges(ends - sizes - 1, sizes)] = ids
+            data = memoryview(flat).cast("B")
+            of = [data[4 * (e - n - 1) : 4 * e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            for n in np.flatnonzero(odd).tolist():
+                of[n] = memoryview(np.array([*tokenizer.encode(texts[n], add_special_tokens=False).ids, end_id], "<u4")).cast("B")
             out: list[tuple] = []
-            for doc_id, text, own in zip(batch.column(0).to_pylist(), texts, words, strict=True):
-                parts = list(map(of.__getitem__, own))
-                if None in parts:
-                    parts = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
-                ids = b"".join(parts) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            for doc_id, own in zip(batch.column(0).to_pylist(), of, strict=True):
+                for piece, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.wordbpe import WordCache, chunks, load, merged, per_worker, slices, small_batches, split_words
+from lexquarry.llm.wordbpe import ChunkIds, chunks, flattened, load, merged, per_worker, ranges, slices, small_batches, split_words
 from lexquarry.plans.storage import written
 
 #: A transducer file: a header of section lengths, then these arrays in order.
@@ -124,6 +124,28 @@ class Transducer:
     def ids_of(self, rank: int) -> list[int]:
         return self.ids[self.starts[rank] : self.starts[rank + 1]].tolist()
 
+    def ids_of_all(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these words in one array, each word's number of ids)."""
+        sizes = (self.starts[ranks + 1] - self.starts[ranks]).astype(np.int64)
+        return self.ids[ranges(self.starts[ranks], sizes)], sizes
+
+
+class Spelling:
+    """What each id is written as, every one followed by a blank."""
+
+    def __init__(self, written: list[str]):
+        parts = [f"{w} ".encode() for w in written]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+
+    def of(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The written ids of each text, joined by blanks."""
+        each = self.sizes[ids]
+        flat = self.data[ranges(self.starts[ids], each)].tobytes()
+        at = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [flat[a : max(a, b - 1)] for a, b in zip(at, at[1:])]
+
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n) over the plain texts of all rows; counted per task before the shuffle."""
@@ -131,6 +153,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def words_of(seen: Counter) -> pa.RecordBatch:
         words: Counter = Counter()
         for chunk, n in seen.items():
+            if chunk.isalpha():
+                words[chunk.decode()] += n
+                continue
             for word in split_words(chunk.decode()) or ():
                 words[word] += n
         return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
@@ -188,34 +213,35 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         tokenizer = per_worker(("tokenizer", path), lambda: load(path))
-        token = tokenizer.id_to_token
+        vocabulary = range(tokenizer.get_vocab_size())
+        digits = per_worker(("digits", path), lambda: Spelling([str(i) for i in vocabulary]))
+        tokens = per_worker(("tokens", path), lambda: Spelling([tokenizer.id_to_token(i) or "" for i in vocabulary]))
         lexicon = Transducer(SparkFiles.get(name))
 
-        def fill(words: list[str]):
-            ranks = lexicon.ranks([w.encode() for w in words]).tolist()
-            unseen = iter(merged(tokenizer, [w for w, r in zip(words, ranks, strict=True) if r < 0]))
-            for rank in ranks:
-                ids = lexicon.ids_of(rank) if rank >= 0 else next(unseen)
-                yield " ".join(map(str, ids)), " ".join(map(token, ids))
-
-        def join(parts: list[tuple[str, str]]) -> tuple[str, str]:
-            return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-
-        cache = per_worker(("digests", path, name.rpartition("-")[0]), lambda: WordCache(fill, join, 200_000))
-        for batch in (part for whole in batches for part in slices(whole)):
+        def merge(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ranks = lexicon.ranks([w.encode() for w in words])
+            known = ranks >= 0
+            sizes = np.zeros(len(words), np.int64)
+            ids, sizes[known] = lexicon.ids_of_all(ranks[known])
+            rest, sizes[~known] = flattened(merged(tokenizer, [w for w, k in zip(words, known.tolist(), strict=True) if not k]))
+            out, starts = np.zeros(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+            out[ranges(starts[known], sizes[known])] = ids
+            out[ranges(starts[~known], sizes[~known])] = rest
+            return out, sizes
+
+        cache = per_worker(("lexicon ids", path, name.rpartition("-")[0]), lambda: ChunkIds(merge))
+        for batch in (part for whole in batches for part in slices(whole, most=1_000_000)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = [chunks(t) for t in texts]
-            of = cache.ready(words)
+            ids, sizes, odd = cache.of([chunks(t) for t in texts])
+            lists, decoded, counts = digits.of(ids, sizes), tokens.of(ids, sizes), sizes.tolist()
+            for n in np.flatnonzero(odd).tolist():
+                found = tokenizer.encode(texts[n], add_special_tokens=False).ids
+                lists[n], counts[n] = " ".join(map(str, found)).encode(), len(found)
+                decoded[n] = tokenizer.decode(found, skip_special_tokens=False).encode()
             out = []
-            for text, own in zip(texts, words, strict=True):
-                parts = list(map(of.__getitem__, own))
-                if None in parts:
-                    found = tokenizer.encode(text, add_special_tokens=False).ids
-                    ids, decoded = " ".join(map(str, found)), tokenizer.decode(found, skip_special_tokens=False)
-                else:
-                    ids, decoded = join(parts)
-                row = [ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                out.append([*row, [int(x) for x in ids.split()], decoded] if keep_ids else row)
+            for n, own, back in zip(counts, lists, decoded, strict=True):
+                row = [n, hashlib.sha256(own).hexdigest(), hashlib.sha256(back).hexdigest()]
+                out.append([*row, [int(x) for x in own.split()], back.decode()] if keep_ids else row)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())[: 5 if keep_ids else 3]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(columns)]

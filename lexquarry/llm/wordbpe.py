@@ -12,9 +12,13 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 VOCABULARY = "word_bpe_49k.json"
@@ -78,31 +82,86 @@ def per_worker(key: object, make: Callable[[], object]):
     return _KEPT[key]
 
 
-class WordCache:
-    """chunk -> value: its words' values joined, or None for a chunk that isn't plain.
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every range, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
-    ``fill(words)`` gives values of words.  The cache may serve all tasks of a
-    worker; its bound keeps memory flat and has no effect on results.
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all values in one array, the size of each list)."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
+class Generation:
+    """Numbered chunks and their ids in flat arrays; a size of -1 marks a chunk that isn't plain."""
+
+    def __init__(self):
+        self.numbers: defaultdict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        held = np.maximum(sizes, 0)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(held) - held])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+
+
+class ChunkIds:
+    """Ids of chunks, kept from batch to batch; serves all tasks of a worker.
+
+    ``merge(words)`` gives (ids of all words in one array, each word's number of
+    ids).  When a generation has ``bound`` chunks a new one begins, which takes
+    what it needs from the last; so frequent chunks stay, memory is flat, and no
+    result depends on the bound.
     """
 
-    def __init__(self, fill: Callable[[list[str]], Iterable], join: Callable[[list], object], bound: int = 300_000):
-        self.fill, self.join, self.bound, self.of, self.words = fill, join, bound, {}, {}
-
-    def ready(self, lists: list[list[bytes]]) -> dict:
-        """The mapping, holding every chunk of ``lists``."""
-        new = set().union(*lists) - self.of.keys()
-        if len(self.of) + len(new) > self.bound:
-            self.of.clear()
-            new = set().union(*lists)
-        split = {c: split_words(c.decode()) for c in new}
-        words = list(set().union(*filter(None, split.values())) - self.words.keys())
-        if len(self.words) + len(words) > self.bound:
-            self.words.clear()
-            words = list(set().union(*filter(None, split.values())))
-        self.words.update(zip(words, self.fill(words), strict=True))
-        get = self.words.__getitem__
-        self.of.update((c, None if w is None else self.join(list(map(get, w)))) for c, w in split.items())
-        return self.of
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int = 600_000):
+        self.merge, self.bound, self.now, self.last = merge, bound, Generation(), Generation()
+
+    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts in one array, each text's number of ids, which texts the library must encode whole)."""
+        if len(self.now.numbers) > self.bound:
+            self.now, self.last = Generation(), self.now
+        now, known = self.now, len(self.now.numbers)
+        words = np.fromiter(map(len, texts), np.int64, len(texts))
+        number = np.fromiter(map(now.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(words.sum()))
+        if len(now.numbers) > known:
+            self.learn(list(islice(now.numbers, known, None)))
+        owner = np.repeat(np.arange(len(texts)), words)
+        size = now.sizes[number]
+        odd = np.bincount(owner, size < 0, len(texts)) > 0
+        size[odd[owner]] = 0
+        ids = now.flat[ranges(now.starts[number], size)]
+        return ids, np.bincount(owner, size, len(texts)).astype(np.int64), odd
+
+    def learn(self, new: list[bytes]) -> None:
+        """Add chunks to the present generation, from the last one where it has them."""
+        last, size = self.last, np.zeros(len(new), np.int64)
+        before = np.fromiter((last.numbers.get(c, -1) for c in new), np.int64, len(new))
+        old, rest = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        before = before[old]
+        size[old] = last.sizes[before]
+        split = [[c.decode()] if c.isalpha() else split_words(c.decode()) for c in map(new.__getitem__, rest.tolist())]
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        plain = [w or [] for w in split]
+        words = np.fromiter(map(len, plain), np.int64, len(plain))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(plain)), np.int64, int(words.sum()))
+        ids, sizes = self.merge(list(number))
+        ids = ids[ranges((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        made = np.bincount(np.repeat(np.arange(len(plain)), words), sizes[at], len(plain)).astype(np.int64)
+        size[rest] = made
+        starts = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        flat = np.zeros(int(np.maximum(size, 0).sum()), np.int32)
+        flat[ranges(starts[rest], made)] = ids
+        held = np.maximum(size[old], 0)
+        flat[ranges(starts[old], held)] = last.flat[ranges(last.starts[before], held)]
+        size[rest[[w is None for w in split]]] = -1
+        self.now.add(flat, size)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -114,9 +173,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def slices(batch: pa.RecordBatch, column: int = 1, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``most`` text bytes each (or one row)."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
