@@ -1,16 +1,19 @@
 """N-gram Jaccard join with a token-group matrix.
 
-1. Texts with equal shingle sets form one class; one row stands for each.
+1. One pass over the texts makes each set, its digest and its signatures;
+   texts with equal sets form one class, and one row stands for each.
 2. Each set is cut into parts by ranges of the shingles' hashes, more parts
-   than two linked sets can differ in, so linked sets agree in a whole
-   part.  Sets that share a part's signature fall into one family; families
-   hold all links.
+   than two linked sets can differ in, so linked sets agree in several whole
+   parts.  A set that shares fewer parts than its links need with all others
+   together has none and drops out.  What still shares parts is one family; families hold all links.
 3. Within a family, sets are blocked; each block lists groups of similar sets
    with the union of their tokens.  A query set's overlap with a group's union bounds its overlap
    with every member, and only groups that pass are opened.
-4. Links found leave each block as a forest; components end the work.
+4. Blocks are joined within themselves first, then by one set of each crowd in
+   them.  Only sets outside of a family's main component still meet all of the family.
+5. Links found leave each block as a forest; components end the work.
 
-No pair is emitted per group: signatures give one row to their family's leader, blocks give
+No pair is emitted per group: shared parts give one row to their family's leader, blocks give
 one row per set.
 """
 
@@ -24,19 +27,24 @@ from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.components import Forest, components, groups
 from lexquarry.llm.prefilter import split_by_ids
 from lexquarry.llm.shingles import mixed, shingle_sets
-from lexquarry.llm.wordbpe import slices, small_batches
-from lexquarry.plans.storage import written
+from lexquarry.llm.wordbpe import ranges, slices, small_batches
+from lexquarry.plans.storage import drop_written, written
 
 #: Sets and tokens that one side of a block holds at most, on average.
 BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
+#: Sets that are linked in one block and send one of them to meet the other blocks' crowds.
+CROWD = 16
 GROUP = 16
 SEEDS = 4
+#: How often sets with too few shared signatures are looked for.
+PRUNES = 2
 
 
 @dataclass(frozen=True)
@@ -95,14 +103,23 @@ def small_signatures(tokens: np.ndarray, like: Likeness) -> list[int]:
     return [s * 31 + 7 * size & 0xFFFFFFFFFFFFFFFF for s, size in sums]
 
 
-def signatures(tokens: np.ndarray, bounds: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) rows of a batch of sets; linked sets share a signature."""
+def signatures(tokens: np.ndarray, bounds: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, tag, set number) rows of a batch of sets.
+
+    Rows of a tag's upper bits belong together: linked sets share at least as
+    many signatures of one such kind as the lower eight bits of either's tag say.
+    """
     sizes = np.diff(bounds)
-    made, owners = [], []
+    made, tags, owners = [], [], []
+
+    def add(signature: np.ndarray, tag: np.ndarray, owner: np.ndarray) -> None:
+        made.append(signature)
+        tags.append(tag)
+        owners.append(owner)
+
     for i in np.flatnonzero((sizes > 0) & (sizes <= floor(like.small / like.share))):
         own = small_signatures(mixed(tokens[bounds[i] : bounds[i + 1]]), like)
-        made.append(np.array(own, np.uint64) ^ np.uint64(0x5555))
-        owners.append(np.full(len(own), i))
+        add(np.array(own, np.uint64) ^ np.uint64(0x5555), np.ones(len(own), np.int64), np.full(len(own), i))
     levels = like.level(sizes)
     work = [(own, levels[own] - down) for down in (0, 1) for own in [np.flatnonzero(levels - down >= 0)]]
     for owner, level in work:
@@ -127,17 +144,17 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, like: Likeness) -> tuple[
             cut = np.flatnonzero(cut)
             sums = np.add.reduceat(mixed(token ^ np.uint64(0xABCDEF)), cut)
             place = (level[row[cut]].astype(np.uint64) << np.uint64(40)) + (part[cut].astype(np.uint64) << np.uint64(4)) + np.uint64(seed)
-            made.append(mixed(sums ^ mixed(place)))
-            owners.append(owner[row[cut]])
             empty = parts - np.bincount(row[cut], minlength=len(owner))
+            need = np.clip(spare - empty, 1, 255)  # parts that are empty in both sets agree without a signature
+            kind = 1 + level * (SEEDS + 1) + seed
+            add(mixed(sums ^ mixed(place)), (kind << 8 | need)[row[cut]], owner[row[cut]])
             again = empty >= spare  # two such sets might agree in empty parts alone
             owner, level = owner[again], level[again]
         if len(owner):
-            made.append(mixed(level.astype(np.uint64) + np.uint64(0xE0E0E0)))
-            owners.append(owner)
+            add(mixed(level.astype(np.uint64) + np.uint64(0xE0E0E0)), (1 + level * (SEEDS + 1) + SEEDS) << 8 | 1, owner)
     if not made:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(made), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(made), np.concatenate(tags), np.concatenate(owners)
 
 
 def link_block(left: list[np.ndarray], right: list[np.ndarray] | None, like: Likeness, forest: Forest) -> None:
@@ -213,6 +230,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fractio
     small_batches(docs.sparkSession)
 
     def measure(batches):
+        seen: set[int] = set()
         for batch in (part for whole in batches for part in slices(whole, most=4_000_000)):
             tokens, bounds = shingle_sets(batch.column(1), size)
             filled = np.flatnonzero(np.diff(bounds) > 0)
@@ -221,57 +239,94 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fractio
                 sums = np.zeros(batch.num_rows, np.uint64)
                 if len(filled):
                     sums[filled] = np.add.reduceat(mixed(tokens * np.uint64(2 * salt + 1) + np.uint64(salt)), bounds[:-1][filled])
-                digest.append(pa.array(sums.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *digest], names=["doc_id", "n_shingles", "h1", "h2"])
-
-    sets = written(rows.mapInArrow(measure, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
-    key = ["n_shingles", "h1", "h2"]
+                digest.append(sums.view(np.int64))
+            fresh = np.zeros(batch.num_rows, bool)  # a set that a task meets again is signed once
+            for n in filled.tolist():
+                fresh[n] = digest[0][n] not in seen
+                seen.add(int(digest[0][n]))
+            some = np.flatnonzero(fresh)
+            held = np.diff(bounds)[some]
+            signature, tag, owner = signatures(tokens[ranges(bounds[:-1][some], held)], np.concatenate([[0], np.cumsum(held)]), like)
+            order = np.lexsort((tag, owner))
+            signature, tag, owner = signature[order], tag[order], owner[order]
+            cut = np.ones(len(tag), bool)
+            cut[1:] = (tag[1:] != tag[:-1]) | (owner[1:] != owner[:-1])
+            cut = np.flatnonzero(cut)
+            ends = np.append(cut[1:], len(tag))
+            kinds: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for n, t, a, e in zip(some[owner[cut]].tolist(), tag[cut].tolist(), cut.tolist(), ends.tolist(), strict=True):
+                kinds[n].append({"tag": t, "sigs": signature[a:e].tobytes()})
+            signed = pa.array(kinds, pa.list_(pa.struct([("tag", pa.int32()), ("sigs", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *map(pa.array, digest), signed], names=["doc_id", "n_shingles", "h1", "h2", "signed"])
+
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, signed array<struct<tag:int,sigs:binary>>"
+    made = written(rows.mapInArrow(measure, schema), "sets")
+    sets, key = made.drop("signed"), ["n_shingles", "h1", "h2"]
     classes = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    near = components(block_links(rows, classes, size, like))
+    family = families(made.filter("doc_id is not null and size(signed) > 0").select("h1", "signed"))
+    placed = written(family.withColumnRenamed("node", "h1").join(classes, "h1").select(F.col("rep").alias("doc_id"), "n_shingles", F.col("component").alias("family")), "families")
+    near = components(block_links(rows, placed, size, like))
     named = classes.join(near.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    # A hot class is one key of the narrow side only; AQE splits it.
-    return sets.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # A hot class is one key of the narrow side, which is written so that AQE can split the other one.
+    return sets.join(written(named, "named"), key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def block_links(rows: DataFrame, classes: DataFrame, size: int, like: Likeness) -> DataFrame:
-    """Links (a, b) between standing rows that span every component of similar sets."""
+def families(signed: DataFrame) -> DataFrame:
+    """(node, component) of the digests ``h1`` whose sets may be linked with another one."""
 
-    def sign(batches):
-        for batch in (part for whole in batches for part in slices(whole, most=4_000_000)):
-            tokens, bounds = shingle_sets(batch.column(1), size)
-            signature, owner = signatures(tokens, bounds, like)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(ids[owner], pa.int64())], names=["sig", "doc"])
-
-    def lead(batches):
-        """Signatures come sorted; the first row of each leads the others."""
-        last, leader = None, None
+    def spell(batches):
+        for batch in batches:
+            node, kinds = batch.column(0).to_numpy(), batch.column(1)
+            flat = kinds.flatten()
+            count = pc.list_value_length(kinds).to_numpy(zero_copy_only=False)
+            tag, sigs = flat.field(0).to_numpy(), flat.field(1)
+            size = pc.binary_length(sigs).to_numpy() // 8
+            every = np.frombuffer(b"".join(sigs.to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.repeat(node, count), size)), pa.array(np.repeat(tag, size))], names=["sig", "node", "tag"])
+
+    def shared(batches):
+        """The rows, sorted by signature and node, of signatures that two nodes have; one row is held back."""
+        held, follows = None, False
         for batch in batches:
-            sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sig, node, tag = (batch.column(k).to_numpy() for k in range(3))
+            if held is not None:
+                sig, node, tag = (np.concatenate([[h], x]) for h, x in zip(held, (sig, node, tag), strict=True))
             if not len(sig):
                 continue
             new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            new[0] = sig[0] != last
-            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            head = np.where(at >= 0, doc[np.maximum(at, 0)], leader if leader is not None else 0)
-            last, leader = sig[-1], head[-1]
-            pair = np.unique(np.stack([doc, head], 1)[doc != head], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    signed = rows.filter("doc_id is not null").mapInArrow(sign, "sig long, doc long")
-    family = components(signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(lead, "a long, b long"))
-    family = classes.select(F.col("rep").alias("doc_id"), "n_shingles").join(
-        family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"
-    )
-    family = written(family, "families")
-    blocks = (
-        family.groupBy("family")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("tokens"))
-        .filter("n > 1")
-        .select("family", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    )
-    placed = written(family.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("own")), "placed")
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node, tag = sig[new], node[new], tag[new]
+            same = np.zeros(len(sig) + 1, bool)
+            same[0], same[1:-1] = follows, sig[1:] == sig[:-1]
+            live = np.flatnonzero((same[:-1] | same[1:])[:-1])
+            held, follows = (sig[-1], node[-1], tag[-1]), bool(same[-2])
+            yield pa.RecordBatch.from_arrays([pa.array(x[live]) for x in (sig, node, tag)], names=["sig", "node", "tag"])
+        if held is not None and follows:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(held, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["sig", "node", "tag"])
+
+    rows = "sig long, node long, tag int"
+    live = signed.mapInArrow(spell, rows).repartition("sig").sortWithinPartitions("sig", "node")
+    live = written(live.mapInArrow(shared, rows), "shared")
+    for _ in range(PRUNES):  # narrow sides are written, so that AQE can split hot signatures
+        enough = written(live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("tag").bitwiseAND(255)).drop("n"), "enough")
+        kept = written(live.join(enough, ["node", "tag"], "left_semi"), "kept")
+        lead = written(kept.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").drop("last"), "leads")
+        drop_written(live, enough)
+        live = written(kept.drop("lead").join(lead, "sig"), "shared")
+        drop_written(kept, lead)
+    return components(live.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+
+
+def block_links(rows: DataFrame, family: DataFrame, size: int, like: Likeness) -> DataFrame:
+    """Links (a, b) between standing rows (doc_id, n_shingles, family) that span every component of similar sets."""
+
+    def counted(sets: DataFrame, *by: str) -> DataFrame:
+        """How many blocks the sets of each family need; written, so that AQE can split a hot family's rows."""
+        need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_TOKENS))
+        return written(sets.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), need.cast("int").alias("blocks")), "blocks")
+
+    block = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), "blocks").cast("int")
+    placed = written(family.join(counted(family, "family").filter("n > 1").drop("n"), "family").withColumn("block", block(0)), "placed")
 
     def tokens_of(batches):
         for batch in (part for whole in batches for part in slices(whole, most=4_000_000)):
@@ -281,34 +336,63 @@ def block_links(rows: DataFrame, classes: DataFrame, size: int, like: Likeness)
 
     # Only sets that may be in a family are made again and shuffled; the texts themselves are not.
     may, _ = split_by_ids(rows, placed)
-    chosen = may.mapInArrow(tokens_of, "doc_id long, tokens binary").join(placed.hint("shuffle_hash"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = chosen.select("*", other).select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "tokens"
-    )
+    chosen = may.mapInArrow(tokens_of, "doc_id long, tokens binary").join(placed.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    chosen = written(chosen.dropDuplicates(["doc_id"]), "tokens")  # repeated rows of an id hold one set
 
     def link(batches):
+        """Links of each cell: its left sets with the right ones, or with one another where there is no right side; sets joined already (by ``known``) are left alone."""
         for table in groups(batches, ["family", "i", "j"]):
             if table.num_rows < 2:
                 continue
-            own, docs = table.column("own").to_numpy(), table.column("doc_id").to_numpy()
-            docs, first = np.unique(docs, return_index=True)  # repeated rows of an id hold one set
-            own = own[first]
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            docs, known, right = (table.column(c).to_numpy() for c in ("doc_id", "known", "right"))
+            order = np.lexsort((docs, right))
+            docs, known, split = docs[order], known[order], int((right == 0).sum())
             column = table.column("tokens")
-            order = np.argsort(own != i, kind="stable")
-            sets = [np.frombuffer(column[int(first[k])].as_buffer(), np.uint64) for k in order]
-            docs, split = docs[order], int((own == i).sum())
+            sets = [np.frombuffer(column[int(k)].as_buffer(), np.uint64) for k in order]
             forest = Forest(len(sets))
-            if i == j:
+            first = {}
+            for n, c in enumerate(known.tolist()):
+                forest.join(first.setdefault(c, n), n)
+            if split == len(sets):
                 link_block(sets, None, like, forest)
-            elif 0 < split < len(sets):
+            elif split:
                 link_block(sets[:split], sets[split:], like, forest)
             root = forest.roots()
             moved = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(docs[moved]), pa.array(docs[root[moved]])], names=["a", "b"])
 
-    return spread.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(link, "a long, b long")
+    cell = ["family", "i", "j"]
+
+    def linked(cells: DataFrame) -> DataFrame:
+        """Links of cells (family, i, j, right, doc_id, known)."""
+        held = chosen.join(cells, "doc_id")
+        return held.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(link, "a long, b long")
+
+    zero = F.lit(0)
+    own = placed.select("family", F.col("block").alias("i"), zero.alias("j"), zero.alias("right"), "doc_id", F.col("doc_id").alias("known"))
+    links = written(linked(own), "links-own")
+    several = placed.filter("blocks > 1")
+    if several.isEmpty():
+        return links
+
+    def within(sets: DataFrame, found: DataFrame) -> DataFrame:
+        """``sets`` with the component that each has by now."""
+        return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("known", F.coalesce("component", "doc_id")).drop("component")
+
+    crowds = within(several, components(links)).groupBy("family", "block", "known").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("of"))
+    crowds = crowds.filter(F.col("n") >= CROWD).select("family", "of.doc_id", "of.n_shingles")
+    meet = crowds.join(counted(crowds, "family").drop("n"), "family").select("family", block(1).alias("i"), zero.alias("j"), zero.alias("right"), "doc_id", F.col("doc_id").alias("known"))
+    links = written(links.unionByName(linked(meet)), "links-met")
+    state = written(within(several, components(links)), "state")
+    most = state.groupBy("family", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("known", F.struct("n", -F.col("known"))).alias("main"))
+    outer = state.join(written(most, "most"), "family").filter("known <> main").drop("main")
+    outer = written(outer.drop("blocks").join(counted(outer, "family").drop("n"), "family").withColumn("at", block(2)), "outer")
+    ways = written(outer.select("family", F.col("blocks").alias("outer_blocks")).distinct(), "ways")
+    every = F.explode(F.sequence(zero, F.col("outer_blocks") - 1)).alias("i")
+    right = state.join(ways, "family").select("family", every, F.col("block").alias("j"), F.lit(1).alias("right"), "doc_id", "known")
+    sides = written(state.select("family", F.col("blocks").alias("state_blocks")).distinct(), "sides")
+    left = outer.join(sides, "family").select("family", F.col("at").alias("i"), F.explode(F.sequence(zero, F.col("state_blocks") - 1)).alias("j"), zero.alias("right"), "doc_id", "known")
+    return links.unionByName(linked(left.unionByName(right)))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
