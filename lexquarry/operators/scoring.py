@@ -6,7 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The weight of each agent in the fused score.
-AGENT_WEIGHTS = {"understanding": 0.10, "research": 0.15, "graph": 0.05, "evidence": 0.15, "contradiction": 0.10, "procedure": 0.10, "reasoning": 0.15, "strategy": 0.10, "risk": 0.10}
+AGENT_WEIGHTS = {
+    "case_understanding": 0.10,
+    "legal_research": 0.15,
+    "knowledge_graph": 0.05,
+    "evidence_reliability": 0.15,
+    "contradiction_detection": 0.10,
+    "procedural_compliance": 0.10,
+    "legal_reasoning": 0.15,
+    "strategy_recommendation": 0.10,
+    "risk_assessment": 0.10,
+}
 SECTION_TITLES = ("Summary", "Facts", "Timeline", "Parties", "Issues", "Sections", "Precedents", "Evidence", "Contradictions", "Procedure", "Reasoning", "Strategy", "Risk", "Trust", "Findings", "References")
 SECTION_CAPS = {"Sections": 15, "Precedents": 10, "Findings": 5, "References": 10}
 CATEGORIES = (("criminal", ("criminal", "bail", "fir")), ("civil", ("civil", "suit", "contract")), ("constitutional", ("writ", "constitution")), ("corporate", ("company", "corporate", "tax")))

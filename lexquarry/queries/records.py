@@ -99,7 +99,8 @@ def _(docs):
     return docs.select("doc_id", F.array_join(X.acts(F.regexp_replace("text", r"Section \d+ of the ", "; ")), ",").alias("acts"))
 
 
-@query("articles_sorted", "judgments", sql=f"SELECT doc_id, CAST(doc_id % 20 + 12 AS STRING) AS article, CASE doc_id % 20 + 12 {' '.join(f'WHEN {a} THEN {chr(39)}{m}{chr(39)}' for a, m in X.ARTICLE_MEANINGS.items())} ELSE 'Constitutional provision' END AS meaning FROM judgments")
+@query("articles_sorted", "judgments", sql="""SELECT doc_id, CAST(doc_id % 20 + 12 AS STRING) AS article, CASE doc_id % 20 + 12 WHEN 14 THEN 'Equality before law and equal protection of laws.' WHEN 19 THEN 'Protection of fundamental freedoms (speech, assembly, etc.).'
+ WHEN 21 THEN 'Protection of life and personal liberty.' WHEN 22 THEN 'Protection against arbitrary arrest and detention.' ELSE 'Constitutional provision regarding fundamental rights and judicial authority.' END AS meaning FROM judgments""")
 def _(docs):
     rows = docs.select("doc_id", F.explode(X.articles(C("text"))).alias("article"))
     return rows.select("doc_id", "article", X.article_meaning(C("article")).alias("meaning"))
@@ -125,13 +126,14 @@ def _(docs):
     return X.evidence(docs).select("doc_id", "label", "disputed")
 
 
-@query("submissions", "judgments", sql="SELECT o_orderkey AS doc_id, 'prosecution' AS side, 1 AS nth, 'The case of the prosecution is that ' || c_name || ' took the goods at night.' AS text FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("submissions", "judgments", sql="""SELECT o_orderkey AS doc_id, 'prosecution' AS side, 1 AS nth, 'The case of the prosecution is that ' || c_name || ' took the goods at night.' AS text FROM orders JOIN customer ON o_custkey = c_custkey
+ UNION ALL SELECT o_orderkey, 'defence', 1, 'Applicant / Petitioner submits lack of mens rea and non-compliance with mandatory procedural safeguards.' FROM orders""")
 def _(docs):
     said = F.concat("text", F.lit("\nThe case of the prosecution is that "), F.regexp_extract("text", r"^(.*?) vs ", 1), F.lit(" took the goods at night. the case of the prosecution is that "), F.regexp_extract("text", r"^(.*?) vs ", 1), F.lit(" took the goods at night.\n"))
     return X.submissions(docs.select("doc_id", said.alias("text")))
 
 
-@query("risk_signals", "judgments", sql="SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Investigation complete; charge sheet filed' ELSE 'Pleadings and record favor the applicant' END AS strength, 1 AS n_weak FROM orders")
+@query("risk_signals", "judgments", sql="SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Investigation complete; charge sheet filed — no risk of evidence tampering.' ELSE 'Pleadings and documentary record prima facie favor ' || c_name || '.' END AS strength, 1 AS n_weak FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(docs):
     text = F.concat("text", F.when(C("doc_id") % 2 == 0, "\nThe charge sheet filed.").otherwise(""))
     return X.risk_signals(docs.select("doc_id", text.alias("text"))).select("doc_id", "strength", F.size("weaknesses").alias("n_weak"))
@@ -147,6 +149,37 @@ def _(docs):
     return docs.select("doc_id", F.size(X.issues(C("text"))).alias("n_issues"), F.size(X.witnesses(C("text"))).alias("n_witnesses"))
 
 
+@query("inferred_issues", "judgments", sql="""SELECT doc_id, 0 AS nth, 'The court asks whether the policy was valid on that date?' AS issue FROM judgments
+ UNION ALL SELECT doc_id, 1, 'AI-inferred legal issue: Whether the requirements of Section ' || (doc_id % 50 + 1) || ' are satisfied under the facts of the case.' FROM judgments
+ UNION ALL SELECT doc_id, 2, 'AI-inferred legal issue: Whether the requirements of Section ' || (doc_id % 90 + 1) || ' are satisfied under the facts of the case.' FROM judgments WHERE doc_id % 50 <> doc_id % 90""")
+def _(docs):
+    """X26 over whole judgments."""
+    return X.inferred_issues(docs.withColumn("text", F.replace("text", F.lit("Whether the policy"), F.lit("The court asks whether the policy"))))
+
+
+@query("dated_events", "judgments", sql="SELECT o_orderkey AS doc_id, 1 AS nth, day(o_orderdate) || ' ' || monthname(o_orderdate) || ', ' || year(o_orderdate) AS said FROM orders")
+def _(docs):
+    """X27 over whole judgments: the date of the title, in words."""
+    return X.dated_events(docs).select("doc_id", "nth", C("date").alias("said"))
+
+
+@query("bound_section_acts", "judgments", sql="""WITH t AS (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN [CAST(doc_id % 400 + 1 AS STRING), CAST(doc_id % 30 + 1 AS STRING) || '(2)'] WHEN 1 THEN [CAST(doc_id % 400 + 1 AS STRING) || 'A'] ELSE [CAST(doc_id % 400 + 1 AS STRING)] END) AS s FROM judgments),
+ m AS (SELECT doc_id, unnest(s) AS section FROM t)
+ SELECT DISTINCT doc_id, section, CASE doc_id % 3 WHEN 0 THEN 'Indian Penal Code, 1860' WHEN 1 THEN 'Arbitration and Conciliation Act, 1996' ELSE 'NDPS Act, 1985' END AS act FROM m""")
+def _(docs):
+    """X06 and X07 together: sections bound in full, by their bare number and by 'read with', and 'the Act' of a criminal text."""
+    n, k = (C("doc_id") % 400 + 1).cast("string"), (C("doc_id") % 30 + 1).cast("string")
+    said = (
+        F.when(C("doc_id") % 3 == 0, F.concat(F.lit("Guilty under Section "), n, F.lit(" read with Section "), k, F.lit("(2) of the Indian Penal Code.")))
+        .when(C("doc_id") % 3 == 1, F.concat(F.lit("A claim under Section "), n, F.lit(" of the Arbitration Act, 1996 lies.")))
+        .otherwise(F.concat(F.lit("Seized under Section "), n, F.lit(" of the Act.")))
+    )
+    rows = docs.select("doc_id", said.alias("text"))
+    found = F.when(C("doc_id") % 3 == 0, F.array(n, F.concat(k, F.lit("(2)")))).when(C("doc_id") % 3 == 1, F.array(F.concat(n, F.lit("A")))).otherwise(F.array(n))
+    mentions = docs.select("doc_id", F.explode(found).alias("section"))
+    return X.map_sections(mentions, X.bindings(rows), F.lit("criminal")).select("doc_id", "section", "act").distinct()
+
+
 @query("fact_sentences", "judgments")
 def _(docs):
     return docs.select("doc_id", F.posexplode(X.facts(C("text"))).alias("nth", "fact"))

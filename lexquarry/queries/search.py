@@ -165,8 +165,13 @@ def _(docs, queries):
     return B.bm25(docs, queries).select("query_id", "doc_id", "score", "rank")
 
 
-@query("keywords_top20", "documents", sql=f"""SELECT doc_id, upper(word[1]) || word[2:] AS keyword, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM
- (SELECT doc_id, w[i] AS word, count(*) AS n, min(i) AS pos FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{5,}}') AS w FROM documents)) WHERE w[i] NOT IN {B.KEYWORD_STOP} GROUP BY 1, 2)) WHERE rank <= 20""")
+@query("keywords_top20", "documents", sql="""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{5,}')) AS w FROM documents),
+ c AS (SELECT doc_id, w[i] AS word, count(*) AS n, min(i) AS pos FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w) WHERE w[i] NOT IN (
+ 'about', 'above', 'after', 'again', 'against', 'because', 'before', 'being', 'below', 'between', 'cannot', 'could', 'doing', 'during', 'further', 'having', 'herself', 'himself', 'itself', 'myself', 'other', 'ought', 'ourselves',
+ 'should', 'their', 'theirs', 'themselves', 'there', 'these', 'those', 'through', 'under', 'until', 'where', 'which', 'while', 'would', 'yours', 'yourself', 'yourselves', 'shall', 'court', 'judgment', 'plaintiff', 'defendant',
+ 'petitioner', 'respondent', 'appeal', 'sections', 'section', 'article') GROUP BY 1, 2)
+ SELECT doc_id, upper(word[1]) || word[2:] AS keyword, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM c) WHERE rank <= 20
+ UNION ALL SELECT doc_id, f.keyword, 0, f.rank FROM documents, (VALUES ('Judgment', 1), ('Appeal', 2), ('Defendant', 3), ('Petitioner', 4), ('Court', 5)) f(keyword, rank) WHERE doc_id NOT IN (SELECT doc_id FROM c)""")
 def _(docs):
     return B.keywords(docs)
 
