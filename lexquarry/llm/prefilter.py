@@ -7,6 +7,7 @@ how many rows pass.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits, a power of two, with the bits of all keys (one column of longs) set; the driver gets its bytes and no more."""
+    at = keys.select((F.pmod(F.col(keys.columns[0]), F.lit(bits)) + 1).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("b")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for n, b in rows:
+        out[(n - 1) * len(b) : n * len(b)] = np.frombuffer(b, np.uint8)
+    return out
+
+
+def found(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64-bit) may be in a map of :func:`bitmap`."""
+    at = (keys & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` whose key may be among ``ids``, rows whose key surely isn't); null keys never are."""
     bit = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1

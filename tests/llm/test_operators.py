@@ -247,6 +247,67 @@ def test_suffix_tree(docs):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def suffix_tree_scores(rows, own=1.25, depth=3, lean=8.0, tails=96):
+    """The model of ``score_texts`` by dictionaries: contexts are tuples of symbols, the last word first."""
+    tokens = {i: WORD.findall((t or "").translate(LOW)) for i, t in rows}
+    learnt = [i for i in tokens if not held_out(i)]
+    seen = Counter(w for i in learnt for w in tokens[i])
+    total = sum(seen.values()) + len(learnt)
+    kind = lambda w: "rare" if seen[w] < 3 else w if seen[w] >= max(3, own * math.sqrt(total)) else zlib.crc32(w.encode()[-2:]) % tails
+    texts = {i: [kind(w) for w in ws] + ["end"] for i, ws in tokens.items()}
+    root = Counter(s for i in learnt for s in texts[i])
+    own_words = {w for w in seen if kind(w) == w}
+
+    def before(text, at):
+        out = [()]
+        for k in range(1, depth + 1):
+            s = text[at - k] if at >= k else "start" if at == k - 1 else None
+            if s is None or (s != "start" and s not in own_words):
+                break
+            out.append((*out[-1], s))
+        return out
+
+    counts = defaultdict(Counter)
+    for i in learnt:
+        for at, s in enumerate(texts[i]):
+            for c in before(texts[i], at)[1:]:
+                counts[c][s] += 1
+    of = lambda c, s: counts[c][s] / sum(counts[c].values()) if c else root[s] / total
+    tree = set()
+    for c, n in counts.items():
+        gain = sum(k * math.log(of(c, s) / of(c[:-1], s)) for s, k in n.items())
+        if max(n.values()) > 1 and 2 * gain > math.log(total) * len(n):
+            tree.add(c)
+    numbered = 2 + tails + len(own_words) if own_words else 1 + max([1] + [2 + s for s in root if isinstance(s, int)])
+    once, two, three = (1 + sum(v == k for v in seen.values()) for k in (1, 2, 3))
+    rare = [once, 2 * two / once, 3 * three / two]
+
+    def score(i):
+        out = 0.0
+        for at, s in enumerate(texts[i]):
+            p = (root[s] + lean / numbered) / (total + lean)
+            for c in before(texts[i], at)[1:]:
+                if c in tree:
+                    p = (counts[c][s] + lean * p) / (sum(counts[c].values()) + lean)
+            out += math.log10(p)
+            if s != "end":
+                w = tokens[i][at]
+                out += math.log10(rare[seen[w]] / (once + 2 * two + 3 * three) if seen[w] < 3 else seen[w] / root[s])
+        return out
+
+    return {i: score(i) for i in tokens}, tree
+
+
+def test_suffix_tree_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(0, 60)) if k < 400)) for i in range(150)]
+    rows += [(i + 500, rows[i][1]) for i in range(0, 40, 2)] + [(i + 700, f"w1 w2 w1 w{i % 3} w2 w1 " * 4) for i in range(20)] + [(i + 800, "w7 w8 " * 8) for i in range(30)] + [(900, None), (901, "W1 new w2")]
+    want, tree = suffix_tree_scores(rows)
+    assert {len(c) for c in tree} == {1, 2, 3}
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_suffix_tree_nothing_to_learn(spark, empty):
     assert score_texts(empty).count() == 0
     ids = [i for i in range(200) if held_out(i)][:3]
