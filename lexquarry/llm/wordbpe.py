@@ -119,7 +119,7 @@ class ChunkIds:
     result depends on the bound.
     """
 
-    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int = 400_000):
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int = 200_000):
         self.merge, self.bound, self.now, self.last = merge, bound, Generation(), Generation()
 
     def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
