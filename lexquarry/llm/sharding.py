@@ -1,15 +1,22 @@
 """Sharding by minimax contiguous partition.
 
-All rows of equal text form one atom that no cut divides.  Atoms are ordered
-by the hash of their text and gathered in at most ``2**block_bits`` blocks of
-neighbours, so what the driver reads is bounded whatever the input.  The
-smallest feasible shard capacity over the ordered block sizes is found by
-binary search, each guess checked greedily, and the order is cut there.
+All rows of equal text form one atom that no cut divides, and atoms are ordered
+by the hash of their text.  The smallest feasible shard capacity over the
+ordered atom sizes is found by binary search, each guess checked greedily, and
+the order is cut there.  An atom larger than an even share of the rest (a text with very many
+copies) is a shard by itself at its place in the order, and the search goes on over the rest.
+
+The driver sees ranges of the order with their sums, never all atoms.  Ranges
+in which a greedy pass of a capacity that is still possible may cut are divided
+until each holds one atom, so the plan is that of the atoms themselves, while
+what is read in a round is bounded by the shards and not by the rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,24 +50,96 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
     return greedy_cuts(ends, low)
 
 
-def plan_shards(blocks: list[tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
-    """(blocks that get a shard of their own, first blocks of the later runs).
+def spans_of(giants: set[int], n: int) -> list[tuple[int, int]]:
+    """The runs (start, end) of positions below ``n`` between ``giants``."""
+    edges = [-1, *sorted(giants), n]
+    return [(a + 1, b) for a, b in zip(edges, edges[1:]) if b > a + 1]
 
-    A block larger than an even share of what is left (a text with very many
-    copies) comes first in the order and is a shard by itself, so that it
-    doesn't set the capacity of all the others.
-    """
-    left = dict(blocks)
-    alone: list[int] = []
-    while left and len(alone) < shards - 1:
-        big = max(left, key=lambda b: (left[b], -b))
-        if left[big] * (shards - len(alone)) <= sum(left.values()) or len(left) <= shards - len(alone):
+
+def giants_of(sizes: list[int], shards: int) -> set[int]:
+    """Positions that get a shard of their own: each is larger than an even share of what the other giants leave."""
+    giants: set[int] = set()
+    left = sum(sizes)
+    for at in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        if len(giants) >= shards - 1 or sizes[at] * (shards - len(giants)) <= left:
             break
-        alone.append(big)
-        del left[big]
-    order = sorted(left)
-    cuts = minimax_cuts([left[b] for b in order], shards - len(alone))
-    return alone, [order[c] for c in cuts[:-1]]
+        giants.add(at)
+        left -= sizes[at]
+    while len(giants) + len(spans_of(giants, len(sizes))) > shards:  # more runs between giants than shards: the least giant joins its neighbours
+        giants.remove(min(giants, key=lambda i: sizes[i]))
+    return giants
+
+
+def fluid_cuts(ends: list[int], several: list[bool], capacity: int) -> list[int]:
+    """Offsets at which a greedy pass cuts when ranges of several atoms could be divided anywhere."""
+    cuts, at = [], 0
+    while at < ends[-1]:
+        goal = at + capacity
+        i = bisect_right(ends, goal)
+        if i < len(ends) and not several[i]:
+            goal = max(ends[i - 1] if i else 0, at + 1)
+        at = min(goal, ends[-1])
+        cuts.append(at)
+    return cuts
+
+
+def least_capacity(spans: list[list[int]], shards: int, low: int, count: Callable[[int, int], int]) -> int:
+    """The smallest capacity from ``low`` on with which all spans (their ends) need at most ``shards`` runs; ``count(span, capacity)`` counts one's."""
+    high = max((e[-1] for e in spans), default=low)
+    while low < high:
+        mid = (low + high) // 2
+        if sum(count(i, mid) for i in range(len(spans))) <= shards:
+            high = mid
+        else:
+            low = mid + 1
+    return low
+
+
+def plan_shards(ranges: list[tuple[int, int, bool]], shards: int) -> tuple[list[int], list[int]]:
+    """(starts of the shards after the first, positions of ranges to divide before that is final) for ordered (start, size, several atoms) ranges."""
+    sizes, several = [r[1] for r in ranges], [r[2] for r in ranges]
+    giants = giants_of(sizes, shards)
+    if divide := [i for i in sorted(giants) if several[i]]:
+        return [], divide
+    spans = spans_of(giants, len(ranges))
+    ends = [list(accumulate(sizes[a:b])) for a, b in spans]
+    kinds = [several[a:b] for a, b in spans]
+    left = shards - len(giants)
+    largest = max((sizes[i] for a, b in spans for i in range(a, b)), default=0)
+    capacity = least_capacity(ends, left, largest, lambda i, c: len(greedy_cuts(ends[i], c)))
+    atom = max((sizes[i] for a, b in spans for i in range(a, b) if not several[i]), default=1)
+    least = least_capacity(ends, left, atom, lambda i, c: len(fluid_cuts(ends[i], kinds[i], c)))
+    firsts, divide = set(giants) | {g + 1 for g in giants}, []
+    for (start, _), e, kind in zip(spans, ends, kinds, strict=True):
+        firsts |= {start + c for c in greedy_cuts(e, capacity)}
+        early = 0
+        for late in fluid_cuts(e, kind, capacity)[:-1]:  # no later than this, and no earlier than a pass of the least capacity over whole ranges
+            at = bisect_right(e, early + least)
+            early = max(early, e[at - 1] if at else 0)
+            divide += [start + i for i in range(bisect_right(e, early), min(bisect_right(e, late) + 1, len(e))) if kind[i]]
+    return [ranges[i][0] for i in sorted(firsts) if 0 < i < len(ranges)], sorted(set(divide))
+
+
+def shard_starts(rows: DataFrame, shards: int, first_bits: int = 16, more_bits: int = 8) -> list[int]:
+    """The hashes at which the shards after the first begin, for rows (hash, size)."""
+
+    def sums(of: DataFrame, bits: int) -> list[tuple[int, int, bool, int]]:
+        """(start, size, several atoms, bits) of each range of hashes that agree in so many bits; hashes are ordered as signed numbers."""
+        parts = of.groupBy(F.shiftright("hash", 64 - bits).alias("at")).agg(F.sum("size"), F.min("hash") < F.max("hash")).collect()
+        return [(at << (64 - bits), size, many, bits) for at, size, many in parts]
+
+    ranges = sorted(sums(rows, first_bits))
+    while True:
+        starts, divide = plan_shards([r[:3] for r in ranges], shards)
+        if not divide:
+            return starts
+        out, by_bits = {ranges[i] for i in divide}, defaultdict(list)
+        for start, _, _, bits in out:
+            by_bits[bits].append(start >> (64 - bits))
+        for bits, at in by_bits.items():
+            out_of = rows.filter(F.shiftright("hash", 64 - bits).isin(at))
+            ranges += sums(out_of, min(64, bits + more_bits))
+        ranges = sorted(r for r in ranges if r not in out)
 
 
 def shard_documents(
@@ -68,7 +147,7 @@ def shard_documents(
     n_shards: int = 24,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bits: int = 16,
+    first_bits: int = 16,
 ) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -86,14 +165,10 @@ def shard_documents(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 64 - block_bits).cast("int").alias("block"),
+        F.xxhash64(text).alias("hash"),
     )
     rows = written(rows, "shard-rows")
-    sums = [(r[0], r[1]) for r in rows.groupBy("block").agg(F.sum("size")).collect()]  # at most 2**block_bits
-    alone, firsts = plan_shards(sums, n_shards)
-    shard = F.lit(len(alone)) + sum(((F.col("block") >= b).cast("int") for b in firsts), F.lit(0))
-    for i, b in enumerate(alone):
-        shard = F.when(F.col("block") == b, i).otherwise(shard)
+    shard = sum(((F.col("hash") >= start).cast("int") for start in shard_starts(rows, n_shards, first_bits)), F.lit(0))
     rows = rows.withColumn("shard", shard.cast("int")).withColumn(
         "cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)).cast("int")
     )

@@ -16,7 +16,7 @@ from lexquarry.llm.lines import drop_repeated_lines
 from lexquarry.llm.packing import best_fit, complement_plan, pack_documents, plan_packing
 from lexquarry.llm.quality import classify_quality, keep_quality, fit_quality
 from lexquarry.llm.secrets import BASE_RULES, redact_secrets, scan_secrets, span_digest
-from lexquarry.llm.sharding import minimax_cuts, plan_shards, shard_documents
+from lexquarry.llm.sharding import minimax_cuts, plan_shards, shard_documents, shard_starts
 from lexquarry.llm.suffix_tree import held_out, score_texts
 from lexquarry.llm.transducer import Transducer, compile_words, encode_decode
 from lexquarry.llm.vectors import near_vectors
@@ -176,8 +176,41 @@ def test_minimax_is_the_least_capacity():
 
         cuts = [0, *minimax_cuts(sizes, k)]
         assert len(cuts) - 1 <= k and max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)) == least(sizes, k)
-    alone, firsts = plan_shards([(0, 5), (1, 900), (2, 5), (3, 5), (4, 5)], 3)
-    assert alone == [1] and len(firsts) == 1
+    sizes = [5, 900, 5, 5, 5]  # the large one is a shard by itself, at its place
+    assert plan_shards([(i, n, False) for i, n in enumerate(sizes)], 3) == ([1, 2], [])
+
+
+@pytest.mark.parametrize("copies", [1, 4000])
+def test_sharding_plans_whole_atoms(spark, copies):
+    rng = np.random.default_rng(5)
+    rows = [(int(h), int(n)) for h, n in zip(rng.integers(-(1 << 63), 1 << 63, 60), rng.integers(8, 900, 60), strict=True)]
+    rows = [(h, n) for i, (h, n) in enumerate(rows) for _ in range(copies if i == 7 else 1 + i % 3)]
+    atoms = sorted(Counter(h for h, _ in rows).items())
+    size = Counter()
+    for h, n in rows:
+        size[h] += n
+    table = spark.createDataFrame(rows, "hash long, size long")
+    for shards in (1, 2, 5, 9):
+        want, divide = plan_shards([(h, size[h], False) for h, _ in atoms], shards)
+        of = [sum(h >= s for s in want) for h, _ in atoms]
+        found = shard_starts(table, shards, first_bits=2, more_bits=1)
+        assert divide == [] and [sum(h >= s for s in found) for h, _ in atoms] == of
+        if copies == 1:  # no atom is too large: the least capacity over all contiguous partitions
+            got = max(sum(size[h] for (h, _), x in zip(atoms, of, strict=True) if x == k) for k in range(shards))
+            cuts = minimax_cuts([size[h] for h, _ in atoms], shards)
+            assert got == max(sum(size[h] for h, _ in atoms[a:b]) for a, b in zip([0, *cuts], cuts, strict=False))
+
+
+def test_sharding_is_balanced(spark):
+    texts = [(i, f"text {i} " * (i % 40)) for i in range(400)] + [(1000 + i, "a text with very many copies " * 5) for i in range(300)]
+    rows = shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), 6).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    hot = {r.shard for r in rows if r.doc_id >= 1000}
+    assert len(hot) == 1 and set(sizes) == set(range(6))
+    rest = [n for s, n in sizes.items() if s not in hot]
+    assert max(rest) - min(rest) <= 2 * max(r.size for r in rows if r.doc_id < 1000) * len(rest)
 
 
 def test_lines(docs):
