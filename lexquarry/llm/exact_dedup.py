@@ -51,7 +51,8 @@ def exact_dedup(
         *([F.sha2(norm, 256).alias("sha")] if digest_all else []),
     )
     keys = written(keys, "dedup-keys")
-    crowded = keys.groupBy("len", "pre").count().filter("count > 1").drop("count")
+    # Narrow sides are written, so that AQE can split the rows of a hot length and prefix, or of a hot digest, on the other side.
+    crowded = written(keys.groupBy("len", "pre").count().filter("count > 1").drop("count"), "crowded")
     if digest_all:
         full = keys.join(crowded, ["len", "pre"], "left_semi")
     else:
@@ -66,8 +67,7 @@ def exact_dedup(
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
     )
-    # AQE splits the partition of a hot digest: the large side holds narrow rows only.
-    return keys.join(groups, "sha", "left").select(
+    return keys.join(written(groups, "groups"), "sha", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
