@@ -12,13 +12,17 @@ import hashlib
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.prefilter import fresh, split_by_ids
+from lexquarry.llm.prefilter import bitmap, found, fresh, split_by_ids
 from lexquarry.llm.wordbpe import slices, small_batches
-from lexquarry.plans.storage import written
+from lexquarry.plans.storage import drop_written, written
+
+#: Bits of the map of rows to scan: 16 MB at most; a full map only has copies scanned again.
+BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -64,25 +68,27 @@ def scanner(rules: tuple[Rule, ...]):
     return scan
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, text) rows to ledger rows: blob, rule_version, findings."""
-    version = rule_version(rules)
-    kinds = [r.kind for r in rules]
+def scan_blobs(rows: DataFrame, rules: tuple[Rule, ...], wanted: np.ndarray) -> DataFrame:
+    """(blob, text, key) rows to ledger rows (blob, rule_version, findings) of those whose key is in the map ``wanted``; each blob once in a task."""
+    version, kinds = rule_version(rules), [r.kind for r in rules]
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        scan = scanner(rules)
+        scan, seen = scanner(rules), set()
         item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in (part for whole in batches for part in slices(whole)):
-            found = [
-                [{"kind": kinds[n], "start": s, "end": e} for n, s, e in scan(t or "")] for t in batch.column(1).to_pylist()
-            ]
+            batch = batch.filter(pa.array(found(sent.value, batch.column(2).to_numpy().view(np.uint64))))
+            blobs, texts, of = batch.column(0).to_pylist(), batch.column(1), []
+            fresh = [n for n, b in enumerate(blobs) if not (b in seen or seen.add(b))]
+            for n in fresh:
+                of.append([{"kind": kinds[k], "start": s, "end": e} for k, s, e in scan(texts[n].as_py())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([version] * len(found)), pa.array(found, pa.list_(item))],
+                [pa.array([blobs[n] for n in fresh], pa.binary()), pa.array([version] * len(fresh), pa.string()), pa.array(of, pa.list_(item))],
                 names=["blob", "rule_version", "findings"],
             )
 
-    small_batches(blobs.sparkSession)
-    return blobs.mapInArrow(run, "blob binary, rule_version string, findings array<struct<kind:string,start:bigint,end:bigint>>")
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, "blob binary, rule_version string, findings array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def scan_secrets(
@@ -102,16 +108,20 @@ def scan_secrets(
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
-    todo = rows.select("blob", "text")
+    paths = written(rows.select("doc_id", "blob"), "paths")
+    todo = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version(rules)).select("blob")
-        todo = todo.join(known, "blob", "left_anti")
-    # Copies meet on their way to the shuffle, so a text that many rows share is sent once per task.
-    added = written(scan_blobs(todo.dropDuplicates(["blob"]), rules), "ledger")
+        todo = todo.join(ledger.filter(F.col("rule_version") == rule_version(rules)).select("blob"), "blob", "left_anti")
+    todo = written(todo, "unseen")
+    # One row stands for each unseen blob.  Texts stay where they are: a map of those rows tells a task which ones to scan.
+    key = F.xxhash64("blob", "doc_id").alias("key")
+    scanned = scan_blobs(rows.select("blob", "text", key), rules, bitmap(todo.select(key), BITS))
+    added = written(scanned.join(todo.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]), "ledger")
+    drop_written(todo)
     full = added if ledger is None else added.unionByName(ledger.filter(F.col("rule_version") == rule_version(rules)))
     hits = full.filter(F.size("findings") > 0).select("blob", "findings")
     empty = F.array().cast(dict(added.dtypes)["findings"])
-    paths = rows.select("doc_id", "blob").join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
+    paths = paths.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
     return paths.select("doc_id", "blob", "findings"), added
 
 
