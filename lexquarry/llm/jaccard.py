@@ -43,8 +43,6 @@ BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
 CROWD = 16
 GROUP = 16
 SEEDS = 4
-#: How often sets with too few shared signatures are looked for.
-PRUNES = 2
 
 
 @dataclass(frozen=True)
@@ -307,13 +305,12 @@ def families(signed: DataFrame) -> DataFrame:
     rows = "sig long, node long, tag int"
     live = signed.mapInArrow(spell, rows).repartition("sig").sortWithinPartitions("sig", "node")
     live = written(live.mapInArrow(shared, rows), "shared")
-    for _ in range(PRUNES):  # narrow sides are written, so that AQE can split hot signatures
-        enough = written(live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("tag").bitwiseAND(255)).drop("n"), "enough")
-        kept = written(live.join(enough, ["node", "tag"], "left_semi"), "kept")
-        lead = written(kept.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").drop("last"), "leads")
-        drop_written(live, enough)
-        live = written(kept.drop("lead").join(lead, "sig"), "shared")
-        drop_written(kept, lead)
+    # Narrow sides are written, so that AQE can split hot signatures.
+    enough = written(live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("tag").bitwiseAND(255)).drop("n"), "enough")
+    kept = written(live.join(enough, ["node", "tag"], "left_semi").select("sig", "node"), "kept")
+    drop_written(live, enough)
+    lead = written(kept.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").drop("last"), "leads")
+    live = kept.join(lead, "sig")
     return components(live.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
 
 
@@ -336,7 +333,7 @@ def block_links(rows: DataFrame, family: DataFrame, size: int, like: Likeness) -
 
     # Only sets that may be in a family are made again and shuffled; the texts themselves are not.
     may, _ = split_by_ids(rows, placed)
-    chosen = may.mapInArrow(tokens_of, "doc_id long, tokens binary").join(placed.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    chosen = may.mapInArrow(tokens_of, "doc_id long, tokens binary").join(placed.hint("shuffle_hash"), "doc_id")
     chosen = written(chosen.dropDuplicates(["doc_id"]), "tokens")  # repeated rows of an id hold one set
 
     def link(batches):
@@ -363,15 +360,14 @@ def block_links(rows: DataFrame, family: DataFrame, size: int, like: Likeness) -
 
     cell = ["family", "i", "j"]
 
-    def linked(cells: DataFrame) -> DataFrame:
-        """Links of cells (family, i, j, right, doc_id, known)."""
-        held = chosen.join(cells, "doc_id")
+    def linked(held: DataFrame) -> DataFrame:
+        """Links of cells (family, i, j, right, doc_id, known, tokens)."""
         return held.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(link, "a long, b long")
 
     zero = F.lit(0)
-    own = placed.select("family", F.col("block").alias("i"), zero.alias("j"), zero.alias("right"), "doc_id", F.col("doc_id").alias("known"))
+    own = chosen.select("family", F.col("block").alias("i"), zero.alias("j"), zero.alias("right"), "doc_id", F.col("doc_id").alias("known"), "tokens")
     links = written(linked(own), "links-own")
-    several = placed.filter("blocks > 1")
+    several, crowded = placed.filter("blocks > 1"), chosen.filter("blocks > 1").select("doc_id", "tokens")
     if several.isEmpty():
         return links
 
@@ -382,7 +378,7 @@ def block_links(rows: DataFrame, family: DataFrame, size: int, like: Likeness) -
     crowds = within(several, components(links)).groupBy("family", "block", "known").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("of"))
     crowds = crowds.filter(F.col("n") >= CROWD).select("family", "of.doc_id", "of.n_shingles")
     meet = crowds.join(counted(crowds, "family").drop("n"), "family").select("family", block(1).alias("i"), zero.alias("j"), zero.alias("right"), "doc_id", F.col("doc_id").alias("known"))
-    links = written(links.unionByName(linked(meet)), "links-met")
+    links = written(links.unionByName(linked(crowded.join(meet, "doc_id"))), "links-met")
     state = written(within(several, components(links)), "state")
     most = state.groupBy("family", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("known", F.struct("n", -F.col("known"))).alias("main"))
     outer = state.join(written(most, "most"), "family").filter("known <> main").drop("main")
@@ -392,7 +388,7 @@ def block_links(rows: DataFrame, family: DataFrame, size: int, like: Likeness) -
     right = state.join(ways, "family").select("family", every, F.col("block").alias("j"), F.lit(1).alias("right"), "doc_id", "known")
     sides = written(state.select("family", F.col("blocks").alias("state_blocks")).distinct(), "sides")
     left = outer.join(sides, "family").select("family", F.col("at").alias("i"), F.explode(F.sequence(zero, F.col("state_blocks") - 1)).alias("j"), zero.alias("right"), "doc_id", "known")
-    return links.unionByName(linked(left.unionByName(right)))
+    return links.unionByName(linked(crowded.join(left.unionByName(right), "doc_id")))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
