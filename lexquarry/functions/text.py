@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # What cleaning replaces and the lines it removes.
 ONE_FOR_ONE = ("‘’“”– ", "''\"\"- ")
@@ -17,6 +18,7 @@ HEADER_LINES = (
     rf"(?m)^\s*\[?\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONTHS})\s+\d{{4}}\]?\s*$",
     r"(?m)^\s*\d{1,2}/\d{1,2}/\d{2,4}\s*$",
 )
+WORD_REPAIRS = {"diffic ulties": "difficulties", "diffic-ulties": "difficulties", "diffic_ulties": "difficulties"}
 NOT_FOUND = "Not found in document"
 STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "regarding", "about", "concerning", "what", "how", "when", "where", "which")
 
@@ -50,8 +52,14 @@ def clean_text(text: Column, remove_headers: bool = True) -> Column:
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "").otherwise(chain(out, r"^\s+", r"\s+$"))
 
 
+def schema_of(df: DataFrame) -> StructType:
+    """A copy of a schema, to which columns can be added."""
+    return StructType(list(df.schema.fields))
+
+
 def join_lines(text: Column) -> Column:
-    """Every line squeezed and trimmed, joined by newlines, blank ones dropped."""
+    """Broken words mended, every line squeezed and trimmed, joined by newlines, blank ones dropped."""
+    text = reduce(lambda c, word: F.replace(c, F.lit(word), F.lit(WORD_REPAIRS[word])), WORD_REPAIRS, text)
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
@@ -59,7 +67,8 @@ def join_lines(text: Column) -> Column:
 def sections_of(text: Column) -> Column:
     """Array of (number, content, char_count), content up to the next heading."""
     head = r"(?m)^(?:(?:Section|Sec\.?)\s*)?(\d+[A-Z]?)\.?\s*[-–—:]?\s+(?=\S)"
-    parts = F.slice(F.split(F.regexp_replace(text, head, "\u0001$1\u0002"), "\u0001"), 2, 100_000)
+    parts = F.split(F.regexp_replace(text, head, "\u0001$1\u0002"), "\u0001")
+    parts = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.transform(
         parts,
         lambda p: F.struct(

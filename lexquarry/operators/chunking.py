@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ SECTION_START = r"(?m)(?:^|\n)((?:(?:SECTION|Section|Art\.|Article)\s+)?\d{1,4}[
 # Where a window may end, best first.
 BREAKS = tuple(map(re.compile, (r"\.\s+[A-Z]", r"\.\n", r"\n\n", r"\n", r"\s+")))
 SEPARATORS = ("\n\n", "\n", "Article ", "Section ", " ", "")
+# Fixed value: the separators for chunks of a number of tokens, legal headings first.
+TOKEN_SEPARATORS = ("\n## ", "\n### ", "\nArticle ", "\nPart ", "\nSchedule ", "\n\n", "\n", " ")
 
 
 def section_parts(text):
@@ -36,7 +39,9 @@ def window_end(text: str, start: int, size: int) -> int:
 
 
 def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """(start, end) of overlapping windows that end at sentence breaks where they can."""
+    """(start, end) of overlapping windows that end at sentence breaks where they can; the overlap is half of the size at most."""
+    if not 0 <= 2 * overlap <= size or size < 1:
+        raise ValueError(f"an overlap of {overlap} doesn't fit windows of {size}")
     start = 0
     while start < len(text):
         if start + size >= len(text):
@@ -75,45 +80,51 @@ def recursive_parts(text: str, size: int, overlap: int, length: Callable[[str],
     return out
 
 
-def _spans(df: DataFrame, key: str, cut: Callable[[str], list[str]]) -> DataFrame:
-    """(key, part, text) of what ``cut`` makes of each (key, part, text)."""
+def _chunked(df: DataFrame, texts: str, cut: Callable[..., list[str]]) -> DataFrame:
+    """The rows of ``df`` with column ``texts`` replaced by (chunk_index, text, total_chunks) of what ``cut`` makes of it; nothing is shuffled."""
+    kept = [c for c in df.columns if c not in (texts, "chunk_index", "text", "total_chunks")]
 
     def run(batches):
         for batch in batches:
-            rows = [(k, p, i, t) for k, p, text in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True) for i, t in enumerate(cut(text or ""))]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int32(), pa.string()), strict=True))], names=[key, "part", "sub", "text"])
+            chunks = [cut(t) for t in batch.column(len(kept)).to_pylist()]
+            size = np.array([len(c) for c in chunks], np.int64)
+            owner = pa.array(np.repeat(np.arange(len(chunks)), size))
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            made = [pa.array(at, pa.int32()), pa.array([t for c in chunks for t in c], pa.string()), pa.array(np.repeat(size, size))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(owner) for n in range(len(kept))), *made], names=[*kept, "chunk_index", "text", "total_chunks"])
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, F.col("part").cast("int"), "text").mapInArrow(run, f"{key} {kind}, part int, sub int, text string")
+    schema = T.schema_of(df.select(kept))
+    return df.select(*kept, texts).mapInArrow(run, schema.add("chunk_index", "integer").add("text", "string").add("total_chunks", "long"))
 
 
-def merged_small(parts, least: int = SMALL):
+def merged_small(parts: list[str], least: int = SMALL) -> list[str]:
     """Parts under ``least`` characters joined with their successor; a small last one stays."""
-    fold = F.aggregate(
-        parts,
-        F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held")),
-        lambda s, p: F.when(s["held"].isNull(), F.struct(s["done"].alias("done"), p.alias("held")))
-        .when(F.length(s["held"]) < least, F.struct(s["done"].alias("done"), F.concat(s["held"], F.lit("\n\n"), p).alias("held")))
-        .otherwise(F.struct(F.concat(s["done"], F.array(s["held"])).alias("done"), p.alias("held"))),
-        lambda s: F.when(s["held"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["held"]))),
-    )
-    return fold
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for part in parts:
+        if held and size >= least:
+            out.append("\n\n".join(held))
+            held, size = [], 0
+        size += len(part) + 2 * bool(held)
+        held.append(part)
+    return [*out, "\n\n".join(held)] if held else out
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, chunk_index, text, char_count, and the other columns): section parts, windows of long ones, small ones merged."""
-    parts = docs.select(key, F.posexplode(section_parts(F.col("text"))).alias("part", "text"))
+    """(key, the other columns, chunk_index, text, char_count): section parts, windows of long ones, small ones merged.
+
+    A text without parts has no chunks.  All of a text's chunks are made within its row.
+    """
 
-    def cut(text: str) -> list[str]:
-        return [text] if len(text) <= size else [text[a:b].strip() for a, b in windows(text, size, overlap)]
+    def cut(parts: list[str] | None) -> list[str]:
+        pieces = []
+        for part in parts or ():
+            pieces += [part] if len(part) <= size else [part[a:b].strip() for a, b in windows(part, size, overlap)]
+        return merged_small(pieces)
 
-    pieces = _spans(parts, key, cut)
-    ordered = F.array_sort(F.collect_list(F.struct("part", "sub", "text")))
-    whole = pieces.groupBy(key).agg(merged_small(F.transform(ordered, lambda x: x["text"])).alias("chunks"))
-    out = whole.select(key, F.posexplode("chunks").alias("chunk_index", "text")).withColumn("char_count", F.length("text"))
-    others = [c for c in docs.columns if c not in (key, "text", "chunk_index", "char_count")]
-    return out.join(docs.select(key, *others), key) if others else out
+    rows = docs.withColumn("text", section_parts(F.col("text")))
+    return _chunked(rows, "text", cut).drop("total_chunks").withColumn("char_count", F.length("text"))
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
@@ -136,11 +147,9 @@ def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key:
 
 
 def recursive_chunks(docs: DataFrame, size: int = 800, overlap: int = 100, by_tokens: bool = False, key: str = "doc_id") -> DataFrame:
-    """(key, chunk_index, text, total_chunks); token lengths are a quarter of the characters."""
-    length = (lambda t: len(t) // 4) if by_tokens else len
-    pieces = _spans(docs.select(key, F.lit(0).alias("part"), "text"), key, lambda t: recursive_parts(t, size, overlap, length) if t.strip() else [])
-    total = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return pieces.select(key, F.col("sub").alias("chunk_index"), "text", total.alias("total_chunks"))
+    """(key, chunk_index, text, total_chunks); token lengths are a quarter of the characters, and split at legal headings first."""
+    length, separators = (lambda t: len(t) // 4, TOKEN_SEPARATORS) if by_tokens else (len, SEPARATORS)
+    return _chunked(docs.select(key, "text"), "text", lambda t: recursive_parts(t, size, overlap, length, separators) if t and t.strip() else [])
 
 
 def line_chunks(docs: DataFrame, key: str = "doc_id", longer_than: int = 30) -> DataFrame:

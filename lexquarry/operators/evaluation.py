@@ -76,6 +76,14 @@ def irac(analyses: DataFrame, weights: dict[str, float] = IRAC) -> DataFrame:
     return analyses.select("analysis_id", *[F.round(v, 6).alias(c) for c, v in parts.items()], F.round(total, 6).alias("total"))
 
 
+def irac_means(analyses: DataFrame, weights: dict[str, float] = IRAC) -> DataFrame:
+    """(component, mean): the mean of every component and of the total over all analyses."""
+    scores = irac(analyses, weights)
+    names = [*weights, "total"]
+    means = scores.agg(*[F.avg(n).alias(n) for n in names])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(n).alias("component"), F.round(n, 6).alias("mean")) for n in names])).alias("m")).select("m.*")
+
+
 def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
     """Expected calibration error over equal-count bins cut at int(i * n / bins); ``pairs`` is (id, confidence, accuracy).
 

@@ -41,6 +41,24 @@ def sequence_edges(cases: DataFrame, items: str, kind: str) -> DataFrame:
     return cases.select(F.col("case_id").alias("src"), F.posexplode(items).alias("pos", "item")).select("src", (F.col("pos") + 1).alias("sequence"), "item", F.lit(kind).alias("type"))
 
 
+def contradiction_edges(cases: DataFrame) -> DataFrame:
+    """Edges to the items (severity, confidence, type) of an array ``contradictions``, numbered from 0, with their properties or defaults."""
+    rows = cases.select("case_id", F.posexplode("contradictions").alias("pos", "c"))
+    return rows.select(
+        F.col("case_id").alias("src"), F.format_string("contradiction:%s:%s", F.col("case_id").cast("string"), F.col("pos").cast("string")).alias("dst"), F.lit("HAS_CONTRADICTION").alias("type"),
+        F.coalesce("c.severity", F.lit("unknown")).alias("severity"), F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("c.type", F.lit("")).alias("kind"),
+    )
+
+
+def with_stored_neighbours(case_section: DataFrame, edges: DataFrame, each: int = 5, of: int = 8) -> DataFrame:
+    """(case_id, section_id, neighbour, type): up to ``each`` stored neighbours of the first ``of`` sections of every case."""
+    first = Window.partitionBy("case_id").orderBy("section_id")
+    few = case_section.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= of).drop("n")
+    order = Window.partitionBy("a").orderBy("b", "type")
+    near = both_ways(edges).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
+    return few.join(near, F.col("section_id") == F.col("a")).select("case_id", "section_id", F.col("b").alias("neighbour"), "type")
+
+
 def case_graph(records: DataFrame, cites: int = 6) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of cases from their fields: parties, judges, court, articles, sections, citations.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,8 +104,36 @@ def neighbours(seeds: DataFrame, edges: DataFrame, each: int = 5) -> DataFrame:
     return hits.filter(F.col("n") <= each).select("section_id", F.col("b").alias("neighbour"), "type")
 
 
+def numbers_asked(queries: DataFrame) -> DataFrame:
+    """(query_id, number) of the sections that a query names."""
+    found = F.regexp_extract_all("text", F.lit(r"(?i)(?:section|sec\.?)\s*(\d+[A-Za-z]*)"), F.lit(1))
+    return queries.select("query_id", F.explode(F.array_distinct(found)).alias("number"))
+
+
+def graph_hits(queries: DataFrame, sections: DataFrame, edges: DataFrame | None = None, k: int = 20) -> DataFrame:
+    """(query_id, section_id, text, score, rank): sections named by number, each with its neighbours behind it.
+
+    A query that names no section has no hits here; its text is looked for by :func:`text_search`.
+    """
+    found = section_lookup(numbers_asked(queries), sections).select("query_id", "number", "section_id", F.format_string("Section %s: %s\n%s", "section_number", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    rows = found.withColumns({"near": F.lit(0), "other": F.col("section_id")})
+    if edges is not None:
+        near = neighbours(found.select("section_id").distinct(), edges)
+        named = sections.select(F.col("section_id").alias("neighbour"), F.format_string("Related: Section %s (%s): %s\nRelationship: ", "section_number", F.coalesce("act", F.lit("")), F.coalesce("title", F.lit(""))).alias("said"))
+        near = near.join(named, "neighbour").select(F.col("section_id").alias("of"), "neighbour", F.concat("said", "type").alias("said"))
+        rows = rows.unionByName(found.join(near, F.col("section_id") == F.col("of")).select("query_id", "number", "section_id", F.col("said").alias("text"), F.lit(1).alias("near"), F.col("neighbour").alias("other")))
+    first = Window.partitionBy("query_id", "other").orderBy("number", "section_id", "near", "text")
+    order = Window.partitionBy("query_id").orderBy("number", "section_id", "near", "other")
+    rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.select("query_id", F.col("other").alias("section_id"), "text", decay(F.col("rank")).alias("score"), "rank")
+
+
 def text_search(sections: DataFrame, query: str, k: int) -> DataFrame:
-    """Sections whose title or text contains the query (cut at 100), in order of id."""
+    """Sections whose title or text contains the query (cut at 100), in order of id; a query that names sections is answered by their numbers."""
+    if named := re.findall(r"(?:section|sec\.?)\s*(\d+[A-Za-z]*)", query, re.IGNORECASE):
+        few = sections.sparkSession.createDataFrame([(0, n) for n in dict.fromkeys(named)], "query_id int, number string")
+        hits = section_lookup(few, sections).select("section_id").distinct()
+        return sections.join(hits, "section_id", "left_semi").orderBy("section_id").limit(k)
     q = query[:100].lower()
     return sections.filter(F.lower("title").contains(q) | F.lower("text").contains(q)).orderBy("section_id").limit(k)
 
@@ -180,24 +210,21 @@ def rerank(fused: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_ke
     return rows.withColumn("final", F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("query")
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, sections: DataFrame, vectors: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Intents, four retrievers (3k, 2k, k, 2k), fusion by intent's weights, rerank to ``k``; one plan for all queries.
+def hybrid_search(queries: DataFrame, docs: DataFrame, sections: DataFrame, vectors: DataFrame | None = None, k: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """Intents, the first variant of each query, four retrievers (3k, 2k, k, 2k), fusion by intent's weights, rerank to ``k``; one plan for all queries.
 
-    ``vectors`` are ready vector hits (query_id, doc_key, text, score, rank) when an embedding model is at hand.
-    Without them three retrievers run and the vector weight takes no part; so it is in the registered queries
-    hybrid_search and pipeline_stats.
+    ``vectors`` are ready vector hits (query_id, doc_key, text, score, rank), ``edges`` lead from the sections found to
+    their neighbours; without either that part adds nothing.  Whole texts are reranked.
     """
-    asked = queries.withColumn("intent", detect_intent(F.col("text")))
-    lexical = bm25(docs, queries, 2 * k).join(docs.select("doc_id", F.substring("text", 1, 500).alias("text")), "doc_id")
+    asked = queries.select("query_id", F.trim("text").alias("text")).withColumn("intent", detect_intent(F.col("text")))
+    queries = asked.select("query_id", "text")
+    lexical = bm25(docs, queries, 2 * k).join(docs.select("doc_id", "text"), "doc_id")
     lexical = lexical.select("query_id", F.concat(F.lit("doc:"), "doc_id").alias("doc_key"), "text", "score", "rank", F.lit("keyword").alias("retriever"))
     cited = citation_hits(queries, sections, k).select("query_id", F.concat(F.lit("sec:"), F.coalesce(F.col("section_id").cast("string"), "text")).alias("doc_key"), "text", "score", "rank", "retriever")
-    order = Window.partitionBy("query_id").orderBy("section_id")
-    numbers = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)section\s*(\d+)"), F.lit(1)))).alias("number"))
-    graph = section_lookup(numbers, sections).dropDuplicates(["query_id", "section_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * k)
-    graph = graph.select("query_id", F.concat(F.lit("sec:"), "section_id").alias("doc_key"), F.col("title").alias("text"), decay(F.col("rank")).alias("score"), "rank", F.lit("kg").alias("retriever"))
+    graph = graph_hits(queries, sections, edges, 2 * k).select("query_id", F.concat(F.lit("sec:"), "section_id").alias("doc_key"), "text", "score", "rank", F.lit("kg").alias("retriever"))
     hits = lexical.unionByName(cited).unionByName(graph)
     if vectors is not None:
-        hits = hits.unionByName(vectors.withColumn("retriever", F.lit("vector")))
+        hits = hits.unionByName(vectors.select("query_id", "doc_key", "text", "score", "rank", F.lit("vector").alias("retriever")))
     weighted = hits.join(asked.select("query_id", "intent"), "query_id").withColumn("weight", weight_of(F.col("intent"), F.col("retriever")))
     return rerank(fuse(weighted), queries, k)
 

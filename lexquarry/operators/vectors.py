@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType
 #: Queries that one pass over the table holds at once; more go in further passes.
 QUERY_BLOCK = 4096
 FLOATS = ArrayType(FloatType())
+#: Components of a pseudo-embedding.
+WIDTH = 64
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
@@ -32,12 +34,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 @pandas_udf(FLOATS)
 def pseudo_embedding(seed: pd.Series) -> pd.Series:
-    """A unit normal vector drawn from each seed (the hash of a text)."""
-    out = []
-    for s in seed:
-        v = np.random.default_rng(s & (1 << 63) - 1).standard_normal(64)
-        out.append((v / np.linalg.norm(v)).astype(np.float32))
-    return pd.Series(out)
+    """A unit normal vector drawn from each seed (the hash of a text), a whole batch at once.
+
+    Counters that a seed numbers are mixed to uniform numbers, and those turned into normal ones (Box and Muller).
+    """
+    at = seed.to_numpy().astype(np.uint64)[:, None] + np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = (at ^ (at >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    at = (at ^ (at >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    even = ((at ^ (at >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    far, turn = np.sqrt(-2 * np.log(1 - even[:, : WIDTH // 2])), 2 * np.pi * even[:, WIDTH // 2 :]
+    v = np.concatenate([far * np.cos(turn), far * np.sin(turn)], axis=1)
+    return pd.Series(list((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)))
 
 
 def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, text: str = "text", prefix: str = "") -> DataFrame:
@@ -131,6 +138,15 @@ def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 1
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def text_hits(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
+    """V09 over texts: (query_id, doc_key, text, score, rank) of the chunks (doc_key, text, embedding) nearest to each query (query_id, text); the best chunk of a document counts."""
+    points = chunks.withColumn("vec_id", F.xxhash64("doc_key", "text"))
+    asked = embed(queries.select("query_id", "text"), prefix=QUERY_PREFIX).select("query_id", "embedding")
+    hits = top_k(points, asked, k).join(points.select("vec_id", "doc_key", "text").dropDuplicates(["vec_id"]), "vec_id")
+    best = Window.partitionBy("query_id", "doc_key").orderBy("rank")
+    return hits.withColumn("n", F.row_number().over(best)).filter("n = 1").select("query_id", "doc_key", "text", "score", "rank")
+
+
 def vector_hits(points: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id") -> DataFrame:
     """Top-k hits tagged with their retriever; the payload's own source stays apart."""
     return top_k(points, queries, k, key=key).withColumn("retriever", F.lit("vector"))

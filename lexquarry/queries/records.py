@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from lexquarry.operators import grounding as P
 from lexquarry.operators import lexical as B
 from lexquarry.operators import relational as Q
 from lexquarry.operators import scoring as A
+from lexquarry.plans.storage import shared_dir
 from lexquarry.plans.views import MONTH_CASE, view
 from lexquarry.queries.base import QUERIES, query
 from lexquarry.sources import files as S
@@ -225,6 +228,19 @@ def _(docs):
     return P.gate(fields, docs).select("doc_id", "field", "status")
 
 
+@query("grounding_run", "judgments", sql=f"""WITH j AS (SELECT o_orderkey AS doc_id, c_name, n_name, o_orderdate, o_orderkey FROM {_ORDERS}),
+ f AS (SELECT doc_id, 'case_title' AS field, c_name || ' vs State of ' || n_name AS value, 'extracted' AS status FROM j UNION ALL SELECT doc_id, 'petitioner', c_name, 'extracted' FROM j UNION ALL SELECT doc_id, 'respondent', 'State of ' || n_name, 'extracted' FROM j
+ UNION ALL SELECT doc_id, 'decision_date', {_DATE}, 'extracted' FROM j
+ UNION ALL SELECT doc_id, 'court', CASE o_orderkey % 3 WHEN 0 THEN 'SUPREME COURT OF INDIA' WHEN 1 THEN trim(regexp_extract('HIGH COURT OF ' || n_name, '(?i)HIGH COURT OF [A-Z ]+')) ELSE CASE WHEN o_orderkey % 4 = 1 THEN 'Bombay High Court' END END, CASE WHEN o_orderkey % 3 < 2 THEN 'extracted' WHEN o_orderkey % 4 = 1 THEN 'inferred' ELSE 'not_found' END FROM j
+ UNION ALL SELECT doc_id, 'court_matter', 'Criminal Appeal No. ' || o_orderkey || ' of ' || year(o_orderdate), 'extracted' FROM j UNION ALL SELECT doc_id, 'document_type', 'judgment', 'extracted' FROM j
+ UNION ALL SELECT doc_id, 'jurisdiction', 'India', 'extracted' FROM j UNION ALL SELECT doc_id, 'language', NULL, 'not_found' FROM j
+ UNION ALL SELECT doc_id, 'citation_numbers', CASE o_orderkey % 4 WHEN 0 THEN 'AIR' || year(o_orderdate) || 'SC' || (o_orderkey % 900 + 1) WHEN 1 THEN '(' || year(o_orderdate) || ')' || (o_orderkey % 9 + 1) || 'BOMLR' || (o_orderkey % 800 + 1) WHEN 2 THEN year(o_orderdate) || 'CriLJ' || (o_orderkey % 700 + 1) END, CASE WHEN o_orderkey % 4 = 3 THEN 'not_found' ELSE 'extracted' END FROM j
+ UNION ALL SELECT doc_id, 'presiding_judges', unnest(['A. Rao', 'B. Sen']), 'extracted' FROM j) SELECT * FROM f""")
+def _(docs):
+    """The gated report of every judgment."""
+    return P.ground_documents(docs)["fields"]
+
+
 @query("safe_fields", "cases", sql="SELECT case_id, CASE WHEN status IN ('F', 'O') AND case_type <> '' THEN case_type ELSE 'fallback' END AS value FROM cases")
 def _(cases):
     status = F.when(C("status") == "F", "extracted").when(C("status") == "O", "inferred").otherwise("not_found")
@@ -278,6 +294,60 @@ def _(cases):
     return G.issue_edges(cases.withColumn("issue", C("case_type"))).select("src", "type", "issue")
 
 
+@query("section_reference_edges", "case_section", sql="SELECT case_id AS src, section_id AS dst, 'REFERENCES_SECTION' AS type, section_id % 10 / 10.0::DOUBLE AS relevance FROM case_section")
+def _(links):
+    """G03."""
+    return G.simple_edges(links.withColumn("relevance", C("section_id") % 10 / F.lit(10.0)), "section_id", "REFERENCES_SECTION", "relevance")
+
+
+@query("precedent_edges", "case_section", sql="SELECT case_id AS src, case_id + section_id AS dst, 'CITES_PRECEDENT' AS type, 'cited' AS treatment FROM case_section")
+def _(links):
+    """G04."""
+    return G.simple_edges(links.withColumns({"precedent": C("case_id") + C("section_id"), "treatment": F.lit("cited")}), "precedent", "CITES_PRECEDENT", "treatment")
+
+
+@query("contradiction_edges", "cases", sql="SELECT case_id AS src, 'contradiction:' || case_id || ':0' AS dst, 'HAS_CONTRADICTION' AS type, CASE WHEN case_id % 2 = 0 THEN 'high' ELSE 'unknown' END AS severity, CASE WHEN case_id % 3 = 0 THEN 0.0 ELSE 0.75 END::DOUBLE AS confidence, 'factual' AS kind FROM cases UNION ALL SELECT case_id, 'contradiction:' || case_id || ':1', 'HAS_CONTRADICTION', 'low', 0.5, '' FROM cases")
+def _(cases):
+    """G08 with its three properties and their defaults."""
+    one = F.struct(F.when(C("case_id") % 2 == 0, "high").alias("severity"), F.when(C("case_id") % 3 != 0, 0.75).alias("confidence"), F.lit("factual").alias("type"))
+    two = F.struct(F.lit("low").alias("severity"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("type"))
+    return G.contradiction_edges(cases.select("case_id", F.array(one, two).alias("contradictions")))
+
+
+_NEAR = "SELECT a, b, type, row_number() OVER (PARTITION BY a ORDER BY b, type) AS n FROM (SELECT src AS a, dst AS b, type FROM edges UNION ALL SELECT dst, src, type FROM edges)"
+
+
+@query("stored_neighbours", "case_section", "edges", sql=f"SELECT case_id, section_id, b AS neighbour, type FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY section_id) AS k FROM case_section) JOIN ({_NEAR}) ON a = section_id WHERE k <= 8 AND n <= 5")
+def _(links, edges):
+    """What is stored around the sections of a case."""
+    return G.with_stored_neighbours(links, edges)
+
+
+@query("judgment_connections", "sections", "edges", sql="SELECT DISTINCT a AS section_id, b AS other, type FROM (SELECT src AS a, dst AS b, type FROM edges UNION ALL SELECT dst, src, type FROM edges) WHERE type = 'RELATED_TO' AND a % 10 = 0")
+def _(sections, edges):
+    """One undirected hop over one type; a stated tenth of the vertices asks."""
+    return G.related(sections.filter("section_id % 10 = 0").select("section_id"), edges, sections, ("RELATED_TO",)).select("section_id", "other", "type")
+
+
+@query("entity_connections", "sections", "edges", sql="SELECT DISTINCT a AS section_id, b AS other, type, act FROM (SELECT src AS a, dst AS b, type FROM edges UNION ALL SELECT dst, src, type FROM edges) JOIN sections ON section_id = b WHERE a IN (SELECT section_id FROM sections WHERE contains(lower(title), 'lemon'))")
+def _(sections, edges):
+    """The connections of every entity whose name holds a word."""
+    seeds = sections.filter(F.lower("title").contains("lemon")).select("section_id")
+    return G.related(seeds, edges, sections).select("section_id", "other", "type", "act")
+
+
+@query("case_evidence", "case_section", "edges", sql=f"SELECT case_id, section_id, coalesce(n, 0)::INT AS n_related, coalesce(first, -1) AS first FROM case_section LEFT JOIN (SELECT a, count(*) AS n, min(b) AS first FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS k FROM (SELECT DISTINCT a, b FROM ({_NEAR}))) WHERE k <= 3 GROUP BY 1) ON a = section_id")
+def _(links, edges):
+    """Evidence with its connections collected, three at most."""
+    return G.collected_related(links, edges, 3).select("case_id", "section_id", F.size("related").alias("n_related"), F.coalesce(F.array_min("related"), F.lit(-1)).alias("first"))
+
+
+@query("code_transitions", "sections", "edges", sql="SELECT src AS section_id, dst AS other, type FROM edges WHERE type IN ('SUCCESSOR_OF', 'CROSS_CODE', 'RELATED_TO')")
+def _(sections, edges):
+    """G28 over three edge types, directed."""
+    return G.related(sections.select("section_id"), edges, sections, ("SUCCESSOR_OF", "CROSS_CODE", "RELATED_TO"), directed=True).select("section_id", "other", "type")
+
+
 @query("timeline_edges", "cases", sql="SELECT case_id AS src, unnest([1, 2]) AS sequence, unnest([status, priority]) AS item FROM cases")
 def _(cases):
     return G.sequence_edges(cases.select("case_id", F.array("status", "priority").alias("timeline")), "timeline", "NEXT").select("src", "sequence", "item")
@@ -526,6 +596,34 @@ def _(rows):
     return E.calibration(pairs).select("bin", C("n").cast("long"), "confidence")
 
 
+@query("ece_errors", "events", sql="""WITH p AS (SELECT confidence, accuracy, row_number() OVER (ORDER BY confidence) - 1 AS r, count(*) OVER () AS n FROM (SELECT (event_id * 7919 % 1000003) / 1000003.0::DOUBLE AS confidence, (event_id % 2)::DOUBLE AS accuracy FROM events)),
+ b AS (SELECT i AS bin, (i * n) // 10 AS a, ((i + 1) * n) // 10 AS z FROM (SELECT unnest(generate_series(0, 9)) AS i), (SELECT max(n) AS n FROM p))
+ SELECT bin::INT AS bin, count(*) AS n, round(avg(confidence), 6) AS confidence, round(avg(accuracy), 6) AS accuracy, round(abs(sum(confidence) - sum(accuracy)) / max(n), 6) AS error FROM p JOIN b ON r >= a AND r < z GROUP BY 1""")
+def _(events):
+    """E09 with the accuracy and error of each bin, over distinct confidences."""
+    pairs = events.select("event_id", (C("event_id") * 7919 % 1000003 / F.lit(1000003.0)).alias("confidence"), (C("event_id") % 2).cast("double").alias("accuracy"))
+    return E.calibration(pairs).select("bin", C("n").cast("long"), "confidence", "accuracy", F.round("error", 6).alias("error"))
+
+
+_IRAC_TEXT = "CASE WHEN trim(t) IN ('', 'N/A') THEN 0 ELSE least(1.0, 0.6 + CASE WHEN length(t) > 100 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)section|article|\\bv\\.?s?\\.? ') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)because|therefore|since|hence|thus') THEN 0.1 ELSE 0 END + CASE WHEN len(regexp_split_to_array(t, '\\.\\s')) > 2 THEN 0.1 ELSE 0 END) END"
+
+
+@query("irac_means", "judgments", sql=f"""WITH a AS (SELECT doc_id, 'issue' AS component, 0.15 AS w, 'Whether section ' || doc_id % 50 || ' applies' AS t FROM judgments UNION ALL SELECT doc_id, 'rule', 0.30, 'N/A' FROM judgments
+ UNION ALL SELECT doc_id, 'application', 0.40, text FROM judgments UNION ALL SELECT doc_id, 'conclusion', 0.15, 'It fails. It is dismissed. Costs follow because they must' FROM judgments), c AS (SELECT doc_id, component, w, {_IRAC_TEXT} AS v FROM a)
+ SELECT component, round(avg(v), 6)::DOUBLE AS mean FROM c GROUP BY 1 UNION ALL SELECT 'total', round(avg(v), 6)::DOUBLE FROM (SELECT sum(w * v) AS v FROM c GROUP BY doc_id)""")
+def _(docs):
+    """E12 over four components of each judgment."""
+    rows = docs.select(C("doc_id").alias("analysis_id"), F.concat(F.lit("Whether section "), C("doc_id") % 50, F.lit(" applies")).alias("issue"), F.lit("N/A").alias("rule"), C("text").alias("application"), F.lit("It fails. It is dismissed. Costs follow because they must").alias("conclusion"))
+    return E.irac_means(rows)
+
+
+@query("run_overall", "orders", sql="SELECT round((round(avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) + 1 - round(avg(CASE WHEN o_orderkey % 5 = 0 THEN 0.5 ELSE 0.0 END), 6)) / 2, 6)::DOUBLE AS overall FROM orders")
+def _(orders):
+    """The mean of a share and a turned error."""
+    share = orders.select(F.when(C("o_orderkey") % 3 == 0, 1.0).otherwise(0.0).alias("share"))
+    return E.overall(E.metric_bundle(routing=share, calibration=orders.select(F.when(C("o_orderkey") % 5 == 0, 0.5).otherwise(0.0).alias("error"))))
+
+
 @query("metric_bundle", "embeddings")
 def _(points):
     got, relevant = _retrieved(points)
@@ -642,6 +740,51 @@ def _(sections, edges, docs):
     return S.import_summary(sections=sections, edges=edges, documents=docs)
 
 
+def _folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/lexquarry/{tag}-{uuid.uuid4().hex}"
+
+
+@query("text_files", "documents", sql="SELECT sum(length(text) + 1)::BIGINT AS n_chars, count(*) AS n_lines FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL)")
+def _(docs):
+    """The texts written as plain files in folders and read back, a row for each file."""
+    path = _folder(docs.sparkSession, "texts")
+    docs.filter("text is not null").select("lang", "text").write.partitionBy("lang").text(path)
+    files = S.read_texts(docs.sparkSession, path)
+    return files.agg(F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", "\n")) - 1).alias("n_lines"))
+
+
+@query("json_documents", "documents", sql="SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest, source AS source_type FROM documents WHERE text IS NOT NULL")
+def _(docs):
+    """The documents written as JSON lines and read back with the reader's own schema; the rejects are none."""
+    path = _folder(docs.sparkSession, "json")
+    docs.filter("text is not null").select(C("doc_id").cast("string").alias("id"), "text", C("source").alias("source_type")).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/lines")
+    lines = docs.sparkSession.read.text(f"{path}/lines")
+    lines.write.option("compression", "none").text(f"{path}/named")
+    rows, _ = S.read_documents(docs.sparkSession, f"{path}/named", glob="*")
+    return rows.select("id", F.md5("text").alias("digest"), "source_type")
+
+
+@query("section_catalogues", "sections", sql="SELECT CASE section_id % 4 WHEN 0 THEN 'bns' WHEN 1 THEN 'bnss' WHEN 2 THEN 'bsa' ELSE 'ipc' END AS code, CAST(section_id AS VARCHAR) AS section_id, section_number, title, act, year FROM sections")
+def _(sections):
+    """The sections written as catalogues, arrays of up to a thousand for each code, and read back as one table."""
+    spark, path = sections.sparkSession, _folder(sections.sparkSession, "catalogues")
+    code = F.element_at(F.array(*map(F.lit, S.CODES)), (C("section_id") % 4 + 1).cast("int"))
+    row = F.struct(C("section_id").cast("string").alias("section_id"), "section_number", C("title").alias("section_title"), C("text").alias("section_text"), "act", "year")
+    rows = sections.select(code.alias("code"), F.floor(C("section_id") / 4000).alias("part"), row.alias("row"))
+    rows.groupBy("code", "part").agg(F.to_json(F.collect_list("row")).alias("value")).select("code", "value").write.option("maxRecordsPerFile", 1).partitionBy("code").text(path)  # a file is one array
+    return S.read_sections(spark, {c: f"{path}/code={c}" for c in S.CODES}).select("code", "section_id", "section_number", "title", "act", "year")
+
+
+@query("edge_files", "edges", sql="SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, type, 'medium' AS confidence FROM edges")
+def _(edges):
+    """The edges written as objects with up to a few thousand edges each, and read back."""
+    spark, path = edges.sparkSession, _folder(edges.sparkSession, "edge-files")
+    row = F.struct(C("src").cast("string").alias("source_id"), C("dst").cast("string").alias("target"), C("type").alias("edge_type"))
+    parts = edges.select(F.floor(C("src") / 64).alias("part"), row.alias("row")).groupBy("part").agg(F.collect_list("row").alias("edges"))
+    parts.select(F.to_json(F.struct("edges")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)  # a file is one object
+    return S.read_edges(spark, path).select("src", "dst", "type", "confidence")
+
+
 # ---- streams ----------------------------------------------------------------
 @query("progress_feed", "events", sql="SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS ordinal, CASE event_type WHEN 'view' THEN 20 WHEN 'click' THEN 40 WHEN 'signup' THEN 60 WHEN 'purchase' THEN 80 ELSE 100 END AS progress FROM events")
 def _(events):
@@ -664,3 +807,16 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_distinct_events"] = _stream
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of files, cleaned, chunked, embedded and merged; the chunks and their ids by document."""
+    at = _folder(spark, "ingest")
+    source = f"{at}/source"
+    view(spark, sf_dir, "documents").select("doc_id", "text").write.parquet(source)
+    flows.ingest(spark, source, f"{at}/chunks", f"{at}/checkpoint", "doc_id long, text string").awaitTermination()
+    chunks = flows.chunk_table(spark, f"{at}/chunks")
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("chunk_id").alias("n_ids"), F.sum("char_count").alias("n_chars"))
+
+
+QUERIES["stream_ingest"] = _ingest

@@ -312,14 +312,38 @@ def _(sections):
     return sections.select("section_id", F.round(R.decay(F.row_number().over(order)), 6).alias("score"))
 
 
-@query("hybrid_search", "queries", "documents", "sections")
-def _(queries, docs, sections):
-    return R.hybrid_search(queries, docs, sections).select("query_id", "doc_key", "final", "rank", F.array_join("matched_sources", ",").alias("sources"))
+def _hybrid(queries: DataFrame, docs: DataFrame, sections: DataFrame, edges: DataFrame) -> DataFrame:
+    """R16 with all four retrievers; without a model at hand the vectors are pseudo-embeddings of the chunks' and queries' texts."""
+    chunks = V.embed(K.fixed_chunks(docs)).select(F.concat(F.lit("doc:"), "doc_id").alias("doc_key"), "text", "embedding")
+    return R.hybrid_search(queries, docs, sections, V.text_hits(queries, chunks, 30), 10, edges)
 
 
-@query("pipeline_stats", "queries", "documents", "sections")
-def _(queries, docs, sections):
-    return R.search_stats(R.hybrid_search(queries, docs, sections))
+@query("hybrid_search", "queries", "documents", "sections", "edges")
+def _(queries, docs, sections, edges):
+    return _hybrid(queries, docs, sections, edges).select("query_id", "doc_key", "final", "rank", F.array_join("matched_sources", ",").alias("sources"))
+
+
+@query("pipeline_stats", "queries", "documents", "sections", "edges")
+def _(queries, docs, sections, edges):
+    return R.search_stats(_hybrid(queries, docs, sections, edges))
+
+
+@query("citation_misses", "queries", "sections", sql="SELECT query_id, 'Citation: Section ' || (query_id + 900) || ' of Indian Penal Code' AS text, 1 AS rank, 1.0::DOUBLE AS score FROM queries")
+def _(queries, sections):
+    """A citation that no section answers keeps a row of its own."""
+    asked = queries.select("query_id", F.concat(F.lit("liable under Section "), C("query_id") + 900, F.lit(" of the IPC")).alias("text"))
+    return R.citation_hits(asked, sections).filter("section_id is null").filter(C("text").contains("Penal")).select("query_id", "text", "rank", "score")
+
+
+@query("graph_retriever", "queries", "sections", "edges", sql="""WITH q AS (SELECT query_id, CAST(query_id % 50 + 1 AS STRING) AS number FROM queries), f AS (SELECT query_id, section_id FROM (SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY section_id) AS n FROM q JOIN sections ON contains(section_number, number)) WHERE n <= 3),
+ b AS (SELECT a, b, type, row_number() OVER (PARTITION BY a ORDER BY b, type) AS n FROM (SELECT src AS a, dst AS b, type FROM edges UNION ALL SELECT dst, src, type FROM edges)),
+ h AS (SELECT query_id, section_id AS via, 0 AS near, section_id FROM f UNION ALL SELECT DISTINCT query_id, f.section_id, 1, b FROM f JOIN b ON a = f.section_id JOIN sections s ON s.section_id = b WHERE n <= 5),
+ o AS (SELECT query_id, via, near, section_id, row_number() OVER (PARTITION BY query_id, section_id ORDER BY via, near) AS k FROM h)
+ SELECT query_id, section_id, rank, round(greatest(0.0, 0.9 - 0.02 * (rank - 1))::DOUBLE, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY via, near, section_id) AS rank FROM o WHERE k = 1) WHERE rank <= 20""")
+def _(queries, sections, edges):
+    """The sections that a query names with their neighbours behind them."""
+    asked = queries.select("query_id", F.concat(F.lit("see Section "), C("query_id") % 50 + 1).alias("text"))
+    return R.graph_hits(asked, sections, edges).select("query_id", "section_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("context_blocks", "conversations", sql="SELECT conv_id AS query_id, md5(string_agg('Source (Page ' || turn || '): ' || coalesce(text, ''), chr(10) || '---' || chr(10) ORDER BY turn)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations) WHERE rank <= 5 GROUP BY 1")

@@ -33,11 +33,11 @@ def read_texts(spark: SparkSession, path: str, suffixes: str = "txt", exclude: s
     return rows.select("path", "text", F.array("text").alias("pages"), F.lit(1).alias("page_count"), F.lit("txt").alias("format"), F.lit(False).alias("needs_ocr"))
 
 
-def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENT) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of JSON files (objects or arrays) and JSON lines below ``path``."""
+def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENT, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of JSON files (objects or arrays) and JSON lines (files by ``glob``) below ``path``."""
     fields = StructType.fromDDL(schema)
     reader = spark.read.option("recursiveFileLookup", "true")
-    lines = reader.option("pathGlobFilter", "*.jsonl").text(path)
+    lines = reader.option("pathGlobFilter", glob).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.from_json("value", fields).alias("r"))
     whole = reader.option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
     whole = whole.select(F.col("_metadata.file_path").alias("path"), "value", F.explode_outer(F.from_json("value", ArrayType(fields))).alias("r"))
@@ -110,7 +110,8 @@ def chunk_ids(chunks: DataFrame, path: str = "path", doc: str = "doc_id") -> Dat
 
 def upsert_chunks(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Embedded new chunks in front of existing ones of the same id; write the result to a new version's path."""
-    fresh = new.filter("embedding is not null").dropDuplicates([key])
+    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in new.columns if c not in (key, "embedding", "metadata")])  # a stated one of several versions
+    fresh = new.filter("embedding is not null").withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
     return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

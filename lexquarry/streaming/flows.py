@@ -35,10 +35,10 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
 
 
 def chunk_table(spark: SparkSession, target: str) -> DataFrame:
-    """The merged chunks: of each id, the row of the latest batch."""
+    """The merged chunks: of each document, those of the latest batch that has it, so none of an older, longer version stays."""
     rows = spark.read.parquet(target)
-    newest = rows.groupBy("chunk_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["chunk_id", "batch"])
+    newest = rows.groupBy("path", "doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["path", "doc_id", "batch"])
 
 
 def distinct_events(stream: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -71,14 +71,6 @@ def outstanding(cases: DataFrame, completed: DataFrame, stages: DataFrame) -> Da
     return rows.select("case_id", out.alias("next_step"))
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a stream of files to a memory table and return it; for tests and small reports."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def run_to_table(stream: DataFrame, tag: str) -> DataFrame:
     """Drain a stream of files to Parquet in the shared folder, with a checkpoint of its own, and return it as read back."""
     spark = stream.sparkSession
