@@ -198,7 +198,7 @@ def test_graph_jobs(spark):
 
 
 def test_scores(spark):
-    rows = spark.createDataFrame([(1, "evidence", 0.8), (1, "risk", 0.5), (1, "graph", 0.0), (2, "risk", 0.0)], "case_id long, agent string, confidence double")
+    rows = spark.createDataFrame([(1, "evidence_reliability", 0.8), (1, "risk_assessment", 0.5), (1, "knowledge_graph", 0.0), (2, "risk_assessment", 0.0)], "case_id long, agent string, confidence double")
     got = {r.case_id: (r.fused, r.floored) for r in A.trust(rows).collect()}
     assert got[1][0] == pytest.approx((0.8 * 0.15 + 0.5 * 0.1) / 0.25, abs=1e-6) and got[2][0] == 0 and got[1][0] == got[1][1]
 
@@ -240,3 +240,72 @@ def test_outstanding_steps(spark):
     done = spark.createDataFrame([(1, s) for s in flows.STEPS] + [(2, "understanding"), (2, "graph")], "case_id long, step string")
     rows = flows.outstanding(cases, done, flows.stage_table(spark)).collect()
     assert {r.case_id: r.next_step for r in rows} == {1: "done", 2: "research", 3: "understanding"}
+
+
+def test_bindings_and_defaults_of_real_judgments(spark):
+    texts = [
+        (1, "Guilty under Section 302 read with Section 34 of the Indian Penal Code, and under Sections 21 and 29 of the NDPS Act, 1985."),
+        (2, "A claim under Section 34 of the Arbitration and Conciliation Act, 1996 and Sec. 74 of the Contract Act."),
+        (3, "Seized under Section 42(2) of the Act."),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bound = {(r.doc_id, r.section): r.act for r in X.bindings(docs).collect()}
+    assert bound[1, "302"] == bound[1, "34"] == "Indian Penal Code, 1860" and bound[1, "21"] == bound[1, "29"] == "NDPS Act, 1985"
+    assert bound[2, "34"] == "Arbitration and Conciliation Act, 1996" and bound[2, "74"] == "Indian Contract Act, 1872"
+    asked = spark.createDataFrame([(1, "34"), (1, "66D"), (1, "111"), (2, "74"), (3, "42(2)"), (3, "42(7)"), (3, "999")], "doc_id long, section string")
+    got = {(r.doc_id, r.section): r.act for r in X.map_sections(asked, X.bindings(docs), F.lit("criminal")).collect()}
+    assert got == {
+        (1, "34"): "Indian Penal Code, 1860", (1, "66D"): "Information Technology Act, 2000", (1, "111"): "Bharatiya Nyaya Sanhita (BNS), 2023",
+        (2, "74"): "Indian Contract Act, 1872", (3, "42(2)"): "NDPS Act, 1985", (3, "42(7)"): "NDPS Act, 1985", (3, "999"): "Statute (verify)",
+    }
+
+
+#: text, petitioner, date, court and its status, citations; a date with an ordinal isn't in the text letter by letter, so the gate drops it
+SHAPES = [
+    ("Ravi Kumar vs State of Maharashtra on 5 March, 2019\n2019 Cri LJ 12\nHIGH COURT OF JUDICATURE AT BOMBAY\nBench: A. Rao, B. Sen\nCriminal Appeal No. 12 of 2018\nJUDGMENT\nThe police held him on 1-2-2018.", "Ravi Kumar", "5 March 2019", "HIGH COURT OF JUDICATURE AT BOMBAY", "extracted", ["2019CriLJ12"]),
+    ("Acme Insurance v. Sita Devi on 12th June, 1999\nAIR 1999 SC 340\nIN THE SUPREME COURT OF INDIA\nBench: C. Nair\nCivil Appeal No. 7 of 1998\nJUDGMENT\nThe suit on the policy is decreed.", "Acme Insurance", None, "SUPREME COURT OF INDIA", "extracted", ["AIR1999SC340"]),
+    ("Mohan versus State of Karnataka dated 3 July 2021\nILR 2021 KAR 55\nCoram: D. Shah\nJUDGMENT\nBail for an offence under Section 66D is allowed.", "Mohan", "3 July 2021", None, "not_found", ["ILR2021KAR55"]),
+    ("Builder Ltd. vs. Owner Corp on 9 May, 2010\n(2010) 4 BOMLR 77\nBefore: E. Das\nJUDGMENT\nThe award is set aside under Section 34.", "Builder Ltd.", "9 May 2010", "Bombay High Court", "inferred", ["(2010)4BOMLR77"]),
+    ("No sides here\nWrit Petition No. 9 of 2020\nThe writ is disposed of.", None, None, None, "not_found", []),
+]
+
+
+def test_grounding_of_five_judgment_shapes(spark):
+    from collections import defaultdict
+
+    docs = spark.createDataFrame([(i, s[0]) for i, s in enumerate(SHAPES)], "doc_id long, text string")
+    out = P.ground_documents(docs)
+    fields = defaultdict(list)
+    for r in out["fields"].collect():
+        fields[r.doc_id, r.field].append((r.value, r.status))
+    for i, (_, left, date, court, status, cited) in enumerate(SHAPES):
+        assert fields[i, "petitioner"] == [(left, "extracted" if left else "not_found")]
+        assert fields[i, "decision_date"] == [(date, "extracted" if date else "not_found")]
+        assert fields[i, "court"] == [(court, status)]
+        assert sorted(v for v, _ in fields[i, "citation_numbers"] if v) == cited
+    assert {r.doc_id for r in out["timeline"].collect()} == set(range(5))
+
+
+def test_meanings_and_words(spark):
+    rows = spark.createDataFrame([("32",), ("136",), ("14(1)",), ("15",)], "a string").select("a", X.article_meaning(F.col("a")).alias("m")).collect()
+    got = {r.a: r.m for r in rows}
+    assert got["32"].startswith("Right to constitutional remedies") and got["136"].startswith("Special leave") and got["14(1)"].startswith("Equality")
+    assert got["15"] == "Constitutional provision regarding fundamental rights and judicial authority."
+    docs = spark.createDataFrame([(1, "plaintiff Petition petition order order123 whether"), (2, ""), (3, None)], "doc_id long, text string")
+    words = {(r.doc_id, r["rank"]): (r.keyword, r.n) for r in B.keywords(docs).collect()}
+    assert [words[1, k] for k in (1, 2, 3)] == [("Petition", 2), ("Order", 1), ("Whether", 1)]
+    assert words[2, 1] == words[3, 1] == ("Judgment", 0)
+
+
+def test_windows_reject_overlaps_without_progress():
+    with pytest.raises(ValueError):
+        list(K.windows("x" * 5000, 1000, 600))
+
+
+def test_default_submissions_and_events(spark):
+    docs = spark.createDataFrame([(1, "The prosecution submitted that the accused was seen near the place. On 5th March, 2019 the police came to the house."), (2, "x")], "doc_id long, text string")
+    said = {(r.doc_id, r.side): r.text for r in X.submissions(docs).collect()}
+    assert said[1, "prosecution"].startswith("prosecution submitted") and said[2, "prosecution"].startswith("Prosecution / Respondent") and said[2, "defence"].startswith("Applicant")
+    events = {r.doc_id: (r.date, r.event) for r in X.dated_events(docs).collect()}
+    assert events[1][0] == "5th March, 2019" and events[2] == ("Judgment Date", "Judgment/Order delivered by the court")
+    assert {r.issue for r in X.inferred_issues(docs.filter("doc_id = 2")).collect()} == {"Whether the claims of the petitioner are legally sustainable against the respondent.", "Whether statutory and procedural compliance was properly adhered to by the investigating authorities."}
