@@ -78,13 +78,13 @@ def encode_passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
         words = np.bincount(owner[head], minlength=len(bag))
         each = 1 / np.maximum(words, 1)[:, None]
         put(_BYTES + _KINDS**2, _SIZES, owner[head], np.minimum(nxt - head, _SIZES) - 1, each)
-        power = np.cumprod(np.full(16, 0x9E3779B97F4A7C15 | 1, np.uint64))
         code = byte.astype(np.uint64) + np.uint64(1)
-        hashed = np.zeros(len(head), np.uint64)
-        for k in range(16):  # words are told apart by their first 16 bytes and their length, enough for a rate of repeats
-            live = np.flatnonzero(head + k < nxt)
-            hashed[live] += code[head[live] + k] * power[k]
-        hashed += (nxt - head).astype(np.uint64)
+        hashed, live, at = np.zeros(len(head), np.uint64), np.arange(len(head)), head.copy()
+        while len(live):  # whole words, a byte of each at a time
+            h = (hashed[live] + code[at]) * np.uint64(0x9E3779B97F4A7C15)
+            hashed[live] = h ^ (h >> np.uint64(29))
+            more = at + 1 < nxt[live]
+            live, at = live[more], at[more] + 1
         key = (owner[head].astype(np.uint64) << np.uint64(40)) ^ (hashed >> np.uint64(24))
         distinct = np.bincount((np.unique(key) >> np.uint64(40)).astype(np.int64), minlength=len(bag))[: len(bag)]
         out[:, -2] = np.where(words > 0, 1 - distinct / np.maximum(words, 1), 0)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from lexquarry.llm.components import Forest, components, groups
 from lexquarry.plans.storage import written
 
-#: Vectors of one side of a block, on average; of the k-means sample; cells at most.
-BLOCK, SAMPLE, CELLS = 1024, 16_384, 256
+#: Vectors of one side of a block, on average; of the k-means sample; a cell has at least so many of the sample.
+BLOCK, SAMPLE, LEAST = 1024, 16_384, 8
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -82,7 +82,7 @@ def near_vectors(
             x = np.ones((1, wide))
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centers = spherical_kmeans(x, max(1, min(CELLS, len(x), -(-largest // BLOCK))))
+        centers = spherical_kmeans(x, max(1, min(len(x) // LEAST, -(-largest // BLOCK))))
 
     def visit(batches):
         for batch in batches:

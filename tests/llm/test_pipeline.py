@@ -1,13 +1,15 @@
 """The pipeline's stages on small documents, and its registration."""
 
 import os
+import re
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from lexquarry.plans.storage import written
-from tests.llm.fixtures import squeezed
+from lexquarry.llm.secrets import BASE_RULES
+from tests.llm.fixtures import documents, frame, grouped, shingles, squeezed
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -32,6 +34,43 @@ def test_stages_take_effect(spark):
     assert packed.select("doc_id").distinct().count() == kept[4].count()
 
 
+def test_stages_against_brute_force(spark):
+    rows, (_, dedup, near, secrets, packing) = documents(), [f for _, f in corpus_pipeline.STAGES]
+    docs = frame(spark)  # nulls, empty and long texts, ties, repeated rows and columns with clashing names
+    texts = {i: t for i, t in rows if i is not None}
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect() if r.doc_id is not None)
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(squeezed(texts[i]), i)
+    out = dedup(spark, docs, DATA)
+    assert out.columns == docs.columns and ids(out) == sorted(i for i, _ in rows if i is not None and first[squeezed(texts[i])] == i)
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    of = grouped(sorted(sets), lambda a, b: bool(sets[a] & sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    out = near(spark, docs, DATA)
+    assert out.columns == docs.columns and ids(out) == sorted(i for i, _ in rows if i is not None and of[i] == i)
+
+    def masked(text):
+        spans = sorted((m.start(), m.end()) for r in BASE_RULES for m in re.finditer(r.pattern, text, re.ASCII | (re.IGNORECASE if r.any_case else 0)) if len(m.group(r.group)) >= r.least)
+        done, parts = 0, []
+        for a, b in spans:
+            if a >= done:
+                parts += [text[done:a], "[secret]"]
+            done = max(done, b)
+        return "".join(parts) + text[done:]
+
+    out = secrets(spark, docs, DATA)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(i, t if t is None else masked(t)) for i, t in rows}
+    assert all(r.n_chars == len(r.text) for r in out.collect() if r.text is not None)
+    assert packing(spark, docs, DATA).select("doc_id").distinct().count() == len(texts) + 1
+
+
+def test_stages_on_an_empty_table(spark):
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame(spark, []), DATA)
+        assert out.count() == 0 and (n == 4 or out.columns == frame(spark, []).columns)
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
