@@ -183,7 +183,8 @@ def _(docs):
     return X.map_sections(mentions, X.bindings(rows), F.lit("criminal")).select("doc_id", "section", "act").distinct()
 
 
-@query("fact_sentences", "judgments")
+@query("fact_sentences", "judgments", sql=r"""SELECT doc_id, (i - 1)::INT AS nth, l[i] AS fact FROM (SELECT doc_id, l, unnest(generate_series(1, least(len(l), 4))) AS i FROM (SELECT doc_id,
+ list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) > 35 AND NOT regexp_matches(x, '(?i)judgment|court of|bench|coram|versus| vs ')) AS l FROM judgments))""".replace("\\n", "\n"))
 def _(docs):
     return docs.select("doc_id", F.posexplode(X.facts(C("text"))).alias("nth", "fact"))
 
@@ -212,7 +213,10 @@ def _(queries, docs):
     return P.provenance(queries.withColumnRenamed("query_id", "claim_id"), K.sentence_rows(docs)).select("claim_id", "doc_id", "pos", "ratio")
 
 
-@query("claim_grounding", "queries", "documents")
+@query("claim_grounding", "queries", "documents", sql=rf"""WITH s AS (SELECT unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda x: trim(x)), lambda x: length(x) > 15)) AS sentence FROM documents),
+ h AS (SELECT DISTINCT {_WORDS.format('sentence')} AS has FROM s), c AS (SELECT query_id AS claim_id, {_WORDS.format('text')} AS w FROM queries),
+ b AS (SELECT claim_id, max(len(list_intersect(w, has)) / len(w)) AS ratio FROM c, h WHERE len(w) >= 3 GROUP BY 1)
+SELECT claim_id, coalesce(CASE WHEN ratio > 0.25 THEN round_even(0.70 + 0.25 * ratio, 2) END, 0.5)::DOUBLE AS confidence, CASE WHEN ratio > 0.25 THEN 'DOCUMENT FACT' ELSE 'AI LEGAL ANALYSIS' END AS label FROM c LEFT JOIN b USING (claim_id)""")
 def _(queries, docs):
     claims = queries.withColumnRenamed("query_id", "claim_id")
     return P.grounded(claims, P.provenance(claims, K.sentence_rows(docs))).select("claim_id", "confidence", "label")
@@ -314,10 +318,10 @@ def _(cases):
     return G.contradiction_edges(cases.select("case_id", F.array(one, two).alias("contradictions")))
 
 
-_NEAR = "SELECT a, b, type, row_number() OVER (PARTITION BY a ORDER BY b, type) AS n FROM (SELECT src AS a, dst AS b, type FROM edges UNION ALL SELECT dst, src, type FROM edges)"
+_HOPS = "SELECT a, b, type, row_number() OVER (PARTITION BY a ORDER BY b, type) AS n FROM (SELECT src AS a, dst AS b, type FROM edges UNION ALL SELECT dst, src, type FROM edges)"
 
 
-@query("stored_neighbours", "case_section", "edges", sql=f"SELECT case_id, section_id, b AS neighbour, type FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY section_id) AS k FROM case_section) JOIN ({_NEAR}) ON a = section_id WHERE k <= 8 AND n <= 5")
+@query("stored_neighbours", "case_section", "edges", sql=f"SELECT case_id, section_id, b AS neighbour, type FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY section_id) AS k FROM case_section) JOIN ({_HOPS}) ON a = section_id WHERE k <= 8 AND n <= 5")
 def _(links, edges):
     """What is stored around the sections of a case."""
     return G.with_stored_neighbours(links, edges)
@@ -336,7 +340,7 @@ def _(sections, edges):
     return G.related(seeds, edges, sections).select("section_id", "other", "type", "act")
 
 
-@query("case_evidence", "case_section", "edges", sql=f"SELECT case_id, section_id, coalesce(n, 0)::INT AS n_related, coalesce(first, -1) AS first FROM case_section LEFT JOIN (SELECT a, count(*) AS n, min(b) AS first FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS k FROM (SELECT DISTINCT a, b FROM ({_NEAR}))) WHERE k <= 3 GROUP BY 1) ON a = section_id")
+@query("case_evidence", "case_section", "edges", sql=f"SELECT case_id, section_id, coalesce(n, 0)::INT AS n_related, coalesce(first, -1) AS first FROM case_section LEFT JOIN (SELECT a, count(*) AS n, min(b) AS first FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS k FROM (SELECT DISTINCT a, b FROM ({_HOPS}))) WHERE k <= 3 GROUP BY 1) ON a = section_id")
 def _(links, edges):
     """Evidence with its connections collected, three at most."""
     return G.collected_related(links, edges, 3).select("case_id", "section_id", F.size("related").alias("n_related"), F.coalesce(F.array_min("related"), F.lit(-1)).alias("first"))
@@ -624,7 +628,8 @@ def _(orders):
     return E.overall(E.metric_bundle(routing=share, calibration=orders.select(F.when(C("o_orderkey") % 5 == 0, 0.5).otherwise(0.0).alias("error"))))
 
 
-@query("metric_bundle", "embeddings")
+@query("metric_bundle", "embeddings", sql=f"""WITH {_NEAR}, m AS (SELECT r.query_id, round(count_if(same AND rank <= 10) / max(n), 6) AS recall, round(count_if(same AND rank <= 10) / 10, 6) AS precision, round(coalesce(1.0 / min(CASE WHEN same AND rank <= 10 THEN rank END), 0), 6)::DOUBLE AS rr FROM r JOIN w USING (query_id) GROUP BY 1)
+ SELECT 'retrieval.recall' AS metric, round(avg(recall), 6) AS value FROM m UNION ALL SELECT 'retrieval.precision', round(avg(precision), 6) FROM m UNION ALL SELECT 'first.rr', round(avg(rr), 6) FROM m""")
 def _(points):
     got, relevant = _retrieved(points)
     return E.metric_bundle(retrieval=E.recall_precision(got, relevant), first=E.reciprocal_rank(got, relevant))
