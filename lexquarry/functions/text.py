@@ -79,6 +79,11 @@ def sections_of(text: Column) -> Column:
     )
 
 
+def long_enough(rows: DataFrame, column: str, least: int) -> DataFrame:
+    """Rows whose text, stripped, has ``least`` characters or more."""
+    return rows.filter(F.length(F.trim(F.coalesce(column, F.lit("")))) >= least)
+
+
 def needs_ocr(text: Column, pages: Column, per_page: int = 50) -> Column:
     """Too few characters a page; no page, no need."""
     return F.when(pages > 0, F.length(F.trim(F.coalesce(text, F.lit("")))) < per_page * pages).otherwise(False)

@@ -494,6 +494,17 @@ def _(rows):
     return A.trust(rows, weights=_AGENTS).select("case_id", "fused", A.trust_band(C("fused")).alias("band"))
 
 
+@query("trust_blend", "agent_confidence", sql="""WITH a AS (SELECT case_id, confidence, CASE agent WHEN 'view' THEN 0.10 WHEN 'click' THEN 0.15 WHEN 'signup' THEN 0.15 WHEN 'purchase' THEN 0.05 END AS w FROM agent_confidence),
+ m AS (SELECT case_id, coalesce(sum(CASE WHEN confidence > 0 THEN confidence * w END) / sum(CASE WHEN confidence > 0 THEN w END), 0) AS m, max(CASE WHEN confidence <= 0 THEN 1 ELSE 0 END) AS failed FROM a GROUP BY 1),
+ b AS (SELECT case_id, failed, least(1, greatest(0, 0.70 * m + 0.15 * (case_id % 10 / 10.0::DOUBLE) + 0.10 * (case_id % 7 / 7.0::DOUBLE) + 0.05 * (1 - case_id % 3 / 3.0::DOUBLE))) AS f FROM m)
+ SELECT case_id, round(f, 6)::DOUBLE AS fused, round(CASE WHEN failed = 0 THEN greatest(f, 0.975) ELSE f END, 6)::DOUBLE AS floored FROM b""")
+def _(rows):
+    """A01 with the agents' own names and weights, blended with evidence, compliance and contradictions."""
+    name = F.when(C("agent") == "view", "case_understanding").when(C("agent") == "click", "legal_research").when(C("agent") == "signup", "evidence_reliability").when(C("agent") == "purchase", "knowledge_graph").otherwise("report_generation")
+    extra = rows.select("case_id").distinct().select("case_id", (C("case_id") % 10 / F.lit(10.0)).alias("evidence"), (C("case_id") % 7 / F.lit(7.0)).alias("compliance"), (C("case_id") % 3 / F.lit(3.0)).alias("contradiction"))
+    return A.trust(rows.withColumn("agent", name), extra)
+
+
 @query("understanding_ladder", "documents", sql="SELECT doc_id, round(least(0.95, 0.40 + CASE WHEN n_chars > 1000 THEN 0.2 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.15 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END), 6)::DOUBLE AS confidence FROM documents")
 def _(docs):
     return docs.select("doc_id", F.round(A.understanding(C("n_chars") > 1000, C("lang") == "en", C("doc_id") % 2 == 0), 6).cast("double").alias("confidence"))
@@ -658,6 +669,14 @@ def _(lines):
     return Q.section_pivot(named, ("Summary", "Opinion"))
 
 
+@query("section_pivot_three", "lineitem", sql="SELECT l_orderkey AS case_id, max(CASE WHEN l_linenumber = 1 THEN CAST(l_partkey AS STRING) END) AS Summary, max(CASE WHEN l_linenumber = 2 THEN CAST(l_partkey AS STRING) END) AS Opinion, max(CASE WHEN l_linenumber = 3 THEN CAST(l_partkey AS STRING) END) AS Arguments FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def _(lines):
+    """Q05 with its three columns."""
+    rows = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    title = F.when(C("l_linenumber") == 1, "Summary").when(C("l_linenumber") == 2, "Opinion").when(C("l_linenumber") == 3, "Arguments").otherwise("Other")
+    return Q.section_pivot(rows.select(C("l_orderkey").alias("case_id"), title.alias("title"), C("p").cast("string").alias("content")), ("Summary", "Opinion", "Arguments"))
+
+
 @query("metadata_backfill", "cases", sql="SELECT case_id, CASE WHEN case_id % 4 IN (0, 1, 2) THEN court ELSE title END AS value FROM cases")
 def _(cases):
     stored = F.when(C("case_id") % 4 == 0, F.lit(None)).when(C("case_id") % 4 == 1, " ").when(C("case_id") % 4 == 2, T.NOT_FOUND).otherwise(C("title"))

@@ -59,6 +59,13 @@ def _(docs):
     return docs.filter(F.length(T.clean_text(C("text"))) >= 100).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("short_pieces_dropped", "documents", sql="SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE length(trim(line)) >= 10 GROUP BY 1")
+def _(docs):
+    """Pieces of under ten characters, stripped, are dropped."""
+    pieces = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return T.long_enough(pieces, "line", 10).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("needs_ocr_flag", "documents", sql="SELECT doc_id, CASE WHEN 1 + n_chars // 2000 > 0 THEN length(trim(coalesce(text, ''))) < 50 * (1 + n_chars // 2000) ELSE false END AS needs_ocr FROM documents")
 def _(docs):
     return docs.select("doc_id", T.needs_ocr(C("text"), 1 + F.floor(C("n_chars") / 2000)).alias("needs_ocr"))
@@ -165,6 +172,16 @@ def _(docs, queries):
     return B.bm25(docs, queries).select("query_id", "doc_id", "score", "rank")
 
 
+_RAW_QUERY = "the tion of that ing stea"
+_RAW_SQL = _BM25_SQL.replace("FROM queries", f"FROM (SELECT 0 AS query_id, '{_RAW_QUERY}' AS text)")
+
+
+@query("raw_text_search", "documents", sql=_RAW_SQL)
+def _(docs):
+    """One query over texts that have no index."""
+    return B.search_texts(docs, _RAW_QUERY).select("query_id", "doc_id", "score", "rank")
+
+
 @query("keywords_top20", "documents", sql="""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{5,}')) AS w FROM documents),
  c AS (SELECT doc_id, w[i] AS word, count(*) AS n, min(i) AS pos FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w) WHERE w[i] NOT IN (
  'about', 'above', 'after', 'again', 'against', 'because', 'before', 'being', 'below', 'between', 'cannot', 'could', 'doing', 'during', 'further', 'having', 'herself', 'himself', 'itself', 'myself', 'other', 'ought', 'ourselves',
