@@ -309,3 +309,25 @@ def test_default_submissions_and_events(spark):
     events = {r.doc_id: (r.date, r.event) for r in X.dated_events(docs).collect()}
     assert events[1][0] == "5th March, 2019" and events[2] == ("Judgment Date", "Judgment/Order delivered by the court")
     assert {r.issue for r in X.inferred_issues(docs.filter("doc_id = 2")).collect()} == {"Whether the claims of the petitioner are legally sustainable against the respondent.", "Whether statutory and procedural compliance was properly adhered to by the investigating authorities."}
+
+
+def test_evidence_windows_end_at_words(spark):
+    import re
+
+    words = " ".join(f"word{i}" for i in range(60))
+    texts = {1: f"{words} the bank account audit {words}", 2: f"bank account {words}", 3: f"{words} financial transfer", 4: "x" * 300 + " CDR not certified " + "y" * 300}
+    got = {(r.doc_id, r.label): r for r in X.evidence(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for (i, label), row in got.items():
+        text, pattern = texts[i], next(p for p, name in X.CUES if name == label)
+        m = re.search(pattern, text)
+        a, b = max(0, m.start() - 110), min(len(text), m.end() + 110)
+        s, e = text.rfind(" ", 0, a + 1) if a else -1, text.find(" ", b - 1) if b < len(text) else len(text)
+        want = text[s + 1 if s != -1 else a : e if e != -1 else b].strip()
+        assert row.description == want and row.disputed == (i == 4)
+
+
+def test_approximate_neighbours_recall(spark):
+    import __spark_entry__
+
+    recall = __spark_entry__.queries()["ann_recall"](spark, "/root/testdata/sf0.01").agg(F.avg("recall")).first()[0]
+    assert recall >= 0.9
