@@ -13,7 +13,7 @@ from lexquarry.llm.components import components
 from lexquarry.llm.exact_dedup import exact_dedup
 from lexquarry.llm.jaccard import Likeness, jaccard_components
 from lexquarry.llm.lines import drop_repeated_lines
-from lexquarry.llm.packing import best_fit, complement_plan, pack_documents, plan_packing
+from lexquarry.llm.packing import best_fit, complement_plan, pack, pack_documents, plan_packing
 from lexquarry.llm.quality import classify_quality, keep_quality, fit_quality
 from lexquarry.llm.secrets import BASE_RULES, redact_secrets, scan_secrets, span_digest
 from lexquarry.llm.sharding import minimax_cuts, plan_shards, shard_documents, shard_starts
@@ -145,6 +145,37 @@ def test_vectors(spark):
         assert (got[i].component_id, got[i].n_links, got[i].kept) == (want[i], sum(link(i, j) for j in ids if j != i), want[i] == i)
 
 
+def test_vectors_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 1), (None, [1.0, 0.0], 0)]
+    frame = spark.createDataFrame([(*r, 9, "x", 4, 1.5, 7) for r in rows], "vec_id long, embedding array<float>, label int, cell int, rep string, block int, unit double, n_links int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(frame).collect())
+    assert got == {(1, 2, 1, True): 2, (2, 2, 1, False): 1, (3, 0, 3, True): 2, (None, 0, None, True): 1}
+
+
+def test_packing_ties(spark):
+    rows = [(i, 0, n) for i, n in enumerate([2048] * 5 + [1024] * 4 + [4096] + [1] * 3)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long")).collect()
+    sums = Counter()
+    for r in out:
+        sums[r.sequence_id] += r.length
+    assert len(out) == len(rows) and max(sums.values()) <= 4096 and len(sums) == 5  # 18,435 tokens
+
+
+def test_lines_by_brute_force_on_many_documents(spark):
+    rng = np.random.default_rng(12)
+    kinds = [" ".join([f"k{k}"] * n) for k, n in enumerate([0, 3, 8, 12, 26, 50])]
+    base = [kinds[k] for k in rng.integers(0, 6, 40)]
+    rows = []
+    for i in range(30):  # cuts of one long sequence, with lines of their own between them
+        lines = []
+        for _ in range(rng.integers(1, 5)):
+            a = int(rng.integers(0, 38))
+            lines += [*base[a : a + int(rng.integers(1, 9))], *(f"own {i} {rng.integers(9)}" for _ in range(rng.integers(0, 2)))]
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: list(r.removed) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == repeated_lines(rows)
+
+
 def test_vectors_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
