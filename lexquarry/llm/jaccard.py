@@ -238,8 +238,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fractio
                 if len(filled):
                     sums[filled] = np.add.reduceat(mixed(tokens * np.uint64(2 * salt + 1) + np.uint64(salt)), bounds[:-1][filled])
                 digest.append(sums.view(np.int64))
-            fresh = np.zeros(batch.num_rows, bool)  # a set that a task meets again is signed once
-            for n in filled.tolist():
+            fresh = np.zeros(batch.num_rows, bool)  # a set that a task meets again is signed once, by a row that has an id
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for n in filled[named[filled]].tolist():
                 fresh[n] = digest[0][n] not in seen
                 seen.add(int(digest[0][n]))
             some = np.flatnonzero(fresh)

@@ -49,6 +49,13 @@ def test_jaccard(docs):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
 
 
+def test_jaccard_rows_without_an_id_come_first(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (7, " ".join([*words, "more"])), (9, "alone")]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[5] == got[7] == 5 and got[9] == 9
+
+
 @pytest.mark.parametrize("share", [Fraction(85, 100), Fraction(4, 5)])
 def test_parts_bound_the_difference(share):
     like = Likeness(share)
