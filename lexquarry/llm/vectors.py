@@ -1,8 +1,8 @@
 """Near-duplicate vectors by spherical k-means cells.
 
 Equal vectors form one class first.  Centroids are fitted on a bounded sample;
-every class is assigned to its nearest cell, and also visits each cell that a
-vector within the threshold of it could belong to, so no link is lost.  Within
+every class is assigned to its nearest cell, and also visits each cell of a lower number that a
+vector within the threshold of it could belong to, so every link is found in one cell.  Within
 a cell and label, blocks are compared by cosine products in double precision.
 Links leave a block as counts and a forest; components name the groups and
 the least id of each is kept.
@@ -38,7 +38,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) ->
 
 
 def cells_of(x: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, own) of every cell that each unit row is in or visits.
+    """(row, cell, own) of every cell that each unit row is in or visits; of two rows in different cells the one of the higher cell visits.
 
     A vector within ``reach`` of row v lies in cell c only if v is at most
     ``reach`` beyond the plane between its own centroid and c's.
@@ -47,7 +47,7 @@ def cells_of(x: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.ndarr
     own = np.argmax(near, axis=1)
     gap = near[np.arange(len(x)), own][:, None] - near
     apart = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))[own]
-    row, cell = np.nonzero(gap <= reach * apart + 1e-9)
+    row, cell = np.nonzero((gap <= reach * apart + 1e-9) & (np.arange(len(centers)) <= own[:, None]))
     return row, cell, cell == own[row]
 
 
@@ -137,9 +137,9 @@ def near_vectors(
             for a, b in zip(*np.nonzero(np.triu(linked) if same else linked), strict=True):
                 forest.join(int(a), int(b) + shift)
             root = forest.roots()
-            some = np.flatnonzero(own & (count > 0) | (root != np.arange(len(rep))))
+            some = np.flatnonzero((count > 0) | (root != np.arange(len(rep))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[some]), pa.array(rep[root[some]]), pa.array(np.where(own, count, 0)[some])], names=["a", "b", "n"]
+                [pa.array(rep[some]), pa.array(rep[root[some]]), pa.array(count[some])], names=["a", "b", "n"]
             )
 
     keys = [*place, "i", "j"]

@@ -152,6 +152,20 @@ def test_vectors(spark):
         assert (got[i].component_id, got[i].n_links, got[i].kept) == (want[i], sum(link(i, j) for j in ids if j != i), want[i] == i)
 
 
+def test_vectors_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr("lexquarry.llm.vectors.BLOCK", 24)  # a dozen cells and several blocks in some
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x.astype(np.float32).astype(float)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    linked = near @ near.T >= 0.98
+    np.fill_diagonal(linked, False)
+    want = grouped(list(range(300)), lambda a, b: linked[a, b])
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(linked[i].sum()), want[i]) for i in range(300)}
+
+
 def test_vectors_with_clashing_columns_and_repeated_ids(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 1), (None, [1.0, 0.0], 0)]
     frame = spark.createDataFrame([(*r, 9, "x", 4, 1.5, 7) for r in rows], "vec_id long, embedding array<float>, label int, cell int, rep string, block int, unit double, n_links int")
