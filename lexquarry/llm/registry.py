@@ -8,6 +8,7 @@ from lexquarry.llm.lines import op5_lines
 from lexquarry.llm.packing import op2_packing
 from lexquarry.llm.quality import op7_quality
 from lexquarry.llm.secrets import op9_secrets
+from lexquarry.llm.shallot import OP13_SQL, op13_clusters
 from lexquarry.llm.sharding import op4_sharding
 from lexquarry.llm.transducer import op10_bpe
 from lexquarry.llm.suffix_tree import op6_suffix_tree
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
+    "op13_clusters": op13_clusters,
 }
 
 ORACLE_SQL = {
     "op3_embeddings": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op13_clusters": OP13_SQL,
 }
