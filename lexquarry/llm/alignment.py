@@ -36,12 +36,13 @@ BLOCK = 4_000_000
 
 
 class Spelling:
-    """The bytes of a vocabulary's tokens in one buffer."""
+    """The bytes of a vocabulary's tokens in one buffer, and its ids in decimal."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], stop: str):
         self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.decimal = np.array([f"{n}{mark}" for n in range(len(tokens)) for mark in (",", stop)], "S")
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all tokens, one after another."""
@@ -61,11 +62,11 @@ class Pair:
         spelled = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             spelled[rank] = token
-        self.a = Spelling(spelled)
+        self.a = Spelling(spelled, "|")
         model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.encode_b = partial(model.encode, num_threads=1)
         piece = lambda n: bytes([int(model.id_to_piece(n)[3:-1], 16)]) if model.is_byte(n) else model.id_to_piece(n).replace("▁", " ").encode()
-        self.b = Spelling([piece(n) for n in range(model.get_piece_size())])
+        self.b = Spelling([piece(n) for n in range(model.get_piece_size())], ";")
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A for space and text, of B for the text, to which it adds the space; none where either spells other bytes."""
@@ -81,12 +82,13 @@ class Aligned:
     """Texts one after another: groups and links of all their tokens."""
 
     def __init__(self, pair: Pair, a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray):
-        self.a, self.b, self.n_a, self.n_b = a, b, a_sizes, b_sizes
+        self.pair, self.a, self.b, self.n_a, self.n_b = pair, a, b, a_sizes, b_sizes
         end_a, end_b = np.cumsum(pair.a.sizes[a]), np.cumsum(pair.b.sizes[b])  # texts spell as many bytes on both sides
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        ends = np.union1d(end_a, end_b)
-        self.group_a, self.group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        new = np.append(True, ends[1:] != ends[:-1])[: len(ends)]
+        common, ends = ends[~new], ends[new]
         link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        self.group_a, self.group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         self.pairs = a[link_a].astype(np.int64) << 32 | b[link_b]
         text = np.repeat(np.arange(len(a_sizes)), a_sizes)
         self.text_of_link = text[link_a]
@@ -98,12 +100,10 @@ class Aligned:
         groups = int(self.group_a[-1]) + 1 if len(self.group_a) else 0
         a_before, b_before = (np.cumsum(np.bincount(g, minlength=groups)) for g in (self.group_a, self.group_b))
         last = lambda g: np.append(g[1:] != g[:-1], True)[: len(g)]
-        words = np.zeros(len(self.a) + len(self.b), "S11")
-        for ids, group, mark, place in (
-            (self.a, self.group_a, b"|", np.arange(len(self.a)) + np.append(0, b_before)[self.group_a]),
-            (self.b, self.group_b, b";", np.arange(len(self.b)) + a_before[self.group_b] if groups else np.zeros(0, np.int64)),
-        ):
-            words[place] = np.char.add(ids.astype("S10"), np.where(last(group), mark, b","))
+        words = np.zeros(len(self.a) + len(self.b), max(self.pair.a.decimal.dtype, self.pair.b.decimal.dtype))
+        words[np.arange(len(self.a)) + np.append(0, b_before)[self.group_a]] = self.pair.a.decimal[2 * self.a + last(self.group_a)]
+        if groups:
+            words[np.arange(len(self.b)) + a_before[self.group_b]] = self.pair.b.decimal[2 * self.b + last(self.group_b)]
         stops = np.cumsum(self.n_a + self.n_b)
         return [words[s:e].tobytes().replace(b"\0", b"")[:-1] for s, e in zip((stops - self.n_a - self.n_b).tolist(), stops.tolist(), strict=True)]
 
