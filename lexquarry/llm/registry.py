@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexquarry.llm.alignment import op11_alignment
 from lexquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lexquarry.llm.jaccard import op1_jaccard
 from lexquarry.llm.lines import op5_lines
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
+    "op11_alignment": op11_alignment,
     "op13_clusters": op13_clusters,
 }
 
