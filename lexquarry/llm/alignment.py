@@ -68,14 +68,19 @@ class Pair:
         piece = lambda n: bytes([int(model.id_to_piece(n)[3:-1], 16)]) if model.is_byte(n) else model.id_to_piece(n).replace("▁", " ").encode()
         self.b = Spelling([piece(n) for n in range(model.get_piece_size())], ";")
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A for space and text, of B for the text, to which it adds the space; none where either spells other bytes."""
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(all ids, each text's number of them) of A for space and text, and of B for the text, to which it adds the space; none where either spells other bytes."""
         a, b = [self.encode_a(" " + t) for t in texts], self.encode_b(texts)
-        for n, text in enumerate(texts):
-            want = np.frombuffer(b" " + text.encode(), np.uint8)
-            if not (text and np.array_equal(self.a.of(np.array(a[n], np.int64)), want) and np.array_equal(self.b.of(np.array(b[n], np.int64)), want)):
+        wanted = [b" " + t.encode() for t in texts]
+        (a_ids, a_sizes), (b_ids, b_sizes) = flattened(a), flattened(b)
+        want, size = np.frombuffer(b"".join(wanted), np.uint8), np.fromiter(map(len, wanted), np.int64, len(wanted))
+        fits = lambda spelling, ids, sizes: np.array_equal(np.add.reduceat(spelling.sizes[ids], np.cumsum(sizes) - sizes), size) and np.array_equal(spelling.of(ids), want)
+        if a_sizes.all() and b_sizes.all() and fits(self.a, a_ids, a_sizes) and fits(self.b, b_ids, b_sizes):
+            return (a_ids, a_sizes), (b_ids, b_sizes)
+        for n, text in enumerate(wanted):  # some text is spelled in other bytes
+            if not (texts[n] and text == self.a.of(np.array(a[n], np.int64)).tobytes() == self.b.of(np.array(b[n], np.int64)).tobytes()):
                 a[n], b[n] = [], []
-        return a, b
+        return flattened(a), flattened(b)
 
 
 class Aligned:
@@ -116,10 +121,17 @@ def summed(pairs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs[cut], np.add.reduceat(weights, cut) if len(cut) else weights
 
 
+def _packed(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Each text's ids as one binary value; ids of up to 16 bits take two bytes each, which the first byte says."""
+    wide = np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32
+    data, ends, mark = ids.astype(wide), np.cumsum(sizes), bytes([np.dtype(wide).itemsize])
+    return pa.array([mark + data[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+
+
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a binary column of 32-bit ids, and each row's number of them."""
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.uint32).astype(np.int64), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    """What :func:`_packed` was made of."""
+    each = [np.frombuffer(v, {2: np.uint16, 4: np.uint32}[v[0]], offset=1) for v in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *each]).astype(np.int64), np.fromiter(map(len, each), np.int64, len(each))
 
 
 _ENCODED = "block long, key binary, digest string, n_a long, n_b long, n_groups long, n_links long, a binary, b binary, pairs binary, sums binary"
@@ -144,15 +156,14 @@ def encoded(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
             return [rest, pa.RecordBatch.from_arrays(carried, names=batch.schema.names)]
 
         for batch in (part for whole in batches for part in slices(whole, 0, 2_000_000)):
-            a_ids, b_ids = pair.encode(batch.column(0).to_pylist())
-            (a, a_sizes), (b, b_sizes) = flattened(a_ids), flattened(b_ids)
-            found = Aligned(pair, a.astype(np.int64), a_sizes, b.astype(np.int64), b_sizes)
+            texts = batch.column(0).to_pylist()
+            (a, a_sizes), (b, b_sizes) = pair.encode(texts)
+            found = Aligned(pair, a, a_sizes, b, b_sizes)
             sums.append(summed(found.pairs, batch.column(1).to_numpy()[found.text_of_link]))
             held += len(a) + len(b)
-            key = [hashlib.sha256(t.encode()).digest() for t in batch.column(0).to_pylist()]
+            key = [hashlib.sha256(t.encode()).digest() for t in texts]
             digest = [hashlib.sha256(w).hexdigest() if w else "" for w in found.spelled()]
-            raw = lambda ids: pa.array([np.array(x, np.uint32).tobytes() for x in ids], pa.binary())
-            columns = [pa.array(np.full(batch.num_rows, block)), pa.array(key, pa.binary()), pa.array(digest, pa.string()), *map(pa.array, (a_sizes, b_sizes, found.n_groups, found.n_links)), raw(a_ids), raw(b_ids)]
+            columns = [pa.array(np.full(batch.num_rows, block)), pa.array(key, pa.binary()), pa.array(digest, pa.string()), *map(pa.array, (a_sizes, b_sizes, found.n_groups, found.n_links)), _packed(a, a_sizes), _packed(b, b_sizes)]
             nulls = pa.nulls(batch.num_rows, pa.binary())
             now = pa.RecordBatch.from_arrays([*columns, nulls, nulls], names=[c.split()[0] for c in _ENCODED.split(", ")])
             if waiting is not None:
