@@ -7,6 +7,7 @@ from lexquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lexquarry.llm.jaccard import op1_jaccard
 from lexquarry.llm.lines import op5_lines
 from lexquarry.llm.packing import op2_packing
+from lexquarry.llm.personal import op12_personal
 from lexquarry.llm.quality import op7_quality
 from lexquarry.llm.secrets import op9_secrets
 from lexquarry.llm.shallot import OP13_SQL, op13_clusters
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
     "op11_alignment": op11_alignment,
+    "op12_personal": op12_personal,
     "op13_clusters": op13_clusters,
 }
 
