@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
 from lexquarry.operators import chunking as K
+from lexquarry.operators import inverted as I
 from lexquarry.operators import lexical as B
 from lexquarry.operators import retrieval as R
 from lexquarry.operators import vectors as V
@@ -172,6 +173,12 @@ def _(docs, queries):
     return B.bm25(docs, queries).select("query_id", "doc_id", "score", "rank")
 
 
+@query("bm25_index_topk", "documents", "queries", sql=_BM25_SQL)
+def _(docs, queries):
+    """Through a stored index, whose blocks are read as far as they can matter."""
+    return I.search(I.build_index(docs), queries)
+
+
 _RAW_QUERY = "the tion of that ing stea"
 _RAW_SQL = _BM25_SQL.replace("FROM queries", f"FROM (SELECT 0 AS query_id, '{_RAW_QUERY}' AS text)")
 
