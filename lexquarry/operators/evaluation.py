@@ -58,15 +58,15 @@ def routing_accuracy(pairs: DataFrame) -> DataFrame:
 
 
 def irac_component(text: Column) -> Column:
-    """.6 for something said, .1 each for length, a citation, a connective and several sentences, 1 at most."""
-    said = T_said(text)
-    bonus = [F.length(text) > 100, text.rlike(r"(?i)section|article|\bv\.?s?\.? "), text.rlike(r"(?i)because|therefore|since|hence|thus"), F.size(F.split(text, r"\.\s")) > 2]
+    """.6 for something said, .1 each for more than 100 and more than 300 characters, a word of law and a word of conclusion, 1 at most."""
+    said, low = T_said(text), F.lower(text)
+    bonus = [F.length(text) > 100, F.length(text) > 300, low.rlike("section|act|provision|code"), low.rlike("therefore|conclusion|held")]
     return F.when(said, F.least(F.lit(1.0), F.lit(0.6) + sum((F.when(b, 0.1).otherwise(0.0) for b in bonus), F.lit(0.0)))).otherwise(0.0)
 
 
 def T_said(text: Column) -> Column:
     """Whether a component says anything."""
-    return F.coalesce(~F.upper(F.trim(text)).isin("", "N/A"), F.lit(False))
+    return F.coalesce(~text.isin("", "N/A"), F.lit(False))
 
 
 def irac(analyses: DataFrame, weights: dict[str, float] = IRAC) -> DataFrame:

@@ -97,9 +97,18 @@ def _(docs):
     return X.metadata(docs)
 
 
-@query("acts_mentioned", "judgments", sql="SELECT doc_id, 'Indian Evidence Act,Insurance Act' AS acts FROM judgments")
+_NAMED = "CASE doc_id % 5 WHEN 0 THEN ' Charged under IPC and Cr.P.C. with the NDPS Act.' WHEN 1 THEN ' See BNS, BNSS and BSA.' WHEN 2 THEN ' The Code of Criminal Procedure, 1973 and the Bharatiya Nyaya Sanhita, 2023 differ.' WHEN 3 THEN ' Nothing else.' ELSE ' N.D.P.S. Act; Indian Penal Code, 1860; I.P.C.' END"
+_ACT_FORMS = (
+    r"N\.?D\.?P\.?S\.?\s+Act|Narcotic\s+Drugs\s+and\s+Psychotropic\s+Substances\s+Act(?:\s*,\s*\d{4})?", r"I\.?P\.?C\.?|Indian\s+Penal\s+Code(?:\s*,\s*\d{4})?", r"Cr\.?P\.?C\.?|Code\s+of\s+Criminal\s+Procedure(?:\s*,\s*\d{4})?",
+    r"BNS|Bharatiya\s+Nyaya\s+Sanhita(?:\s*,\s*\d{4})?", r"BNSS|Bharatiya\s+Nagarik\s+Suraksha\s+Sanhita(?:\s*,\s*\d{4})?", r"BSA|Bharatiya\s+Sakshya\s+Adhiniyam(?:\s*,\s*\d{4})?",
+    r"Evidence\s+Act|Indian\s+Evidence\s+Act(?:\s*,\s*\d{4})?", r"Insurance\s+Act(?:\s*,\s*\d{4})?", r"[A-Z][a-zA-Z\s]{2,40}\s+(?:Act|Code|Sanhita|Adhiniyam)(?:\s*,\s*\d{4})?",
+)
+
+
+@query("acts_mentioned", "judgments", sql="SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(" + " || ".join(f"regexp_extract_all(t, '(?i)\\b(?:{p})\\b')" for p in _ACT_FORMS) + f", lambda x: trim(x)))), ';') AS acts FROM (SELECT doc_id, text || {_NAMED} AS t FROM judgments)")
 def _(docs):
-    return docs.select("doc_id", F.array_join(X.acts(F.regexp_replace("text", r"Section \d+ of the ", "; ")), ",").alias("acts"))
+    """X10 over judgments with further acts named; fewer than the cap."""
+    return docs.select("doc_id", F.array_join(F.array_sort(X.acts(F.concat("text", F.expr(_NAMED)), cap=50)), ";").alias("acts"))
 
 
 @query("articles_sorted", "judgments", sql="""SELECT doc_id, CAST(doc_id % 20 + 12 AS STRING) AS article, CASE doc_id % 20 + 12 WHEN 14 THEN 'Equality before law and equal protection of laws.' WHEN 19 THEN 'Protection of fundamental freedoms (speech, assembly, etc.).'
@@ -119,9 +128,16 @@ def _(docs):
     return X.timeline(docs).select("doc_id", "nth", C("date").alias("said"), "typed")
 
 
-@query("outcome_class", "judgments", sql="SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'bail allowed' ELSE 'partly allowed' END AS outcome FROM orders")
+_ENDS = "CASE doc_id % 6 WHEN 0 THEN ' The award is set aside.' WHEN 1 THEN ' Hence the appeal dismissed.' WHEN 2 THEN ' The appeal is allowed on P.R. Bond of Rs. 25,000/-.' WHEN 3 THEN ' Petition dismissed.' WHEN 4 THEN ' Disposed of.' ELSE ' Costs.' END"
+
+
+@query("outcome_class", "judgments", sql=f"""WITH t AS (SELECT doc_id, lower(right(text || {_ENDS}, 700)) AS t FROM judgments) SELECT doc_id,
+ CASE WHEN contains(t, 'partly allowed') OR contains(t, 'set aside') THEN 'partly allowed' WHEN contains(t, 'bail application is allowed') OR contains(t, 'bail is allowed') THEN 'bail allowed' WHEN regexp_matches(t, '\\ballowed\\b') THEN 'allowed' WHEN contains(t, 'disposed of') THEN 'disposed' WHEN contains(t, 'dismissed') THEN 'dismissed' ELSE 'decided' END AS outcome,
+ CASE WHEN regexp_matches(t, '\\b(bail application is allowed|bail is allowed|petition is allowed|application is allowed|appeal is allowed)\\b') THEN 'allowed' WHEN regexp_matches(t, '\\b(appeal dismissed|petition dismissed)\\b') THEN 'dismissed' WHEN regexp_matches(t, '\\b(partly allowed|set aside)\\b') THEN 'partly allowed' ELSE 'disposed' END AS ruling,
+ nullif(regexp_extract(t, 'p\\.?r\\.?\\s*bond of rs\\.?\\s*([\\d,/-]+)', 1), '') AS bond FROM t""")
 def _(docs):
-    return docs.select("doc_id", X.outcome(C("text")).alias("outcome"))
+    text = F.concat("text", F.expr(_ENDS))
+    return docs.select("doc_id", X.outcome(text).alias("outcome"), X.ruling(text).alias("ruling"), X.bond(text).alias("bond"))
 
 
 @query("evidence_items", "judgments", sql="SELECT doc_id, 'Bank ledger audit & financial records' AS label, false AS disputed FROM judgments")
@@ -142,9 +158,19 @@ def _(docs):
     return X.risk_signals(docs.select("doc_id", text.alias("text"))).select("doc_id", "strength", F.size("weaknesses").alias("n_weak"))
 
 
-@query("entity_table", "judgments", sql="SELECT kind, count(*) AS n FROM (SELECT doc_id, 'section' AS kind, doc_id % 50 AS v FROM judgments UNION SELECT doc_id, 'section', doc_id % 90 FROM judgments UNION ALL SELECT doc_id, 'case_number', 0 FROM judgments UNION ALL SELECT o_orderkey, 'relief', 0 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT doc_id, 'act', 0 FROM judgments UNION ALL SELECT doc_id, 'act', 1 FROM judgments) GROUP BY 1")
+_ACT_NAMES = "BNS|BNSS|BSA|IPC|CrPC|Indian Penal Code|Bharatiya Nyaya Sanhita|Bharatiya Nagarik Suraksha Sanhita|Bharatiya Sakshya Adhiniyam|Evidence Act|Code of Criminal Procedure"
+_SAYS = "CASE doc_id % 4 WHEN 0 THEN ' Under section 302 of the IPC and Section 420 IPC, FIR No. 12/2020; seeks bail, and costs.' WHEN 1 THEN ' SLP No. 77 of 2019; prayer for compensation under the Constitution of India.' WHEN 2 THEN ' bail is a rule; Section 9 only.' ELSE ' WP 5/2021, praying for quashing of FIR 8.' END"
+_ENTITY_SQL = {
+    "section": rf"(?i)section\s+\d+[a-z]*(?:\(\d+\))?\s+(?:of\s+)?(?:the\s+)?(?:{_ACT_NAMES})", "act": rf"(?i)(?:{_ACT_NAMES}|Constitution of India)",
+    "case_number": r"(?i)(?:Case|Crl\.?|Criminal|Civil|WP|SLP|Crl\.?\s*Appeal|Crl\.?\s*Revision|Crl\.?\s*Petition)\s*(?:No\.?|Number)?\s*[\d/]+\s*(?:of\s*\d{4})?", "fir": r"(?i)FIR\s*(?:No\.?|Number)?\s*[\d/]+",
+    "relief": r"(?i)(?:seeks?|pray(?:s|ing)?|prayer|relief)\s+(?:for\s+)?((?:compensation|damages|injunction|declaration|acquittal|conviction|bail|quashing|direction|order|stay|restoration|possession|specific performance)[\s\w,]*)",
+}
+
+
+@query("entity_table", "judgments", sql="WITH t AS (SELECT doc_id, text || " + _SAYS + " AS t FROM judgments), e AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(t, '{p}', {1 if k == 'relief' else 0})) AS value FROM t" for k, p in _ENTITY_SQL.items()) + ") SELECT doc_id, kind, trim(value) AS value, CASE WHEN kind IN ('section', 'act') THEN 1 ELSE count(*) END AS n FROM e GROUP BY doc_id, kind, trim(value)")
 def _(docs):
-    return X.entities(docs).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """X23 over judgments with further entities."""
+    return X.entities(docs.select("doc_id", F.concat("text", F.expr(_SAYS)).alias("text"))).groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("whether_issues", "judgments", sql="SELECT doc_id, 1 AS n_issues, 0 AS n_witnesses FROM judgments")
@@ -489,19 +515,24 @@ _AGENTS = {"click": 0.1, "view": 0.15, "purchase": 0.3, "signup": 0.25, "error":
 _W = "CASE agent " + " ".join(f"WHEN '{a}' THEN {w}" for a, w in _AGENTS.items()) + " END"
 
 
-@query("trust_fusion", "agent_confidence", sql=f"SELECT case_id, m AS fused, CASE WHEN m >= 0.8 THEN 'HIGH' WHEN m >= 0.6 THEN 'MODERATE' WHEN m >= 0.4 THEN 'LOW' ELSE 'VERY LOW' END AS band FROM (SELECT case_id, round(least(1.0, greatest(0.0, coalesce(sum(CASE WHEN confidence > 0 THEN confidence * {_W} END) / sum(CASE WHEN confidence > 0 THEN {_W} END), 0))), 6) AS m FROM agent_confidence GROUP BY 1)")
+@query("trust_fusion", "agent_confidence", sql=f"""SELECT case_id, f AS fused, f AS floored, CASE WHEN f >= 0.8 THEN 'HIGH' WHEN f >= 0.6 THEN 'MODERATE' WHEN f >= 0.4 THEN 'LOW' ELSE 'VERY LOW' END AS band FROM (SELECT case_id, round(least(1.0, greatest(0.0, 0.7 * coalesce(sum(CASE WHEN confidence > 0 THEN confidence * {_W} END) / sum(CASE WHEN confidence > 0 THEN {_W} END), 0)
+ + 0.5 * 0.15 + 0.5 * 0.10 + 1.0 * 0.05)), 6)::DOUBLE AS f FROM agent_confidence GROUP BY 1)""")
 def _(rows):
-    return A.trust(rows, weights=_AGENTS).select("case_id", "fused", A.trust_band(C("fused")).alias("band"))
+    """A01 without other signals: evidence and compliance count .5, contradictions none."""
+    return A.trust(rows, weights=_AGENTS).select("case_id", "fused", "floored", A.trust_band(C("fused")).alias("band"))
 
 
 @query("trust_blend", "agent_confidence", sql="""WITH a AS (SELECT case_id, confidence, CASE agent WHEN 'view' THEN 0.10 WHEN 'click' THEN 0.15 WHEN 'signup' THEN 0.15 WHEN 'purchase' THEN 0.05 END AS w FROM agent_confidence),
- m AS (SELECT case_id, coalesce(sum(CASE WHEN confidence > 0 THEN confidence * w END) / sum(CASE WHEN confidence > 0 THEN w END), 0) AS m, max(CASE WHEN confidence <= 0 THEN 1 ELSE 0 END) AS failed FROM a GROUP BY 1),
- b AS (SELECT case_id, failed, least(1, greatest(0, 0.70 * m + 0.15 * (case_id % 10 / 10.0::DOUBLE) + 0.10 * (case_id % 7 / 7.0::DOUBLE) + 0.05 * (1 - case_id % 3 / 3.0::DOUBLE))) AS f FROM m)
- SELECT case_id, round(f, 6)::DOUBLE AS fused, round(CASE WHEN failed = 0 THEN greatest(f, 0.975) ELSE f END, 6)::DOUBLE AS floored FROM b""")
+ m AS (SELECT case_id, coalesce(sum(CASE WHEN confidence > 0 THEN confidence * w END) / sum(CASE WHEN confidence > 0 THEN w END), 0) AS m FROM a GROUP BY 1),
+ b AS (SELECT case_id, greatest(0, least(1, 0.70 * m + 0.15 * CASE WHEN case_id % 11 = 0 THEN 0.5 ELSE case_id % 10 / 10.0::DOUBLE END + 0.10 * (case_id % 7 / 7.0::DOUBLE) + 0.05 * CASE WHEN case_id % 13 = 0 THEN 1.0 ELSE 1 - case_id % 3 / 3.0::DOUBLE END)) AS f FROM m)
+ SELECT case_id, round(f, 6)::DOUBLE AS fused, round(CASE WHEN case_id % 5 = 0 THEN f WHEN case_id % 2 = 0 AND case_id % 3 = 0 THEN greatest(f, 0.98) WHEN case_id % 2 = 0 OR case_id % 3 = 0 THEN greatest(f, 0.975) ELSE f END, 6)::DOUBLE AS floored FROM b""")
 def _(rows):
-    """A01 with the agents' own names and weights, blended with evidence, compliance and contradictions."""
+    """A01 with the agents' own names and weights, other signals where there are any, and the floors of error-free cases."""
     name = F.when(C("agent") == "view", "case_understanding").when(C("agent") == "click", "legal_research").when(C("agent") == "signup", "evidence_reliability").when(C("agent") == "purchase", "knowledge_graph").otherwise("report_generation")
-    extra = rows.select("case_id").distinct().select("case_id", (C("case_id") % 10 / F.lit(10.0)).alias("evidence"), (C("case_id") % 7 / F.lit(7.0)).alias("compliance"), (C("case_id") % 3 / F.lit(3.0)).alias("contradiction"))
+    extra = rows.select("case_id").distinct().select(
+        "case_id", F.when(C("case_id") % 11 != 0, C("case_id") % 10 / F.lit(10.0)).alias("evidence"), (C("case_id") % 7 / F.lit(7.0)).alias("compliance"), F.when(C("case_id") % 13 != 0, C("case_id") % 3 / F.lit(3.0)).alias("contradiction"),
+        F.when(C("case_id") % 5 == 0, 1).alias("errors"), (C("case_id") % 2 == 0).alias("sections"), (C("case_id") % 3 == 0).alias("precedents"),
+    )
     return A.trust(rows.withColumn("agent", name), extra)
 
 
@@ -516,9 +547,22 @@ def _(rows):
     return means.select("case_id", "evidence", F.round(A.contradiction_confidence(C("evidence")), 6).alias("contradiction"))
 
 
-@query("agent_table", "agent_confidence", sql="SELECT u.case_id, a.agent, round(coalesce(max(confidence), 0.92), 6)::DOUBLE AS confidence FROM (SELECT DISTINCT case_id FROM agent_confidence) u CROSS JOIN (SELECT unnest(['click', 'view', 'purchase', 'signup', 'error']) AS agent) a LEFT JOIN agent_confidence c ON c.case_id = u.case_id AND c.agent = a.agent GROUP BY 1, 2")
+_STAGES = ("case_understanding", "evidence_reliability", "risk_assessment", "explainability", "report_generation")
+_STAGE_OF = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
+
+
+@query("agent_table", "agent_confidence", sql="""WITH d(agent, name, t) AS (VALUES ('case_understanding', 'Document Processing Agent', 140), ('legal_research', 'Metadata Agent', 210), ('knowledge_graph', 'Knowledge Graph Agent', 160), ('evidence_reliability', 'Evidence Reliability Agent', 115),
+ ('contradiction_detection', 'Contradiction Detection Agent', 95), ('procedural_compliance', 'Procedural Compliance Agent', 85), ('legal_reasoning', 'Legal Reasoning Agent', 240), ('strategy_recommendation', 'Strategy Recommendation Agent', 130),
+ ('risk_assessment', 'Risk Assessment Agent', 110), ('confidence_fusion', 'Confidence Agent', 65), ('explainability', 'Explainability Agent', 125), ('report_generation', 'Report Generation Agent', 190)),
+ r AS (SELECT case_id, CASE agent WHEN 'click' THEN 'case_understanding' WHEN 'view' THEN 'evidence_reliability' WHEN 'purchase' THEN 'risk_assessment' WHEN 'signup' THEN 'explainability' ELSE 'report_generation' END AS agent, max(confidence) AS confidence,
+ CASE WHEN agent = 'view' THEN count(*) || '00ms' END AS time FROM agent_confidence GROUP BY case_id, agent_confidence.agent)
+ SELECT u.case_id, d.agent, d.name, 'Completed' AS status, coalesce(r.time, d.t || 'ms') AS time, round(coalesce(r.confidence, 0.92) * 100, 4)::DOUBLE AS confidence FROM (SELECT DISTINCT case_id FROM agent_confidence) u CROSS JOIN d LEFT JOIN r ON r.case_id = u.case_id AND r.agent = d.agent""")
 def _(rows):
-    return A.agent_table(rows.select("case_id").distinct(), rows, tuple(_AGENTS))
+    """Twelve agents a case, measured times where there are any."""
+    name = F.element_at(F.array(*map(F.lit, _STAGES)), F.element_at(F.create_map(*[F.lit(x) for pair in _STAGE_OF.items() for x in pair]), C("agent")) + 1)
+    times = F.when(C("agent") == "view", F.concat(F.count(F.lit(1)).cast("string"), F.lit("00ms")))
+    results = rows.groupBy("case_id", "agent").agg(F.max("confidence").alias("confidence"), times.alias("time")).withColumn("agent", name)
+    return A.agent_table(rows.select("case_id").distinct(), results)
 
 
 @query("section_importance", "sections", sql="SELECT section_id, CASE WHEN section_id % 100 / 100.0 > 0.7 THEN 'High' ELSE 'Medium' END AS importance FROM sections")
@@ -526,22 +570,43 @@ def _(sections):
     return sections.select("section_id", A.importance(C("section_id") % 100 / 100).alias("importance"))
 
 
-@query("report_sections", "case_section", sql="SELECT case_id, 1 AS n_sections, least(n, 15)::INT AS n_items FROM (SELECT case_id, count(*) AS n FROM case_section GROUP BY 1)")
-def _(links):
+_TITLES = "Executive Summary|Case Facts|Legal Issues Identified|Applicable Acts|Applicable Sections|Supporting Judgments|Evidence Analysis|Contradiction Analysis|Risk Assessment|Procedural Compliance|Strategy Recommendation|Trust Score|Confidence Scores|Explainability Graph|Knowledge Graph Snapshot|References & Human Review Note"
+
+
+@query("report_sections", "case_section", "sections", sql=f"""WITH s AS (SELECT case_id, section_id, 'Section ' || section_number || ' of ' || act AS ref, row_number() OVER (PARTITION BY case_id ORDER BY section_id) AS n FROM case_section JOIN sections USING (section_id))
+ SELECT case_id, '{_TITLES}' AS titles, least(count(*), 15)::INT AS n_listed, string_agg(CASE WHEN n <= 10 THEN ref END, ';' ORDER BY n) AS refs, string_agg(CASE WHEN n <= 5 THEN 'issue ' || section_id END, ';' ORDER BY n) AS findings, 'No summary available' AS summary FROM s GROUP BY 1""")
+def _(links, sections):
+    """What every case's report says of its sections, its first findings and what it lacks."""
     order = Window.partitionBy("case_id").orderBy("section_id")
-    parts = links.select("case_id", F.lit("Sections").alias("title"), (F.row_number().over(order) - 1).alias("pos"), C("section_id").cast("string").alias("content"))
-    return A.report(parts).select("case_id", F.size("sections").alias("n_sections"), F.size(F.from_json(C("sections")[0]["content"], "array<string>")).alias("n_items"))
+    rows = links.join(sections, "section_id").withColumn("pos", F.row_number().over(order) - 1)
+    listed = rows.select("case_id", F.lit("applicable_sections").alias("field"), "pos", F.to_json(F.struct("section_number", "act", "title")).alias("content"))
+    issues = rows.select("case_id", F.lit("legal_issues").alias("field"), "pos", F.concat(F.lit("issue "), "section_id").alias("content"))
+    report = A.report(listed.unionByName(issues))
+    said = lambda n, path, kind="array<string>": F.from_json(F.get_json_object(C("sections")[n - 1]["content"], path), kind)
+    return report.select(
+        "case_id", F.array_join(F.transform("sections", lambda x: x["title"]), "|").alias("titles"), F.size(said(5, "$.sections")).alias("n_listed"),
+        F.array_join(said(16, "$.section_references"), ";").alias("refs"), F.array_join(said(1, "$.key_findings"), ";").alias("findings"), F.get_json_object(C("sections")[0]["content"], "$.summary").alias("summary"),
+    )
+
+
+_KINDS = ("Bail matter", "Contract suit", "Writ petition", "NDPS criminal appeal", "Cybercrime bail", "Commercial dispute", "Sundry", "Constitution bench")
+_KIND_SQL = "CASE case_id % 8 " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(_KINDS)) + " END"
+
+
+def _kinds(cases):
+    return cases.select("case_id", F.element_at(F.array(*map(F.lit, _KINDS)), (C("case_id") % 8 + 1).cast("int")).alias("case_type"))
 
 
-@query("case_categories", "cases", sql="SELECT count(*) AS total, count_if(contains(lower(case_type), 'b')) AS n_b, count_if(contains(lower(case_type), 'machinery') OR contains(lower(case_type), 'auto')) AS n_goods FROM cases")
+@query("case_categories", "cases", sql=f"""SELECT count(*) AS total, count_if(contains(t, 'criminal') OR contains(t, 'bail')) AS n_criminal, count_if(contains(t, 'cyber')) AS n_cybercrime, count_if(contains(t, 'arbitration') OR contains(t, 'commercial')) AS n_arbitration,
+ count_if(contains(t, 'writ') OR contains(t, 'constitution')) AS n_constitutional, count_if(contains(t, 'civil')) AS n_civil FROM (SELECT lower({_KIND_SQL}) AS t FROM cases)""")
 def _(cases):
-    return A.category_counts(cases, {"b": ("b",), "goods": ("machinery", "auto")})
+    return A.category_counts(_kinds(cases))
 
 
-@query("category_variant", "cases", sql="SELECT case_id, CASE case_id % 5 WHEN 0 THEN 'criminal' WHEN 1 THEN 'civil' WHEN 2 THEN 'constitutional' WHEN 3 THEN 'corporate' ELSE 'other' END AS variant FROM cases")
+@query("category_variant", "cases", sql=f"""SELECT case_id, CASE WHEN contains(t, 'criminal') OR contains(t, 'bail') OR contains(t, 'ndps') THEN 'criminal' WHEN contains(t, 'cyber') THEN 'cybercrime' WHEN contains(t, 'arbitration') OR contains(t, 'commercial') THEN 'arbitration'
+ WHEN contains(t, 'writ') OR contains(t, 'constitution') THEN 'constitutional' ELSE 'civil' END AS variant FROM (SELECT case_id, lower({_KIND_SQL}) AS t FROM cases)""")
 def _(cases):
-    kind = F.element_at(F.array(*map(F.lit, ("Bail matter", "Contract suit", "Writ petition", "Company law", "Sundry"))), (C("case_id") % 5 + 1).cast("int"))
-    return cases.select("case_id", A.category_of(kind).alias("variant"))
+    return _kinds(cases).select("case_id", A.category_of(C("case_type")).alias("variant"))
 
 
 @query("portfolio_stats", "cases", sql="SELECT count(*) AS total, count_if(status = 'F') AS analysed, round(avg(amount), 4) AS mean_amount FROM cases")
@@ -599,9 +664,12 @@ def _(orders):
     return E.routing_accuracy(orders.select((C("o_orderkey") % 3).alias("predicted"), (C("o_custkey") % 3).alias("truth")))
 
 
-@query("irac_scores", "documents", sql=r"SELECT doc_id AS analysis_id, round(0.15 * 0.6 + 0.30 * 0.6 + 0.40 * (CASE WHEN trim(text) = '' THEN 0 ELSE least(1.0, 0.6 + CASE WHEN length(text) > 100 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)section|article|\bv\.?s?\.? ') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)because|therefore|since|hence|thus') THEN 0.1 ELSE 0 END + CASE WHEN len(regexp_split_to_array(text, '\.\s')) > 2 THEN 0.1 ELSE 0 END) END), 4)::DOUBLE AS total FROM documents")
+_IRAC_TEXT = "CASE WHEN t IS NULL OR t IN ('', 'N/A') THEN 0 ELSE 0.6 + CASE WHEN length(t) > 100 THEN 0.1 ELSE 0 END + CASE WHEN length(t) > 300 THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(t), 'section') OR contains(lower(t), 'act') OR contains(lower(t), 'provision') OR contains(lower(t), 'code') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(t), 'therefore') OR contains(lower(t), 'conclusion') OR contains(lower(t), 'held') THEN 0.1 ELSE 0 END END"
+
+
+@query("irac_scores", "documents", sql=f"SELECT doc_id AS analysis_id, round(0.15 * 0.7 + 0.30 * 0.7 + 0.40 * {_IRAC_TEXT}, 4)::DOUBLE AS total FROM (SELECT doc_id, text AS t FROM documents)")
 def _(docs):
-    rows = docs.select(C("doc_id").alias("analysis_id"), F.lit("x").alias("issue"), F.lit("y").alias("rule"), C("text").alias("application"), F.lit("N/A").alias("conclusion"))
+    rows = docs.select(C("doc_id").alias("analysis_id"), F.lit("was it held?").alias("issue"), F.lit("the code").alias("rule"), C("text").alias("application"), F.lit("N/A").alias("conclusion"))
     return E.irac(rows).select("analysis_id", F.round("total", 4).alias("total"))
 
 
@@ -620,15 +688,12 @@ def _(events):
     return E.calibration(pairs).select("bin", C("n").cast("long"), "confidence", "accuracy", F.round("error", 6).alias("error"))
 
 
-_IRAC_TEXT = "CASE WHEN trim(t) IN ('', 'N/A') THEN 0 ELSE least(1.0, 0.6 + CASE WHEN length(t) > 100 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)section|article|\\bv\\.?s?\\.? ') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)because|therefore|since|hence|thus') THEN 0.1 ELSE 0 END + CASE WHEN len(regexp_split_to_array(t, '\\.\\s')) > 2 THEN 0.1 ELSE 0 END) END"
-
-
 @query("irac_means", "judgments", sql=f"""WITH a AS (SELECT doc_id, 'issue' AS component, 0.15 AS w, 'Whether section ' || doc_id % 50 || ' applies' AS t FROM judgments UNION ALL SELECT doc_id, 'rule', 0.30, 'N/A' FROM judgments
- UNION ALL SELECT doc_id, 'application', 0.40, text FROM judgments UNION ALL SELECT doc_id, 'conclusion', 0.15, 'It fails. It is dismissed. Costs follow because they must' FROM judgments), c AS (SELECT doc_id, component, w, {_IRAC_TEXT} AS v FROM a)
+ UNION ALL SELECT doc_id, 'application', 0.40, text FROM judgments UNION ALL SELECT doc_id, 'conclusion', 0.15, 'It fails and is therefore dismissed. ' || repeat('Costs follow. ', CAST(doc_id % 30 AS INTEGER)) FROM judgments), c AS (SELECT doc_id, component, w, {_IRAC_TEXT} AS v FROM a)
  SELECT component, round(avg(v), 6)::DOUBLE AS mean FROM c GROUP BY 1 UNION ALL SELECT 'total', round(avg(v), 6)::DOUBLE FROM (SELECT sum(w * v) AS v FROM c GROUP BY doc_id)""")
 def _(docs):
     """E12 over four components of each judgment."""
-    rows = docs.select(C("doc_id").alias("analysis_id"), F.concat(F.lit("Whether section "), C("doc_id") % 50, F.lit(" applies")).alias("issue"), F.lit("N/A").alias("rule"), C("text").alias("application"), F.lit("It fails. It is dismissed. Costs follow because they must").alias("conclusion"))
+    rows = docs.select(C("doc_id").alias("analysis_id"), F.concat(F.lit("Whether section "), C("doc_id") % 50, F.lit(" applies")).alias("issue"), F.lit("N/A").alias("rule"), C("text").alias("application"), F.concat(F.lit("It fails and is therefore dismissed. "), F.expr("repeat('Costs follow. ', int(doc_id % 30))")).alias("conclusion"))
     return E.irac_means(rows)
 
 

@@ -200,7 +200,26 @@ def test_graph_jobs(spark):
 def test_scores(spark):
     rows = spark.createDataFrame([(1, "evidence_reliability", 0.8), (1, "risk_assessment", 0.5), (1, "knowledge_graph", 0.0), (2, "risk_assessment", 0.0)], "case_id long, agent string, confidence double")
     got = {r.case_id: (r.fused, r.floored) for r in A.trust(rows).collect()}
-    assert got[1][0] == pytest.approx((0.8 * 0.15 + 0.5 * 0.1) / 0.25, abs=1e-6) and got[2][0] == 0 and got[1][0] == got[1][1]
+    rest = 0.5 * 0.15 + 0.5 * 0.10 + 0.05  # evidence and compliance unknown, no contradictions
+    assert got[1][0] == pytest.approx(0.7 * (0.8 * 0.15 + 0.5 * 0.1) / 0.25 + rest, abs=1e-6) and got[2][0] == pytest.approx(rest) and got[1][0] == got[1][1]
+    extra = spark.createDataFrame([(1, 0, True, True), (2, 0, True, False), (3, 1, True, True)], "case_id long, errors int, sections boolean, precedents boolean")
+    more = rows.unionByName(spark.createDataFrame([(3, "risk_assessment", 0.5)], rows.schema))
+    floors = {r.case_id: r.floored for r in A.trust(more, extra).collect()}
+    assert floors[1] == 0.98 and floors[2] == 0.975 and floors[3] == pytest.approx(0.7 * 0.5 + rest)
+
+
+def test_rubric_acts_and_entities(spark):
+    texts = ["x" * 350, "held by the code", "N/A", "", None, "short"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    assert [r.s for r in rows.select("n", F.round(E.irac_component(F.col("text")), 6).alias("s")).orderBy("n").collect()] == [0.8, 0.8, 0, 0, 0, 0.6]
+    named = one(spark, "IPC, CrPC and N.D.P.S. Act with BNS; again IPC", a=X.acts(F.col("text"))).a
+    assert named[:4] == ["N.D.P.S. Act", "IPC", "CrPC", "BNS"] and len(set(named)) == len(named)
+    docs = spark.createDataFrame([(1, "section 302 of the IPC, section 302 of the IPC; bail; seeks bail, costs. FIR 9 and FIR 9. Section 5 alone")], "doc_id long, text string")
+    got = sorted((r.kind, r.value, r.number, r.act) for r in X.entities(docs).collect())
+    assert got == [("act", "IPC", None, None), ("fir", "FIR 9", None, None), ("fir", "FIR 9", None, None), ("relief", "bail, costs", None, None), ("section", "section 302 of the IPC", "302", "IPC")]
+    ends = {"The award is set aside.": ("partly allowed", "partly allowed"), "The appeal is allowed": ("allowed", "allowed"), "Appeal dismissed": ("dismissed", "dismissed"), "The appeal is dismissed": ("dismissed", "disposed")}
+    for text, want in ends.items():
+        assert one(spark, text, o=X.outcome(F.col("text")), r=X.ruling(F.col("text")))[2:] == want
 
 
 def test_upsert_and_update(spark):
