@@ -32,10 +32,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def line_ids(text: Column) -> tuple[Column, Column]:
-    """(hash of every line, its words), lines ending at newlines; blanks at a line's end don't count."""
+    """(name of every line, its words), lines ending at newlines; blanks, tabs and returns at a line's end alone don't count.
+
+    A name is two hashes of 64 bits, so that different lines don't meet in one among very many.
+    """
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    name = lambda line: F.struct(F.xxhash64(line).alias("r2"), F.xxhash64(F.lit(1), line).alias("also"))
     return (
-        F.transform(lines, lambda line: F.xxhash64(F.rtrim(F.translate(line, "\r\t", "  ")))),
+        F.transform(lines, lambda line: name(F.rtrim(line, F.lit(" \t\r")))),
         F.transform(lines, lambda line: F.regexp_count(line, F.lit(WORD))),
     )
 
@@ -44,18 +48,18 @@ def line_ids(text: Column) -> tuple[Column, Column]:
 CELLS = 1 << 12
 
 
-def places(groups: DataFrame, cell: Column) -> DataFrame:
-    """(r1, r2, rank) of groups (r1, r2, n): twice the rank of r1 plus how many of its suffixes come before, one more when the group is a single suffix.
+def places(groups: DataFrame, cell: Column, by: tuple[str, ...] = ("r2",)) -> DataFrame:
+    """(r1, r2, rank) of groups (r1, r2, n), or of groups told apart by ``by``: twice the rank of r1 plus how many of its suffixes come before, one more when the group is a single suffix.
 
     ``cell`` cuts each r1 into a bounded number of ranges of r2, so no task orders all suffixes of a common line.
     """
     groups = groups.withColumn("cell", cell)
     before = Window.partitionBy("r1").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = groups.groupBy("r1", "cell").agg(F.sum("n").alias("n")).select("r1", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("r1", "cell").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("r1", "cell").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     ranked = groups.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
     rank = F.col("r1") + 2 * (F.col("start") + F.col("place")) + (F.col("n") == 1).cast("long")
-    return ranked.join(cells, ["r1", "cell"]).select("r1", "r2", rank.alias("rank"))
+    return ranked.join(cells, ["r1", "cell"]).select("r1", *by, rank.alias("rank"))
 
 
 def doubled(values: Column, lines: Column, step: int) -> Column:
@@ -87,10 +91,11 @@ def shortest_windows(words: DataFrame, min_words: int) -> DataFrame:
 
 def stretches(lines: DataFrame, min_words: int) -> tuple[DataFrame, int]:
     """((row, doc_id, side, first, ranks, words), number of suffixes a side) of stretches of repeated lines; side 1 holds each reversed."""
-    seen = lines.select(F.explode("names").alias("r2")).groupBy("r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("r1", F.lit(0).cast("long"))
-    repeated = written(places(seen, F.shiftright("r2", 64 - 16)).select(F.col("r2").alias("name"), "rank"), "line-numbers")
-    each = lines.select("row", "doc_id", F.posexplode(F.arrays_zip("names", "words")).alias("pos", "l")).select("row", "doc_id", "pos", F.col("l.names").alias("name"), F.col("l.words").alias("words"))
-    found = each.join(repeated, "name").withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("row").orderBy("pos")))
+    name = ("r2", "also")
+    seen = lines.select(F.explode("names").alias("l")).groupBy("l.r2", "l.also").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("r1", F.lit(0).cast("long"))
+    repeated = written(places(seen, F.shiftright("r2", 64 - 16), name).select(*name, "rank"), "line-numbers")
+    each = lines.select("row", "doc_id", F.posexplode(F.arrays_zip("names", "words")).alias("pos", "l")).select("row", "doc_id", "pos", "l.names.r2", "l.names.also", F.col("l.words").alias("words"))
+    found = each.join(repeated, list(name)).withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("row").orderBy("pos")))
     runs = found.groupBy("row", "doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "rank", "words"))).alias("l"), F.sum("words").alias("total"), F.min("pos").alias("first"))
     runs = written(runs.filter(F.col("total") >= min_words).select("row", "doc_id", "first", F.col("l.rank").alias("ranks"), F.col("l.words").alias("words")), "stretches")
     count = runs.agg(F.coalesce(F.sum(F.size("ranks")), F.lit(0))).first()[0]
@@ -173,10 +178,12 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     none = F.array().cast("array<int>")
     out = rows.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("removed", F.coalesce("removed", none))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))  # by hashing, in order
+    kept = F.array_join(F.transform(stays, lambda i: F.get(F.col("lines"), i)), "\n")
+    out = out.withColumn("lines", lines)
     return out.select(
         "doc_id",
-        F.size(lines).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.size("removed").cast("long").alias("n_removed"),
         "removed",
         F.when(F.size("removed") > 0, kept).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
