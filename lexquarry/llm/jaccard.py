@@ -155,10 +155,10 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, like: Likeness) -> tuple[
     return np.concatenate(made), np.concatenate(tags), np.concatenate(owners)
 
 
-def link_block(left: list[np.ndarray], right: list[np.ndarray] | None, like: Likeness, forest: Forest) -> None:
-    """Join positions of linked sets in ``forest``: left among itself, or left with right.
+def link_block(left: list[np.ndarray], right: list[np.ndarray] | None, like: Likeness, forest: Forest) -> tuple[int, int]:
+    """Join positions of linked sets in ``forest``: left among itself, or left with right; (groups opened, groups skipped).
 
-    Sets are taken in groups of similar size and content.  For each query set
+    Sets are taken in groups that share their rarest token, of similar size.  For each query set
     the overlap with the token union of every group comes first; a group is opened when the
     bound reaches what its members need, and closed to a query that its members are joined with already.
     """
@@ -172,40 +172,39 @@ def link_block(left: list[np.ndarray], right: list[np.ndarray] | None, like: Lik
     shared = seen[code] > 1  # a token of one set alone is in no intersection
     rank = np.cumsum(seen > 1) - 1
     columns = [rank[code[starts[i] : starts[i + 1]][shared[starts[i] : starts[i + 1]]]] for i in range(len(sets))]
-    if len(sets) <= 8:
-        for x in range(len(left)):
-            for y in range(x + 1, len(sets)) if right is None else range(shift, len(sets)):
-                if forest.root(x) != forest.root(y):
-                    both = len(np.intersect1d(columns[x], columns[y], assume_unique=True))
-                    if both >= like.need(int(sizes[x]), int(sizes[y])):
-                        forest.join(x, y)
-        return
-    order = members[np.lexsort(([int(c[0]) if len(c) else -1 for c in (columns[m] for m in members)], sizes[members]))]
+    rarest = np.full(len(sets), -1)  # the token that the fewest sets have, so that what it stands for is in one group
+    often = seen[seen > 1]
+    for m in members:
+        if len(columns[m]):
+            rarest[m] = columns[m][np.argmin(often[columns[m]])]
+    order = members[np.lexsort((members, sizes[members], rarest[members]))]
     width = int((seen > 1).sum())
-    group_of = np.arange(len(order)) // GROUP
+    wide = min(GROUP, max(1, len(order) // 4))
+    group_of = np.arange(len(order)) // wide
     n_groups = int(group_of[-1]) + 1
     step = 1024
     n_left = len(left)
     bound = np.zeros((n_left, n_groups), np.float32)
     cells = [(np.repeat(np.arange(len(ids)), [len(columns[i]) for i in ids]), np.concatenate([columns[i] for i in ids]) if len(ids) else np.zeros(0, np.int64)) for ids in (list(range(n_left)), order.tolist())]
     for at in range(0, width, step):
-        wide = min(step, width - at)
-        query = np.zeros((n_left, wide), np.float32)
-        union = np.zeros((n_groups, wide), np.float32)
+        part = min(step, width - at)
+        query = np.zeros((n_left, part), np.float32)
+        union = np.zeros((n_groups, part), np.float32)
         for target, (row, col), fold in ((query, cells[0], None), (union, cells[1], group_of)):
-            inside = (col >= at) & (col < at + wide)
+            inside = (col >= at) & (col < at + part)
             target[row[inside] if fold is None else fold[row[inside]], col[inside] - at] = 1
         bound += query @ union.T
-    least = np.array([sizes[order[g * GROUP : (g + 1) * GROUP]].min() for g in range(n_groups)])
-    mark = np.zeros(width, bool)
+    least = np.array([sizes[order[g * wide : (g + 1) * wide]].min() for g in range(n_groups)])
+    mark, opened = np.zeros(width, bool), 0
     for x in range(n_left):
         open_groups = np.flatnonzero(bound[x] >= np.maximum(like.need(sizes[x], least), float(like.share) * sizes[x]) - 1e-3)
+        opened += len(open_groups)
         if not len(open_groups):
             continue
         mark[columns[x]] = True
         root = forest.root(x)
         for g in open_groups:
-            for y in order[g * GROUP : (g + 1) * GROUP].tolist():
+            for y in order[g * wide : (g + 1) * wide].tolist():
                 if y == x or (right is None and y < x) or forest.root(y) == root:
                     continue
                 need = like.need(int(sizes[x]), int(sizes[y]))
@@ -213,6 +212,7 @@ def link_block(left: list[np.ndarray], right: list[np.ndarray] | None, like: Lik
                     forest.join(x, y)
                     root = forest.root(x)
         mark[columns[x]] = False
+    return opened, n_left * n_groups - opened
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,9 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from lexquarry.llm.components import components
+from lexquarry.llm.components import Forest, components
 from lexquarry.llm.exact_dedup import exact_dedup
-from lexquarry.llm.jaccard import Likeness, jaccard_components
+from lexquarry.llm.jaccard import Likeness, jaccard_components, link_block
 from lexquarry.llm.lines import drop_repeated_lines
 from lexquarry.llm.packing import best_fit, complement_plan, pack, pack_documents, plan_packing
 from lexquarry.llm.quality import classify_quality, keep_quality, fit_quality
@@ -56,6 +56,24 @@ def test_jaccard_rows_without_an_id_come_first(spark):
     assert got[5] == got[7] == 5 and got[9] == 9
 
 
+@pytest.mark.parametrize("n", [2, 3, 8, 60])
+def test_groups_are_opened_and_skipped(n):
+    """Blocks of any size go through the matrix: families of near copies, each found, the groups of others left shut."""
+    rng = np.random.default_rng(n)
+    sets = []
+    for family in range(n // 2):
+        base = rng.choice(1 << 40, 100, replace=False).astype(np.uint64)
+        sets += [np.sort(base), np.sort(np.append(base[5:], rng.integers(1 << 41, 1 << 42, 2).astype(np.uint64)))]
+    sets += [np.sort(rng.choice(1 << 40, 50, replace=False).astype(np.uint64))] * (n % 2)
+    like, forest = Likeness(Fraction(85, 100)), Forest(len(sets))
+    opened, skipped = link_block(sets, None, like, forest)
+    want = grouped(range(len(sets)), lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b])))
+    assert dict(enumerate(forest.roots().tolist())) == want and opened >= n // 2 and (skipped > 0 or n == 2)
+    left, right = Forest(len(sets)), sets[1::2]
+    link_block(sets[::2], right, like, left)
+    assert len(set(left.roots().tolist())) == len(set(want.values()))
+
+
 @pytest.mark.parametrize("share", [Fraction(85, 100), Fraction(4, 5)])
 def test_parts_bound_the_difference(share):
     like = Likeness(share)
@@ -278,7 +296,7 @@ def test_lines(docs):
     for i in sorted(TEXTS):  # texts of one line: later copies of 50 words or more go
         t = TEXTS[i] or ""
         if "\n" not in t:
-            key, long = t.replace("\t", " ").rstrip(" "), len(WORD.findall(t)) >= 50
+            key, long = t.rstrip(" \t\r"), len(WORD.findall(t)) >= 50
             assert got[i].removed == ([0] if long and key in whole else []), i
             whole.setdefault(key, i)
 
@@ -297,6 +315,13 @@ def repeated_lines(rows, least=50):
     return {i: sorted(g) for i, g in gone.items()}
 
 
+def test_lines_keep_tabs_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, "\t".join(words)), (3, " ".join(words) + " \t\r"), (4, "x\n" + " ".join(words))]
+    got = {r.doc_id: (list(r.removed), r.text) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ([], rows[0][1]), 2: ([], rows[1][1]), 3: ([0], ""), 4: ([1], "x")}
+
+
 def test_lines_runs_of_any_length(spark):
     line = lambda k, n=20: " ".join([f"line{k}"] * n)
     a, b, c = map(line, "ABC")
