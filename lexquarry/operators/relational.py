@@ -58,8 +58,9 @@ def upserted(existing: DataFrame, new: DataFrame, key: str, at: str) -> DataFram
 
 
 def search_cases(cases: DataFrame, text: str, category: str | None = None) -> DataFrame:
-    """Q10: a substring of title, type or id, and a category."""
-    hit = F.lower("title").contains(text.lower()) | F.lower("case_type").contains(text.lower()) | F.col("case_id").cast("string").contains(text)
+    """Q10: a substring of title, type, description (where there is one) or id, and a category."""
+    described = F.coalesce(F.lower("description").contains(text.lower()), F.lit(False)) if "description" in cases.columns else F.lit(False)
+    hit = described | F.lower("title").contains(text.lower()) | F.lower("case_type").contains(text.lower()) | F.col("case_id").cast("string").contains(text)
     return cases.filter(hit if category is None else hit & (F.lower("case_type") == category.lower()))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
+from lexquarry.operators.containment import GramIndex, build_grams, containing
 from lexquarry.operators.lexical import bm25
 
 # Cue words of each intent in declared order, and the weight of each retriever for it.
@@ -113,7 +114,7 @@ def numbers_asked(queries: DataFrame) -> DataFrame:
 def graph_hits(queries: DataFrame, sections: DataFrame, edges: DataFrame | None = None, k: int = 20) -> DataFrame:
     """(query_id, section_id, text, score, rank): sections named by number, each with its neighbours behind it.
 
-    A query that names no section has no hits here; its text is looked for by :func:`text_search`.
+    A query that names no section is answered by :func:`section_text_hits`.
     """
     found = section_lookup(numbers_asked(queries), sections).select("query_id", "number", "section_id", F.format_string("Section %s: %s\n%s", "section_number", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
     rows = found.withColumns({"near": F.lit(0), "other": F.col("section_id")})
@@ -125,7 +126,21 @@ def graph_hits(queries: DataFrame, sections: DataFrame, edges: DataFrame | None
     first = Window.partitionBy("query_id", "other").orderBy("number", "section_id", "near", "text")
     order = Window.partitionBy("query_id").orderBy("number", "section_id", "near", "other")
     rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return rows.select("query_id", F.col("other").alias("section_id"), "text", decay(F.col("rank")).alias("score"), "rank")
+    named = rows.select("query_id", F.col("other").alias("section_id"), "text", decay(F.col("rank")).alias("score"), "rank")
+    unnamed = queries.join(numbers_asked(queries).select("query_id").distinct(), "query_id", "left_anti")
+    return named.unionByName(section_text_hits(unnamed, sections, k=k))
+
+
+def section_text_hits(queries: DataFrame, sections: DataFrame, index: GramIndex | None = None, k: int = 20) -> DataFrame:
+    """(query_id, section_id, text, score, rank) of up to ``k`` sections whose title or text contains a query's first 100 characters, by id; a table of queries at once."""
+    fields = ("title", "text")
+    index = index or build_grams(sections, "section_id", fields)
+    needles = queries.select("query_id", F.substring("text", 1, 100).alias("needle"))
+    found = containing(sections, needles, index, "section_id", fields).join(sections.select("section_id", "section_number"), "section_id")
+    order = Window.partitionBy("query_id").orderBy("section_id")
+    rows = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    said = F.format_string("Section %s: %s\n%s", "section_number", F.coalesce("title", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 500))
+    return rows.select("query_id", "section_id", said.alias("text"), decay(F.col("rank")).alias("score"), "rank")
 
 
 def text_search(sections: DataFrame, query: str, k: int) -> DataFrame:
@@ -184,12 +199,20 @@ def variants(queries: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).filter("nth <= 5").select("query_id", "nth", "variant")
 
 
-def fuse(hits: DataFrame, key: str = "doc_key") -> DataFrame:
+def fuse(hits: DataFrame, key: str = "doc_key", near_copies: bool = False) -> DataFrame:
     """Weighted reciprocal-rank fusion of hits (query_id, retriever, key, rank, score, weight, text).
 
-    One shuffle on query and key; the representative is the hit of best rank, then of best score.
+    One shuffle on query and key; the representative is the hit of best rank, then of best score.  With ``near_copies``
+    hits whose texts begin alike (R13) are one, known by the least key among those of its best rank and score.
     """
     best = F.min_by(F.struct("text", "score"), F.struct("rank", (-F.col("score")).alias("s"), "retriever"))
+    if near_copies:
+        alike = F.coalesce(F.nullif(T.near_dup_key(F.col("text")), F.lit("")), F.col(key).cast("string"))
+        named = F.min_by(key, F.struct("rank", (-F.col("score")).alias("s"), "retriever", key)).alias(key)
+        fused = hits.withColumn("_alike", alike).groupBy("query_id", "_alike").agg(
+            named, F.round(F.sum(F.col("weight") / (RRF + F.col("rank"))), 9).alias("rrf"), best.alias("best"), F.array_sort(F.collect_set("retriever")).alias("matched_sources")
+        )
+        return fused.select("query_id", key, "rrf", "best.text", "best.score", "matched_sources")
     fused = hits.groupBy("query_id", key).agg(
         F.round(F.sum(F.col("weight") / (RRF + F.col("rank"))), 9).alias("rrf"), best.alias("best"), F.array_sort(F.collect_set("retriever")).alias("matched_sources")
     )
@@ -210,12 +233,15 @@ def rerank(fused: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_ke
     return rows.withColumn("final", F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("query")
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, sections: DataFrame, vectors: DataFrame | None = None, k: int = 10, edges: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, sections: DataFrame, vectors: DataFrame | None = None, k: int = 10, edges: DataFrame | None = None, where: dict | None = None) -> DataFrame:
     """Intents, the first variant of each query, four retrievers (3k, 2k, k, 2k), fusion by intent's weights, rerank to ``k``; one plan for all queries.
 
     ``vectors`` are ready vector hits (query_id, doc_key, text, score, rank), ``edges`` lead from the sections found to
-    their neighbours; without either that part adds nothing.  Whole texts are reranked.
+    their neighbours; without either that part adds nothing.  A query that names no section is looked for in the sections' texts.
+    ``where`` keeps the documents with these column values before they are searched.  Hits that begin alike are fused into one; whole texts are reranked.
     """
+    for column, value in (where or {}).items():
+        docs = docs.filter(F.col(column) == value)
     asked = queries.select("query_id", F.trim("text").alias("text")).withColumn("intent", detect_intent(F.col("text")))
     queries = asked.select("query_id", "text")
     lexical = bm25(docs, queries, 2 * k).join(docs.select("doc_id", "text"), "doc_id")
@@ -226,7 +252,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, sections: DataFrame, vect
     if vectors is not None:
         hits = hits.unionByName(vectors.select("query_id", "doc_key", "text", "score", "rank", F.lit("vector").alias("retriever")))
     weighted = hits.join(asked.select("query_id", "intent"), "query_id").withColumn("weight", weight_of(F.col("intent"), F.col("retriever")))
-    return rerank(fuse(weighted), queries, k)
+    return rerank(fuse(weighted, near_copies=True), queries, k)
 
 
 def search_stats(results: DataFrame) -> DataFrame:

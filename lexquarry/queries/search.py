@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
 from lexquarry.operators import chunking as K
+from lexquarry.operators import containment as N
+from lexquarry.operators import evaluation as E
 from lexquarry.operators import inverted as I
 from lexquarry.operators import lexical as B
 from lexquarry.operators import retrieval as R
 from lexquarry.operators import vectors as V
+from lexquarry.plans.storage import written
 from lexquarry.plans.views import view
 from lexquarry.queries.base import ORACLE_SQL, QUERIES, query
 from lexquarry.sources import files as S
@@ -404,6 +407,46 @@ def _(sections):
     return R.text_search(sections, "1", 20).select("section_id", "title")
 
 
+@query("section_text_hits", "sections", sql="""WITH q AS (SELECT section_id AS query_id, CASE WHEN section_id % 4 = 0 THEN upper(title) WHEN section_id % 4 = 1 THEN text[3:9] WHEN section_id % 4 = 2 THEN text[2:3] ELSE 'no such words' END AS needle FROM sections)
+ SELECT query_id, section_id, rank, round(greatest(0.0, 0.9 - 0.02 * (rank - 1)), 6)::DOUBLE AS score FROM (SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY section_id) AS rank FROM q JOIN sections s ON contains(lower(s.title), lower(needle)) OR contains(lower(s.text), lower(needle))) WHERE rank <= 20""")
+def _(sections):
+    """R06 for a table of queries: pieces of every section's text, two characters to whole titles."""
+    n = C("section_id") % 4
+    asked = F.when(n == 0, F.upper("title")).when(n == 1, F.substring("text", 3, 7)).when(n == 2, F.substring("text", 2, 2)).otherwise("no such words")
+    hits = R.section_text_hits(sections.select(C("section_id").alias("query_id"), asked.alias("text")), sections)
+    return hits.select("query_id", "section_id", "rank", F.round("score", 6).alias("score"))
+
+
+_QRELS = r"SELECT query_id, doc_id FROM (SELECT query_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM queries) q JOIN (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents) d ON contains(t, p)"
+
+
+@query("qrels", "documents", "queries", sql=_QRELS)
+def _(docs, queries):
+    """Which documents contain which whole passages."""
+    return N.passages_held(docs, queries)
+
+
+@query("lexical_relevance", "documents", "queries", sql=f"""WITH b AS ({_BM25_SQL}), r AS ({_QRELS}), w AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1), h AS (SELECT b.query_id, b.rank FROM b JOIN r ON r.query_id = b.query_id AND r.doc_id = b.doc_id)
+ SELECT q.query_id, round(coalesce((SELECT count(*) FROM h WHERE h.query_id = q.query_id) / w.n, 0), 6)::DOUBLE AS recall, round(coalesce(1.0 / (SELECT min(rank) FROM h WHERE h.query_id = q.query_id), 0), 6)::DOUBLE AS rr,
+ round(coalesce((SELECT sum(1 / log2(rank + 1)) FROM h WHERE h.query_id = q.query_id) / (SELECT sum(1 / log2(i + 1)) FROM generate_series(1, least(w.n, 10)) t(i)), 0), 6)::DOUBLE AS ndcg FROM (SELECT DISTINCT query_id FROM b) q LEFT JOIN w ON w.query_id = q.query_id""")
+def _(docs, queries):
+    """E01, E03, E04 of lexical search with containment as relevance."""
+    return _relevance(B.bm25(docs, queries).select("query_id", "doc_id", "rank"), N.passages_held(docs, queries))
+
+
+def _relevance(got: DataFrame, relevant: DataFrame) -> DataFrame:
+    got, relevant = written(got, "got"), written(relevant, "relevant")
+    scored = E.recall_precision(got, relevant).join(E.reciprocal_rank(got, relevant), "query_id").join(E.ndcg(got, relevant.withColumn("gain", F.lit(1.0))), "query_id")
+    return scored.select("query_id", "recall", "rr", "ndcg")
+
+
+@query("hybrid_relevance", "queries", "documents", "sections", "edges")
+def _(queries, docs, sections, edges):
+    """The same of hybrid search; a document of a near copy's key counts as itself."""
+    got = _hybrid(queries, docs, sections, edges).filter("doc_key like 'doc:%'").select("query_id", F.substring("doc_key", 5, 20).cast("long").alias("doc_id"), "rank")
+    return _relevance(got, N.passages_held(docs, queries))
+
+
 @query("hit_classes", "documents", sql="SELECT CASE WHEN (doc_id % 3 = 0 OR contains(lower(source || CASE WHEN doc_id % 5 = 0 THEN '_vs_x' ELSE '' END), '_vs_')) AND doc_id % 2 = 0 THEN 'precedent' ELSE 'statute' END AS kind, count(*) AS n FROM documents GROUP BY 1")
 def _(docs):
     kind = R.hit_kind(F.when(C("doc_id") % 3 == 0, "judgment").otherwise("act"), F.when(C("doc_id") % 2 == 0, "").otherwise("IPC"), F.concat("source", F.when(C("doc_id") % 5 == 0, "_vs_x").otherwise("")))
