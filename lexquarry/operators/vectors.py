@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, FloatType, IntegerType
+from pyspark.sql.types import ArrayType, FloatType
+
+from lexquarry.plans.storage import written
 
 #: Queries that one pass over the table holds at once; more go in further passes.
 QUERY_BLOCK = 4096
@@ -108,34 +112,148 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, where: dict | None
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 12, sample: int = 10_000, key: str = "vec_id") -> DataFrame:
-    """Approximate nearest neighbours: k-means cells fitted on a bounded sample, ``probes`` cells joined, exact scores.
+@dataclass
+class VectorIndex:
+    """Points by cells with short codes of what their centroid leaves, as read back.
 
-    Every point is indexed in its cell; a query visits its nearest cells only.
+    ``codes`` has a row a point: key, cell, code (one byte for each of ``books`` slices).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = points.select(F.col(key), normalized(F.col("embedding")).alias("v"))
-    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(points.count(), 1))
-    fitted = KMeans(k=cells, seed=3, featuresCol="f").fit(unit.filter(share).select(array_to_vector("v").alias("f")))
-    centers = np.array(fitted.clusterCenters())
-
-    def near_cells(number: int):
-        @pandas_udf(ArrayType(IntegerType()))
-        def run(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy())
-            far = (centers**2).sum(1) - 2 * x @ centers.T
-            return pd.Series(list(np.argsort(far, axis=1)[:, :number].astype(np.int32)))
-
-        return run
-
-    index = unit.withColumn("cell", F.explode(near_cells(1)("v")))
-    asked = queries.select("query_id", normalized(F.col("embedding")).alias("q")).withColumn("cell", F.explode(near_cells(probes)("q")))
-    score = F.round(F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    hits = asked.join(index, "cell").select("query_id", key, score.alias("score"))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    codes: DataFrame
+    points: DataFrame
+    centers: np.ndarray
+    books: np.ndarray
+    probes: int
+    key: str
+    vector: str
+
+
+def probes_for(x: np.ndarray, centers: np.ndarray, share: float, k: int = 10, tried: int = 256) -> int:
+    """How many cells, nearest first, hold ``share`` of the ``k`` nearest neighbours among the sample of some of its rows; neighbours in the whole table are nearer, so it's on the safe side."""
+    q = x[np.random.default_rng(5).choice(len(x), min(tried, len(x)), replace=False)]
+    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
+    order = np.argsort(-q @ centers.T + (centers**2).sum(1) / 2, axis=1, kind="stable")
+    place = np.argsort(order, axis=1)[np.arange(len(q))[:, None], _nearest(x, centers)[near]]
+    return 1 + int(np.quantile(place, share)) if place.size else len(centers)
+
+
+def _units(column: pa.Array, wide: int) -> np.ndarray:
+    x = np.asarray(column.flatten(), np.float64).reshape(-1, wide)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1)
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest center of each row, a slice of rows at a time."""
+    half = (centers**2).sum(1) / 2
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmax(x[i : i + 4096] @ centers.T - half, axis=1) for i in range(0, len(x), 4096))])
+
+
+def _lloyd(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """``k`` means of the rows; an empty one stays where it was."""
+    centers = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(rounds):
+        of = _nearest(x, centers)
+        order = np.argsort(of, kind="stable")
+        ids, first = np.unique(of[order], return_index=True)
+        centers = centers.copy()
+        centers[ids] = np.add.reduceat(x[order], first) / np.diff(np.append(first, len(x)))[:, None]
+    return centers
+
+
+def build_cells(points: DataFrame, key: str = "vec_id", vector: str = "embedding", slices: int = 16, sample: int = 16_384, held: float = 0.96) -> VectorIndex:
+    """Index every point that has a vector: its cell, and a code of the rest in ``slices`` bytes.
+
+    Cells are fitted on about ``sample`` points by the hash of their keys and grow as the root of the table, up to a sixteenth of the
+    sample; code books of 256 entries a slice on the same points' residuals.  The slices of a vector are as even as its width allows.
+    How many cells a query visits is measured on the sample: as many as hold ``held`` of the nearest neighbours.
+    """
+    rows = points.filter(F.size(vector) > 0).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    total, wide = rows.agg(F.count(F.lit(1)), F.first(F.size("v"), True)).first()
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(total, 1))
+    table = rows.filter(share).orderBy("key").select("v").toArrow() if total else None
+    x = _units(table.column("v").combine_chunks(), wide) if table is not None and table.num_rows else np.zeros((1, wide or 1))
+    centers = _lloyd(x, max(1, min(len(x) // 16, int(2 * total**0.5))))
+    slices = min(slices, x.shape[1])
+    cuts = np.linspace(0, x.shape[1], slices + 1).astype(int)
+    rest = x - centers[_nearest(x, centers)]
+    books = np.zeros((256, x.shape[1]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        book = _lloyd(rest[:, a:b], 256)
+        books[: len(book), a:b], books[len(book) :, a:b] = book, book[0]
+
+    def code(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = _units(batch.column(1), len(centers[0]))
+            cell = _nearest(u, centers)
+            left = u - centers[cell]
+            codes = np.stack([_nearest(left[:, a:b], books[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["key", "cell", "code"])
+
+    codes = rows.mapInArrow(code, f"key {dict(rows.dtypes)['key']}, cell int, code binary")
+    return VectorIndex(written(codes.repartition("cell").sortWithinPartitions("cell"), "codes"), points, centers, books, probes_for(x, centers, held), key, vector)
+
+
+def search_cells(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None, short: int = 10) -> DataFrame:
+    """(query_id, key, score, rank) of about the ``k`` nearest points by cosine: each query (query_id, vector) scores the codes of its ``probes`` nearest cells (the index tells how many unless given), and its ``short`` x ``k`` best are scored exactly.
+
+    Every Arrow batch of codes keeps its own short list of each query, so what is shuffled are short lists; queries go in blocks of ``QUERY_BLOCK``.
+    """
+    centers, books, spark = index.centers, index.books, index.codes.sparkSession
+    kind = dict(index.codes.dtypes)["key"]
+    probes = probes or index.probes
+    cuts = np.linspace(0, centers.shape[1], len(index.codes.select("code").first()[0]) + 1).astype(int) if not index.codes.isEmpty() else np.array([0, centers.shape[1]])
+    asked = queries.select("query_id", F.col(index.vector).cast("array<double>").alias("v"))
+    blocks = 1 + queries.count() // QUERY_BLOCK
+    lists = []
+    for block in range(blocks):
+        table = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # about QUERY_BLOCK rows
+        if not table.num_rows:
+            continue
+        ids, q = table.column("query_id").to_numpy(), _units(table.column("v").combine_chunks(), centers.shape[1])
+        toward = q @ centers.T
+        visits: dict[int, np.ndarray] = {}
+        near = np.argsort(-toward + (centers**2).sum(1) / 2, axis=1, kind="stable")[:, :probes]
+        for cell in np.unique(near):
+            visits[int(cell)] = np.flatnonzero((near == cell).any(1))
+
+        def shortlist(batches, ids=ids, q=q, toward=toward, visits=visits):
+            tables = np.stack([q[:, a:b] @ books[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)])  # slice, query, entry
+            for batch in batches:
+                cell = batch.column(1).to_numpy()
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(cell), -1)
+                best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+                for c in np.unique(cell):
+                    at, of = np.flatnonzero(cell == c), visits.get(int(c))
+                    if of is None:
+                        continue
+                    score = np.repeat(toward[of, c][:, None], len(at), 1)
+                    for s in range(len(tables)):
+                        score += tables[s][of][:, codes[at, s]]
+                    for n, row in zip(of.tolist(), score, strict=True):
+                        best.setdefault(n, []).append((at, row))
+                for n, parts in best.items():
+                    at, score = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    top = np.argsort(-score, kind="stable")[: short * k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[n], len(top))), batch.column(0).take(pa.array(at[top])), pa.array(score[top])], names=["query_id", "key", "near"])
+
+        cells = index.codes.filter(F.col("cell").isin(sorted(visits))) if len(visits) <= 1000 else index.codes
+        lists.append(cells.mapInArrow(shortlist, f"query_id {dict(queries.dtypes)['query_id']}, key {kind}, near double"))
+    if not lists:
+        return spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, {index.key} {kind}, score double, rank int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "key")
+    few = reduce(DataFrame.unionByName, lists).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= short * k).select("query_id", "key")
+    exact = few.join(index.points.select(F.col(index.key).alias("key"), F.col(index.vector).alias("p")), "key").join(asked, "query_id")
+    scored = exact.select("query_id", F.col("key").alias(index.key), F.round(cosine(F.col("p"), F.col("v")), 6).alias("score"))
+    final = Window.partitionBy("query_id").orderBy(F.desc("score"), index.key)
+    return scored.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
+
+
+def ann_cells(points: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, key: str = "vec_id") -> DataFrame:
+    """V08 in one step: an index of ``points`` and a search in it."""
+    return search_cells(build_cells(points, key), queries, k, probes)
 
 
 def text_hits(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
