@@ -43,11 +43,13 @@ def test_stages_against_brute_force(spark):
     for i in sorted(texts):
         first.setdefault(squeezed(texts[i]), i)
     out = dedup(spark, docs, DATA)
-    assert out.columns == docs.columns and ids(out) == sorted(i for i, _ in rows if i is not None and first[squeezed(texts[i])] == i)
+    assert out.columns == docs.columns and ids(out) == sorted(i for i in texts if first[squeezed(texts[i])] == i)  # one row of repeated ones
+    assert out.count() == len(ids(out))  # rows without an id are copies here, null and empty texts alike
     sets = {i: shingles(t, 5) for i, t in texts.items()}
     of = grouped(sorted(sets), lambda a, b: bool(sets[a] & sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     out = near(spark, docs, DATA)
     assert out.columns == docs.columns and ids(out) == sorted(i for i, _ in rows if i is not None and of[i] == i)
+    assert [r.text for r in out.filter("doc_id is null").collect()] == [None]  # the other one is a near copy
 
     def masked(text):
         spans = sorted((m.start(), m.end()) for r in BASE_RULES for m in re.finditer(r.pattern, text, re.ASCII | (re.IGNORECASE if r.any_case else 0)) if len(m.group(r.group)) >= r.least)
@@ -65,6 +67,18 @@ def test_stages_against_brute_force(spark):
     assert packing(spark, docs, DATA).select("doc_id").distinct().count() == len(texts) + 1
 
 
+def test_copies_without_ids_go(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (None, "of  its own"), (None, "of its own"), (None, " ".join([*words, "more"])), (7, "same x"), (7, "same  x"), (7, "other")]
+    _, dedup, near, *_ = [f for _, f in corpus_pipeline.STAGES]
+    docs = frame(spark, rows)
+    once = written(dedup(spark, docs, DATA), "test")
+    got = sorted(((r.doc_id, squeezed(r.text)) for r in once.collect()), key=repr)
+    assert got == sorted([(5, " ".join(words)), (7, "other"), (7, "same x"), (None, "of its own"), (None, " ".join([*words, "more"]))], key=repr) and once.columns == docs.columns
+    last = near(spark, once, DATA)
+    assert sorted((str(r.doc_id) for r in last.collect())) == ["5", "7", "7", "None"] and last.columns == docs.columns
+
+
 def test_stages_on_an_empty_table(spark):
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, frame(spark, []), DATA)
