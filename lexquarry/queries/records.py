@@ -18,8 +18,9 @@ from lexquarry.operators import relational as Q
 from lexquarry.operators import scoring as A
 from lexquarry.plans.storage import shared_dir
 from lexquarry.plans.views import MONTH_CASE, view
-from lexquarry.queries.base import QUERIES, query
+from lexquarry.queries.base import ORACLE_SQL, QUERIES, query
 from lexquarry.sources import files as S
+from lexquarry.sources.versions import VersionedTable
 from lexquarry.streaming import flows
 
 C = F.col
@@ -898,6 +899,20 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["stream_distinct_events"] = _stream
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three merges into a versioned table; of each document the rows of the last merge that has it."""
+    docs = view(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
+    table = VersionedTable(spark, f"{_folder(spark, 'versions')}/table", ("doc_id",))
+    for version, rows in enumerate((docs.filter("doc_id % 2 = 0"), docs, docs.filter("doc_id % 3 = 0"))):
+        table.merge(rows.withColumn("version", F.lit(version)), version)
+    table.clean()
+    return table.read().select("doc_id", "version", "digest")
+
+
+QUERIES["chunk_versions"] = _versions
+ORACLE_SQL["chunk_versions"] = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version, md5(text) AS digest FROM documents"
+
+
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, cleaned, chunked, embedded and merged; the chunks and their ids by document."""
     at = _folder(spark, "ingest")

@@ -12,33 +12,34 @@ from lexquarry.functions import text as T
 from lexquarry.operators import chunking, vectors
 from lexquarry.plans.storage import shared_dir
 from lexquarry.sources import files
+from lexquarry.sources.versions import VersionedTable
 
 # The steps of an analysis in order, and what the user sees of each.
 STEPS = ("understanding", "research", "graph", "evidence", "contradiction", "procedure", "reasoning", "strategy", "risk", "fusion", "explanation", "report")
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, max_files: int = 1000) -> StreamingQuery:
-    """New document files, cleaned, chunked, embedded and merged by chunk id into versions of the chunk table.
+    """New document files, cleaned, chunked, embedded and merged by document into versions of the chunk table.
 
-    Each micro-batch writes the version of its batch id, so a batch that is run
-    again after a failure writes the same rows to the same place.
+    Each micro-batch is one version, and its number goes with it: a batch that is run
+    again after a failure changes nothing, and reading costs the same after any number of batches.
     """
+    table = VersionedTable(spark, target, ("path", "doc_id"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
     def merge(batch: DataFrame, number: int) -> None:
         docs = batch.select("doc_id", T.clean_text(F.col("text")).alias("text")).filter("length(text) >= 100").dropDuplicates(["doc_id"])
         chunks = vectors.embed(chunking.chunk_documents(docs))
         chunks = files.chunk_ids(chunks.withColumn("path", F.lit(source)))
-        chunks.dropDuplicates(["chunk_id"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        table.merge(chunks.dropDuplicates(["chunk_id"]), number)
+        table.clean()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def chunk_table(spark: SparkSession, target: str) -> DataFrame:
-    """The merged chunks: of each document, those of the latest batch that has it, so none of an older, longer version stays."""
-    rows = spark.read.parquet(target)
-    newest = rows.groupBy("path", "doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["path", "doc_id", "batch"])
+    """The merged chunks: of each document those of the latest batch that has it, so none of an older, longer version stays."""
+    return VersionedTable(spark, target, ("path", "doc_id")).read()
 
 
 def distinct_events(stream: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
