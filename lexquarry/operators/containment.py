@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexquarry.plans.storage import shared_dir
+from lexquarry.plans.storage import shared_dir, written
 
 SIZE = 3
 
@@ -36,28 +36,41 @@ class GramIndex:
         return GramIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts"))
 
 
+def _spelled(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(gram, key) of every row's lower-case fields, each once."""
+    every = F.array_distinct(F.flatten(F.array(*[grams(F.lower(F.coalesce(f, F.lit(""))), 1, 2, SIZE) for f in fields])))
+    return rows.select(F.explode(every).alias("gram"), F.col(key).alias("key"))
+
+
 def build_grams(rows: DataFrame, key: str, fields: tuple[str, ...], path: str | None = None) -> GramIndex:
     """Index the lower-case ``fields`` of every row below ``path``, or in the session's shared folder; null fields hold nothing."""
     spark = rows.sparkSession
     path = path or f"{shared_dir(spark)}/lexquarry/grams-{spark.range(1).select(F.uuid()).first()[0]}"
-    every = F.array_distinct(F.flatten(F.array(*[grams(F.lower(F.coalesce(f, F.lit(""))), 1, 2, SIZE) for f in fields])))
-    rows.select(F.explode(every).alias("gram"), F.col(key).alias("key")).write.mode("overwrite").parquet(f"{path}/postings")
+    _spelled(rows, key, fields).write.mode("overwrite").parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
     return GramIndex.open(spark, path)
 
 
-def containing(rows: DataFrame, needles: DataFrame, index: GramIndex, key: str, fields: tuple[str, ...]) -> DataFrame:
+def containing(rows: DataFrame, needles: DataFrame, index: GramIndex | None, key: str, fields: tuple[str, ...], sample: int = 20_000) -> DataFrame:
     """(query_id, key, and the fields) of the rows of which some field contains a needle (query_id, needle), letters in either case.
 
-    An empty or null needle finds nothing.  A needle's rarest piece is asked for, the lesser one on ties; a piece that no row has ends it.
+    An empty or null needle finds nothing.  A needle's rarest piece is asked for, the lesser one on ties.  With an index a piece that no row
+    has ends it; without one, rarity is told by about ``sample`` rows, by the hash of their keys, and only the pieces asked for are looked up in all rows: that
+    changes how many texts are compared, not what is found.
     """
     asked = needles.filter("needle <> ''").select("query_id", F.lower("needle").alias("needle"))
     own = F.when(F.length("needle") >= SIZE, grams(F.col("needle"), SIZE)).otherwise(F.array("needle"))
     asked = asked.select("query_id", "needle", F.explode(own).alias("gram"))
     rarest = Window.partitionBy("query_id", "needle").orderBy("n", "gram")
-    counted = asked.join(index.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    chosen = counted.withColumn("place", F.row_number().over(rarest)).filter("place = 1 and n > 0").select("query_id", "needle", "gram")
-    near = index.postings.join(chosen, "gram").select("query_id", "needle", F.col("key").alias(key))
+    if index is None:
+        share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(rows.count(), 1))
+        counts = _spelled(rows.filter(share), key, fields).join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = index.counts
+    counted = asked.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chosen = counted.withColumn("place", F.row_number().over(rarest)).filter("place = 1" if index is None else "place = 1 and n > 0").select("query_id", "needle", "gram")
+    chosen = written(chosen, "pieces")
+    near = (index.postings if index else _spelled(rows, key, fields)).join(chosen, "gram").select("query_id", "needle", F.col("key").alias(key))
     found = near.join(rows.select(key, *fields), key)
     holds = F.lit(False)
     for f in fields:
@@ -70,5 +83,4 @@ def passages_held(docs: DataFrame, passages: DataFrame, index: GramIndex | None
     squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     texts = docs.select(key, squeezed("text").alias("text"))
     needles = passages.select("query_id", squeezed("text").alias("needle"))
-    index = index or build_grams(texts, key, ("text",))
     return containing(texts, needles, index, key, ("text",)).select("query_id", key).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
-from lexquarry.operators.containment import GramIndex, build_grams, containing
+from lexquarry.operators.containment import GramIndex, containing
 from lexquarry.operators.lexical import bm25
 
 # Cue words of each intent in declared order, and the weight of each retriever for it.
@@ -134,7 +134,6 @@ def graph_hits(queries: DataFrame, sections: DataFrame, edges: DataFrame | None
 def section_text_hits(queries: DataFrame, sections: DataFrame, index: GramIndex | None = None, k: int = 20) -> DataFrame:
     """(query_id, section_id, text, score, rank) of up to ``k`` sections whose title or text contains a query's first 100 characters, by id; a table of queries at once."""
     fields = ("title", "text")
-    index = index or build_grams(sections, "section_id", fields)
     needles = queries.select("query_id", F.substring("text", 1, 100).alias("needle"))
     found = containing(sections, needles, index, "section_id", fields).join(sections.select("section_id", "section_number"), "section_id")
     order = Window.partitionBy("query_id").orderBy("section_id")

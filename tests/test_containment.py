@@ -18,6 +18,9 @@ def test_matches_plain_comparison(spark, tmp_path):
     got = N.containing(table, spark.createDataFrame(needles, "query_id long, needle string"), index, "k", ("text", "title"))
     want = {(q, k) for q, n in needles if n for k, *fields in rows if any(f is not None and n.lower() in f.lower() for f in fields)}
     assert {(r.query_id, r.k) for r in got.collect()} == want
+    for sample in (20_000, 5):  # without an index, whatever the sample says
+        plain = N.containing(table, spark.createDataFrame(needles, "query_id long, needle string"), None, "k", ("text", "title"), sample)
+        assert {(r.query_id, r.k) for r in plain.collect()} == want
     assert index.postings.count() == sum(r.n for r in index.counts.collect())
 
 
