@@ -143,13 +143,10 @@ def encoded(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         pair, block, held, sums = per_worker((a_path, b_path), lambda: Pair(a_path, b_path)), TaskContext.get().partitionId() << 32, 0, []
-        null = pa.nulls(1, pa.binary())
         waiting = None
 
-        def closed(batch: pa.RecordBatch, full: bool) -> list[pa.RecordBatch]:
-            """The batch with the block's sums in its last row, if the block is full."""
-            if not full:
-                return [batch]
+        def closed(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+            """The last batch of a block, its last row with the block's sums."""
             total = summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
             rest, last = batch.slice(0, batch.num_rows - 1), batch.slice(batch.num_rows - 1)
             carried = [*last.columns[:-2], *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in total)]
@@ -170,10 +167,10 @@ def encoded(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 yield waiting
             waiting = now
             if held >= BLOCK:
-                yield from closed(waiting, True)
+                yield from closed(waiting)
                 waiting, block, held, sums = None, block + 1, 0, []
         if waiting is not None:
-            yield from closed(waiting, True)
+            yield from closed(waiting)
 
     return texts.select("text", "n").mapInArrow(run, _ENCODED)
 
