@@ -3,18 +3,24 @@
 A text holds a needle only if it holds all of the needle's triples, so a needle asks for the texts of its
 rarest one alone, and what comes back is compared exactly.  Needles shorter than three characters ask for
 their own one or two.  Nothing is compared with everything, and only candidates' texts are shuffled.
+A stated set of needles needs no index: an automaton of a block of them reads every text once, where it is.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexquarry.plans.storage import shared_dir, written
+from lexquarry.plans.storage import shared_dir
 
 SIZE = 3
+#: Needles of one automaton.
+BLOCK = 4096
 
 
 def grams(text: Column, *sizes: int) -> Column:
@@ -51,26 +57,21 @@ def build_grams(rows: DataFrame, key: str, fields: tuple[str, ...], path: str |
     return GramIndex.open(spark, path)
 
 
-def containing(rows: DataFrame, needles: DataFrame, index: GramIndex | None, key: str, fields: tuple[str, ...], sample: int = 20_000) -> DataFrame:
+def containing(rows: DataFrame, needles: DataFrame, index: GramIndex | None, key: str, fields: tuple[str, ...]) -> DataFrame:
     """(query_id, key, and the fields) of the rows of which some field contains a needle (query_id, needle), letters in either case.
 
-    An empty or null needle finds nothing.  A needle's rarest piece is asked for, the lesser one on ties.  With an index a piece that no row
-    has ends it; without one, rarity is told by about ``sample`` rows, by the hash of their keys, and only the pieces asked for are looked up in all rows: that
-    changes how many texts are compared, not what is found.
+    An empty or null needle finds nothing.  With an index a needle's rarest piece is asked for, the lesser one on ties, and a piece that no row has ends it.
+    Without one, the texts are read once for each block of needles, by an automaton of the whole block.
     """
-    asked = needles.filter("needle <> ''").select("query_id", F.lower("needle").alias("needle"))
+    asked = needles.filter("needle <> ''").select("query_id", F.lower("needle").alias("needle")).distinct()
+    if index is None:
+        return _by_automaton(rows, asked, key, fields)
     own = F.when(F.length("needle") >= SIZE, grams(F.col("needle"), SIZE)).otherwise(F.array("needle"))
     asked = asked.select("query_id", "needle", F.explode(own).alias("gram"))
     rarest = Window.partitionBy("query_id", "needle").orderBy("n", "gram")
-    if index is None:
-        share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(rows.count(), 1))
-        counts = _spelled(rows.filter(share), key, fields).join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        counts = index.counts
-    counted = asked.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    chosen = counted.withColumn("place", F.row_number().over(rarest)).filter("place = 1" if index is None else "place = 1 and n > 0").select("query_id", "needle", "gram")
-    chosen = written(chosen, "pieces")
-    near = (index.postings if index else _spelled(rows, key, fields)).join(chosen, "gram").select("query_id", "needle", F.col("key").alias(key))
+    counted = asked.join(index.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chosen = counted.withColumn("place", F.row_number().over(rarest)).filter("place = 1 and n > 0").select("query_id", "needle", "gram")
+    near = index.postings.join(chosen, "gram").select("query_id", "needle", F.col("key").alias(key))
     found = near.join(rows.select(key, *fields), key)
     holds = F.lit(False)
     for f in fields:
@@ -78,6 +79,40 @@ def containing(rows: DataFrame, needles: DataFrame, index: GramIndex | None, key
     return found.filter(holds).drop("needle")
 
 
+def _by_automaton(rows: DataFrame, asked: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """:func:`containing` for a stated set of needles: every text goes once through an automaton of ``BLOCK`` needles, which each task builds; pairs are joined back to the fields."""
+    texts = rows.select(key, *[F.lower(F.coalesce(f, F.lit(""))).alias(f"_{n}") for n, f in enumerate(fields)])
+    blocks, parts = 1 + asked.count() // BLOCK, []
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, {key} {dict(rows.dtypes)[key]}"
+    for block in range(blocks):
+        wanted: dict[str, list] = {}
+        for r in asked.filter(F.pmod(F.xxhash64("query_id", "needle"), F.lit(blocks)) == block).collect():  # about BLOCK needles
+            wanted.setdefault(r.needle, []).append(r.query_id)
+        if not wanted:
+            continue
+
+        def run(batches, wanted=wanted):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for needle, ids in wanted.items():
+                automaton.add_word(needle, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                ids, at = [], []
+                for n in range(batch.num_rows):
+                    held = {q for column in batch.columns[1:] for _, found in automaton.iter(column[n].as_py()) for q in found}
+                    ids += held
+                    at += [n] * len(held)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), batch.column(0).take(pa.array(at, pa.int32()))], names=["query_id", key])
+
+        kind = to_arrow_type(asked.schema["query_id"].dataType)
+        parts.append(texts.mapInArrow(run, schema))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], schema).join(rows.select(key, *fields), key)
+    return reduce(DataFrame.unionByName, parts).distinct().join(rows.select(key, *fields), key)
+
+
 def passages_held(docs: DataFrame, passages: DataFrame, index: GramIndex | None = None, key: str = "doc_id") -> DataFrame:
     """(query_id, key) of the documents (key, text) that contain a whole passage (query_id, text), white space squeezed on both sides: the relevance that E01-E04 need."""
     squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -6,7 +6,7 @@ from lexquarry.operators import containment as N
 from lexquarry.operators import retrieval as R
 
 
-def test_matches_plain_comparison(spark, tmp_path):
+def test_matches_plain_comparison(spark, tmp_path, monkeypatch):
     rng = random.Random(2)
     say = lambda n: "".join(rng.choice("abcA é🙂.") for _ in range(n))
     rows = [(i, say(rng.randint(0, 60)), say(rng.randint(0, 20))) for i in range(120)] + [(500, None, "abc"), (501, "", None), (502, "x" * 30_000 + "needle in it", "t")]
@@ -18,9 +18,11 @@ def test_matches_plain_comparison(spark, tmp_path):
     got = N.containing(table, spark.createDataFrame(needles, "query_id long, needle string"), index, "k", ("text", "title"))
     want = {(q, k) for q, n in needles if n for k, *fields in rows if any(f is not None and n.lower() in f.lower() for f in fields)}
     assert {(r.query_id, r.k) for r in got.collect()} == want
-    for sample in (20_000, 5):  # without an index, whatever the sample says
-        plain = N.containing(table, spark.createDataFrame(needles, "query_id long, needle string"), None, "k", ("text", "title"), sample)
-        assert {(r.query_id, r.k) for r in plain.collect()} == want
+    for block in (4096, 7):  # without an index, in one block of needles and in several
+        monkeypatch.setattr(N, "BLOCK", block)
+        plain = N.containing(table, spark.createDataFrame(needles, "query_id long, needle string"), None, "k", ("text", "title"))
+        assert {(r.query_id, r.k) for r in plain.collect()} == want and plain.columns == ["k", "query_id", "text", "title"]
+    assert N.containing(table, spark.createDataFrame([], "query_id long, needle string"), None, "k", ("text",)).collect() == []
     assert index.postings.count() == sum(r.n for r in index.counts.collect())
 
 
