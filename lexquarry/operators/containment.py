@@ -8,6 +8,7 @@ A stated set of needles needs no index: an automaton of a block of them reads ev
 
 from __future__ import annotations
 
+from bisect import insort
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexquarry.plans.storage import shared_dir
+from lexquarry.plans.storage import shared_dir, written
 
 SIZE = 3
 #: Needles of one automaton.
@@ -57,15 +58,16 @@ def build_grams(rows: DataFrame, key: str, fields: tuple[str, ...], path: str |
     return GramIndex.open(spark, path)
 
 
-def containing(rows: DataFrame, needles: DataFrame, index: GramIndex | None, key: str, fields: tuple[str, ...]) -> DataFrame:
+def containing(rows: DataFrame, needles: DataFrame, index: GramIndex | None, key: str, fields: tuple[str, ...], k: int | None = None) -> DataFrame:
     """(query_id, key, and the fields) of the rows of which some field contains a needle (query_id, needle), letters in either case.
 
     An empty or null needle finds nothing.  With an index a needle's rarest piece is asked for, the lesser one on ties, and a piece that no row has ends it.
-    Without one, the texts are read once for each block of needles, by an automaton of the whole block.
+    Without one, the texts are read once for each block of distinct needles, by an automaton of the whole block.
+    With ``k`` the caller wants each query's rows with the ``k`` least keys: others of a needle may be left out.
     """
     asked = needles.filter("needle <> ''").select("query_id", F.lower("needle").alias("needle")).distinct()
     if index is None:
-        return _by_automaton(rows, asked, key, fields)
+        return _by_automaton(rows, asked, key, fields, k)
     own = F.when(F.length("needle") >= SIZE, grams(F.col("needle"), SIZE)).otherwise(F.array("needle"))
     asked = asked.select("query_id", "needle", F.explode(own).alias("gram"))
     rarest = Window.partitionBy("query_id", "needle").orderBy("n", "gram")
@@ -79,15 +81,19 @@ def containing(rows: DataFrame, needles: DataFrame, index: GramIndex | None, key
     return found.filter(holds).drop("needle")
 
 
-def _by_automaton(rows: DataFrame, asked: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """:func:`containing` for a stated set of needles: every text goes once through an automaton of ``BLOCK`` needles, which each task builds; pairs are joined back to the fields."""
+def _by_automaton(rows: DataFrame, asked: DataFrame, key: str, fields: tuple[str, ...], k: int | None) -> DataFrame:
+    """:func:`containing` for a stated set of needles: every text goes once through an automaton of ``BLOCK`` distinct needles, which each task builds.
+
+    Queries with the same needle share its rows.  With ``k`` a task keeps the least keys of each needle, so what is
+    shuffled is ``k`` rows for a needle and a task, however many texts hold it.
+    """
     texts = rows.select(key, *[F.lower(F.coalesce(f, F.lit(""))).alias(f"_{n}") for n, f in enumerate(fields)])
-    blocks, parts = 1 + asked.count() // BLOCK, []
-    schema = f"query_id {dict(asked.dtypes)['query_id']}, {key} {dict(rows.dtypes)[key]}"
+    stated = written(asked.select("needle").distinct().withColumn("at", F.monotonically_increasing_id()), "needles")
+    blocks, parts = 1 + stated.count() // BLOCK, []
+    schema = f"at long, {key} {dict(rows.dtypes)[key]}"
+    kind = to_arrow_type(rows.schema[key].dataType)
     for block in range(blocks):
-        wanted: dict[str, list] = {}
-        for r in asked.filter(F.pmod(F.xxhash64("query_id", "needle"), F.lit(blocks)) == block).collect():  # about BLOCK needles
-            wanted.setdefault(r.needle, []).append(r.query_id)
+        wanted = {r.needle: r["at"] for r in stated.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block).collect()}  # about BLOCK needles
         if not wanted:
             continue
 
@@ -95,22 +101,38 @@ def _by_automaton(rows: DataFrame, asked: DataFrame, key: str, fields: tuple[str
             import ahocorasick
 
             automaton = ahocorasick.Automaton()
-            for needle, ids in wanted.items():
-                automaton.add_word(needle, ids)
+            for needle, at in wanted.items():
+                automaton.add_word(needle, at)
             automaton.make_automaton()
+            least: dict[int, list] = {}
             for batch in batches:
                 ids, at = [], []
                 for n in range(batch.num_rows):
-                    held = {q for column in batch.columns[1:] for _, found in automaton.iter(column[n].as_py()) for q in found}
-                    ids += held
-                    at += [n] * len(held)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), batch.column(0).take(pa.array(at, pa.int32()))], names=["query_id", key])
+                    held = {found for column in batch.columns[1:] for _, found in automaton.iter(column[n].as_py())}
+                    if k is None:
+                        ids += held
+                        at += [n] * len(held)
+                        continue
+                    own = batch.column(0)[n].as_py() if held else None
+                    for one in held if own is not None else ():
+                        few = least.setdefault(one, [])
+                        if (len(few) < k or own < few[-1]) and own not in few:
+                            insort(few, own)
+                            del few[k:]
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0).take(pa.array(at, pa.int32()))], names=["at", key])
+            for one, few in least.items():
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(few), pa.int64()), pa.array(few, kind)], names=["at", key])
 
-        kind = to_arrow_type(asked.schema["query_id"].dataType)
         parts.append(texts.mapInArrow(run, schema))
     if not parts:
-        return rows.sparkSession.createDataFrame([], schema).join(rows.select(key, *fields), key)
-    return reduce(DataFrame.unionByName, parts).distinct().join(rows.select(key, *fields), key)
+        none = rows.sparkSession.createDataFrame([], f"{key} {dict(rows.dtypes)[key]}, query_id {dict(asked.dtypes)['query_id']}")
+        return none.join(rows.select(key, *fields), key)
+    hits = reduce(DataFrame.unionByName, parts).distinct()
+    if k is not None:
+        hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy(key))).filter(F.col("nth") <= k).drop("nth")
+    pairs = asked.join(stated, "needle").join(hits, "at").select("query_id", key).distinct()
+    return pairs.join(rows.select(key, *fields), key)
 
 
 def passages_held(docs: DataFrame, passages: DataFrame, index: GramIndex | None = None, key: str = "doc_id") -> DataFrame:

@@ -135,7 +135,7 @@ def section_text_hits(queries: DataFrame, sections: DataFrame, index: GramIndex
     """(query_id, section_id, text, score, rank) of up to ``k`` sections whose title or text contains a query's first 100 characters, by id; a table of queries at once."""
     fields = ("title", "text")
     needles = queries.select("query_id", F.substring("text", 1, 100).alias("needle"))
-    found = containing(sections, needles, index, "section_id", fields).join(sections.select("section_id", "section_number"), "section_id")
+    found = containing(sections, needles, index, "section_id", fields, k).join(sections.select("section_id", "section_number"), "section_id")
     order = Window.partitionBy("query_id").orderBy("section_id")
     rows = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     said = F.format_string("Section %s: %s\n%s", "section_number", F.coalesce("title", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 500))

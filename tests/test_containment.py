@@ -26,6 +26,25 @@ def test_matches_plain_comparison(spark, tmp_path, monkeypatch):
     assert index.postings.count() == sum(r.n for r in index.counts.collect())
 
 
+def test_only_the_first_rows_of_a_needle_are_kept(spark, monkeypatch):
+    """300 queries share four needles that 500 rows hold: a task hands on k rows for a needle, not all pairs."""
+    rows = spark.createDataFrame([(i % 400, "abcd" if i % 3 else "ab", None) for i in range(500)], "k long, text string, title string").repartition(3)
+    needles = spark.createDataFrame([(q, ("ab", "AB", "bc", "zz")[q % 4]) for q in range(300)] + [(0, "d"), (7, None)], "query_id long, needle string")
+    made = []
+    plain = N.reduce
+
+    def watched(of, parts):
+        made.append(sum(p.count() for p in parts))
+        return plain(of, parts)
+
+    monkeypatch.setattr(N, "reduce", watched)
+    got = N.containing(rows, needles, None, "k", ("text", "title"), 5).select("query_id", "k").distinct().collect()
+    holds = lambda n: sorted({i % 400 for i in range(500) if n in ("abcd" if i % 3 else "ab")})[:5]
+    want = {(q, i) for q in range(300) for i in holds(("ab", "ab", "bc", "zz")[q % 4])} | {(0, i) for i in holds("d")}
+    assert {(r.query_id, r.k) for r in got} == want
+    assert made and made[0] <= 3 * 3 * 5  # needles found, tasks, k
+
+
 def test_queries_without_a_number_reach_the_sections_text(spark):
     sections = spark.createDataFrame([(1, "12", "Theft of goods", "A", 1990, "whoever takes"), (2, "13", "Fraud", "A", 1991, "theft of goods by fraud"), (3, "14", None, "B", 1992, None)], "section_id long, section_number string, title string, act string, year int, text string")
     queries = spark.createDataFrame([(1, "THEFT OF GOODS"), (2, "see section 13"), (3, "nothing like it"), (4, None)], "query_id long, text string")
