@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +18,8 @@ from lexquarry.plans.storage import written
 
 #: Queries that one pass over the table holds at once; more go in further passes.
 QUERY_BLOCK = 4096
+#: Scores of points and queries that a task holds at once, and the queries whose tables of code scores it holds.
+CELLS, TABLES = 2_000_000, 256
 FLOATS = ArrayType(FloatType())
 #: Components of a pseudo-embedding.
 WIDTH = 64
@@ -67,32 +69,51 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray] | None = N
     return chunks.withColumn("embedding", run(said))
 
 
+def leading(score: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Where the ``k`` best scores of each row stand, ties by the lesser key; ``keys`` has a row for each or one for all."""
+    k = min(k, score.shape[1])
+    if not k or not len(score):
+        return np.zeros((len(score), k), np.int64)
+    value = np.where(np.isnan(score), -np.inf, score)
+    least = np.partition(value, -k, axis=1)[:, -k]
+    row, at = np.nonzero(value >= least[:, None])
+    order = np.lexsort((np.broadcast_to(keys, score.shape)[row, at], -value[row, at], row))
+    first = np.searchsorted(row, np.arange(len(score)))
+    return at[order][first[:, None] + np.arange(k)]
+
+
+def nearest_points(batches: Iterable[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, k: int, key: str) -> Iterator[pa.RecordBatch]:
+    """(query_id, key, score): the ``k`` best of a task's points (key, v) for each row of a matrix of unit vectors.
+
+    Points are scored ``CELLS`` pairs at a time, and the best so far are all that stays.
+    """
+    score, owner = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+    step = max(1, CELLS // len(ids))
+    for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+        keys = batch.column(0).to_numpy()
+        x = np.asarray(batch.column(1).flatten(), float).reshape(len(keys), -1)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        near = np.round(matrix @ (x / np.where(size > 0, size, 1)).T, 6)
+        at = leading(near, keys[None], k)
+        score, owner = np.concatenate([score, np.take_along_axis(near, at, 1)], 1), np.concatenate([owner, keys[at]], 1)
+        at = leading(score, owner, k)
+        score, owner = np.take_along_axis(score, at, 1), np.take_along_axis(owner, at, 1)
+    if score.size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(owner.ravel()), pa.array(score.ravel())], names=["query_id", key, "score"])
+
+
 def top_k(points: DataFrame, queries: DataFrame, k: int = 10, where: dict | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank) of the nearest points by cosine.
 
     ``where`` filters the points first (pushed to the scan).  Queries are a
     stated set, taken in blocks of ``QUERY_BLOCK``: each block is one matrix,
-    each Arrow batch keeps its own ``k`` best, and only these are shuffled.
+    each task keeps its own ``k`` best, and only these are shuffled.
     """
     for column, value in (where or {}).items():
         points = points.filter(F.col(column) == value)
     rows = points.filter(F.size(vector) > 0).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     blocks = 1 + queries.count() // QUERY_BLOCK
     asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-
-    def near(batches, ids: np.ndarray, matrix: np.ndarray):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            x = np.asarray(batch.column(1).flatten(), float).reshape(len(keys), -1)
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            score = np.round(matrix @ (x / np.where(size > 0, size, 1)).T, 6)
-            best = np.stack([np.lexsort((keys, -row))[:k] for row in score])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, best.shape[1])), pa.array(keys[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", key, "score"]
-            )
-
     parts = []
     for block in range(blocks):
         table = asked.filter(F.col("block") == block).toArrow()  # about QUERY_BLOCK rows
@@ -102,7 +123,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, where: dict | None
         q = np.asarray(table.column("v").combine_chunks().values, float).reshape(len(ids), -1)
         size = np.linalg.norm(q, axis=1, keepdims=True)
         matrix = q / np.where(size > 0, size, 1)
-        parts.append(rows.mapInArrow(lambda b, i=ids, m=matrix: near(b, i, m), f"query_id long, {key} long, score double"))
+        parts.append(rows.mapInArrow(lambda b, i=ids, m=matrix: nearest_points(b, i, m, k, key), f"query_id long, {key} long, score double"))
     if not parts:
         return points.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
     every = parts[0]
@@ -199,7 +220,7 @@ def build_cells(points: DataFrame, key: str = "vec_id", vector: str = "embedding
 def search_cells(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None, short: int = 10) -> DataFrame:
     """(query_id, key, score, rank) of about the ``k`` nearest points by cosine: each query (query_id, vector) scores the codes of its ``probes`` nearest cells (the index tells how many unless given), and its ``short`` x ``k`` best are scored exactly.
 
-    Every Arrow batch of codes keeps its own short list of each query, so what is shuffled are short lists; queries go in blocks of ``QUERY_BLOCK``.
+    Every task keeps its own short list of each query, and only these are shuffled; queries go in blocks of ``QUERY_BLOCK``, and within a batch of codes ``TABLES`` at a time.
     """
     centers, books, spark = index.centers, index.books, index.codes.sparkSession
     kind = dict(index.codes.dtypes)["key"]
@@ -220,24 +241,38 @@ def search_cells(index: VectorIndex, queries: DataFrame, k: int = 10, probes: in
             visits[int(cell)] = np.flatnonzero((near == cell).any(1))
 
         def shortlist(batches, ids=ids, q=q, toward=toward, visits=visits):
-            tables = np.stack([q[:, a:b] @ books[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)])  # slice, query, entry
+            held: dict[int, tuple[np.ndarray, pa.Array]] = {}
             for batch in batches:
                 cell = batch.column(1).to_numpy()
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(cell), -1)
-                best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-                for c in np.unique(cell):
-                    at, of = np.flatnonzero(cell == c), visits.get(int(c))
-                    if of is None:
-                        continue
-                    score = np.repeat(toward[of, c][:, None], len(at), 1)
-                    for s in range(len(tables)):
-                        score += tables[s][of][:, codes[at, s]]
-                    for n, row in zip(of.tolist(), score, strict=True):
-                        best.setdefault(n, []).append((at, row))
-                for n, parts in best.items():
-                    at, score = (np.concatenate(p) for p in zip(*parts, strict=True))
-                    top = np.argsort(-score, kind="stable")[: short * k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[n], len(top))), batch.column(0).take(pa.array(at[top])), pa.array(score[top])], names=["query_id", "key", "near"])
+                rows_of = {int(c): np.flatnonzero(cell == c) for c in np.unique(cell) if int(c) in visits}
+                for first in range(0, len(ids), TABLES):
+                    some = q[first : first + TABLES]
+                    tables = np.stack([some[:, a:b] @ books[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)])  # slice, query, entry
+                    best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+                    for c, at in rows_of.items():
+                        of = visits[c]
+                        of = of[np.searchsorted(of, first) : np.searchsorted(of, first + TABLES)]
+                        if not len(of):
+                            continue
+                        score = np.repeat(toward[of, c][:, None], len(at), 1)
+                        for s in range(len(tables)):
+                            score += tables[s][of - first][:, codes[at, s]]
+                        for n, row in zip(of.tolist(), score, strict=True):
+                            best.setdefault(n, []).append((at, row))
+                    for n, parts in best.items():
+                        at, score = (np.concatenate(p) for p in zip(*parts, strict=True))
+                        top = np.argsort(-score, kind="stable")[: short * k]
+                        score, key = score[top], batch.column(0).take(pa.array(at[top]))
+                        if n in held:
+                            score, key = np.concatenate([held[n][0], score]), pa.concat_arrays([held[n][1], key])
+                            top = np.argsort(-score, kind="stable")[: short * k]
+                            score, key = score[top], key.take(pa.array(top))
+                        held[n] = score, key
+            if held:
+                size = [len(score) for score, _ in held.values()]
+                owner = ids[np.repeat(np.fromiter(held, np.int64, len(held)), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.concat_arrays([key for _, key in held.values()]), pa.array(np.concatenate([score for score, _ in held.values()]))], names=["query_id", "key", "near"])
 
         cells = index.codes.filter(F.col("cell").isin(sorted(visits))) if len(visits) <= 1000 else index.codes
         lists.append(cells.mapInArrow(shortlist, f"query_id {dict(queries.dtypes)['query_id']}, key {kind}, near double"))
