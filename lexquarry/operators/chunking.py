@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
+from lexquarry.functions.batches import bounded
 
 SIZE, OVERLAP, SMALL = 1000, 200, 100
 # Fixed value: where a numbered or named section starts.
@@ -81,11 +82,11 @@ def recursive_parts(text: str, size: int, overlap: int, length: Callable[[str],
 
 
 def _chunked(df: DataFrame, texts: str, cut: Callable[..., list[str]]) -> DataFrame:
-    """The rows of ``df`` with column ``texts`` replaced by (chunk_index, text, total_chunks) of what ``cut`` makes of it; nothing is shuffled."""
+    """The rows of ``df`` with column ``texts`` replaced by (chunk_index, text, total_chunks) of what ``cut`` makes of it; nothing is shuffled, and a task holds the chunks of a few megabytes of text at once."""
     kept = [c for c in df.columns if c not in (texts, "chunk_index", "text", "total_chunks")]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole)):
             chunks = [cut(t) for t in batch.column(len(kept)).to_pylist()]
             size = np.array([len(c) for c in chunks], np.int64)
             owner = pa.array(np.repeat(np.arange(len(chunks)), size))
