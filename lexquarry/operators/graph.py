@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.operators.retrieval import both_ways
+from lexquarry.plans.storage import spread
 
 
 def edge_type(name: Column) -> Column:
@@ -113,8 +114,9 @@ def related(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, types: tupl
     links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type") if directed else both_ways(edges)
     if types:
         links = links.filter(F.col("type").isin(*types))
-    hop = seeds.join(links, F.col("section_id") == F.col("a")).select(F.col("a").alias("section_id"), F.col("b").alias("other"), "type")
-    return hop.join(vertices.select(F.col("section_id").alias("other"), "title", "act", "year"), "other").distinct()
+    links = spread(links.select(F.col("a").alias("section_id"), F.col("b").alias("other"), "type"), "section_id", source=edges)
+    hop = links.join(seeds.select("section_id"), "section_id", "left_semi").distinct()  # narrow rows, before titles are joined to them
+    return spread(hop, "other", source=edges).join(vertices.select(F.col("section_id").alias("other"), "title", "act", "year").distinct(), "other")
 
 
 def precedents_of(case_section: DataFrame, cases: DataFrame, section: int, k: int) -> DataFrame:
@@ -148,8 +150,8 @@ def most_referenced(case_section: DataFrame, k: int) -> DataFrame:
 
 
 def co_occurrence(case_section: DataFrame, k: int | None = None) -> DataFrame:
-    """Pairs of sections by the cases they share; pairs are counted before the shuffle."""
-    pairs = section_pairs(case_section).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_cases"))
+    """Pairs of sections by the cases they share, counted in as many partitions as the input calls for."""
+    pairs = spread(section_pairs(case_section).select("src", "dst"), "src", "dst", source=case_section).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_cases"))
     return pairs if k is None else pairs.orderBy(F.desc("n_cases"), "src", "dst").limit(k)
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexquarry.plans.storage import spread
 
 MONTH_CASE = "CASE month(o_orderdate) " + " ".join(
     f"WHEN {i} THEN '{m}'" for i, m in enumerate("January February March April May June July August September October November December".split(), 1)
@@ -50,11 +53,25 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or one of the driver's tables as it is."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("case_section", "edges"):
+        return _wide(spark, sf_dir, name)
     sql = VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
     return spark.sql(sql, **tables)
 
 
+def _wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The two views of pairs, the same rows as their SQL, in as many partitions as the lines call for."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("section_id"))
+    links = spread(lines, "case_id").distinct()
+    if name == "case_section":
+        return links
+    a, b = links.alias("a"), links.alias("b")
+    pairs = a.join(b, F.col("a.case_id") == F.col("b.case_id")).filter("a.section_id < b.section_id").select(F.col("a.section_id").alias("src"), F.col("b.section_id").alias("dst"))
+    kind = F.expr("CASE (src + dst) % 3 WHEN 0 THEN 'RELATED_TO' WHEN 1 THEN 'CROSS_CODE' ELSE 'SUCCESSOR_OF' END")
+    return spread(pairs, "src", "dst", source=lines).distinct().select("src", "dst", kind.alias("type"))
+
+
 def oracle(sql: str) -> str:
     """``sql`` with the views it names as common table expressions, for DuckDB."""
     plain = {n: re.sub(r"\{(\w+)\}", r"\1", v) for n, v in VIEWS.items()}
