@@ -1,6 +1,7 @@
 """Each numbered operator against a brute-force version on small documents, hard cases included."""
 
 import hashlib
+import inspect
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -545,3 +546,16 @@ def test_transducer_is_minimal_and_exact(tmp_path):
 def test_empty_tables(empty):
     for rows in (jaccard_components(empty), pack_documents(empty), shard_documents(empty), drop_repeated_lines(empty), exact_dedup(empty), scan_secrets(empty)[0], encode_decode(empty)):
         assert rows.count() == 0
+
+
+def test_suffix_tree_whole_by_brute_force(spark):
+    names = dict(globals())
+    exec(inspect.getsource(suffix_tree_scores).replace("max(n.values()) > 1 and", ""), names)  # the same model, but for what needn't repeat
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(0, 60)) if k < 400)) for i in range(150)]
+    rows += [(i + 500, "w7 w8 w9 " * 9 + ("w1" if i % 2 else "w2")) for i in range(60)] + [(i + 600, "w3 w7 w8 w9 " + "w7 w8 w9 " * 8 + ("w2" if i % 2 else "w4")) for i in range(60)]
+    rows += [(i + 800, "w5 " * 90) for i in range(12)] + [(900, None), (901, "W1 new w2")]
+    want, tree = names["suffix_tree_scores"](rows, depth=100)
+    assert max(map(len, tree)) > 20
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), depth=None).collect()}
+    assert got == pytest.approx(want)
