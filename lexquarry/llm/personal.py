@@ -5,8 +5,8 @@
 2. Every proposal has small integers as features: its format (digits, groups, separators,
    letters, repeats) and its context (neighbouring characters, cue words before it).  The signs that
    the base rules themselves test (a leading plus, check digits, ranges) are not among them.
-3. Boosted trees learn which proposals hold a base span.  The driver fits them on
-   counts of distinct feature rows over all documents, ``SAMPLE`` rows at most.
+3. Boosted trees learn which proposals hold a base span, from counts of distinct feature rows over all
+   documents.  Up to ``SAMPLE`` of these the driver holds them; of more, Spark sums what each level of a tree needs.
 4. On a fold of documents that the trees haven't seen, scores are calibrated by an isotonic fit, and each
    generator's threshold is the least score whose calibrated share reaches ``least``.  Proposals
    above it that touch no base span are added.
@@ -20,7 +20,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.plans.storage import written
@@ -46,9 +47,11 @@ KINDS = (*BASE_KINDS, *GENERATORS)
 #: Words before a proposal that speak for or against it.
 CUES = ("phone", "tel", "call", "mobile", "fax", "mail", "contact", "address", "card", "account", "iban", "ip", "host", "ssn")
 COUNTER_CUES = ("version", "license", "token", "secret", "password", "isbn", "page", "order", "figure", "table", "total", "price")
-#: Distinct feature rows that the driver fits and calibrates on, at most about.
+#: Distinct feature rows that the driver holds at most; more are summed by Spark, none is left out.
 SAMPLE = 20_000
 FOLDS = 4
+#: Values that a feature may have, from 0 on; parts of a whole in the sums that trees grow from; score ranges in a unit.
+WIDE, _FINE, _RANGES = 81, float(1 << 24), 1024
 _CHUNK = 256
 
 
@@ -183,32 +186,55 @@ class Trees:
     trees: list = field(default_factory=list)
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
-        share = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
+        wide = int(x.max(initial=0)) + 1
+        return self.learn(float(np.average(y, weights=weight)), lambda part, nodes: self.sums(x, y, weight, part, nodes, wide))
+
+    def learn(self, share: float, sums: Callable[[object, int], np.ndarray]) -> Trees:
+        """Grow all trees from sums by node, feature and value alone; ``share`` is that of the rows that are hits."""
+        share = float(np.clip(share, 1e-3, 1 - 1e-3))
         self.first = float(np.log(share / (1 - share)))
-        score = np.full(len(y), self.first)
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            tree = self.grow(x, weight * (y - p), weight * p * (1 - p), weight, np.arange(len(y)), self.depth)
-            self.trees.append(tree)
-            score += self.values(tree, x)
+            self.trees.append(self.grow(sums))
         return self
 
-    def grow(self, x, gradient, curve, weight, rows, depth):
-        """(feature, threshold, left, right), or the value of a leaf."""
-        g, h = gradient[rows].sum(), curve[rows].sum()
-        best = (1e-6, None, None)
-        for f in range(x.shape[1]) if depth else ():
-            v = x[rows, f]
-            by = [np.cumsum(np.bincount(v, a[rows])) for a in (gradient, curve, weight)]
-            left_g, left_h, left_w = (b[:-1] for b in by)
-            fits = (left_w >= self.least) & (by[2][-1] - left_w >= self.least)
-            gain = np.where(fits, left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g * g / (h + 1), 0)
-            if len(gain) and gain.max() > best[0]:
-                best = (float(gain.max()), f, int(gain.argmax()))
-        if best[1] is None:
-            return float(self.rate * g / (h + 1))
-        left = x[rows, best[1]] <= best[2]
-        return best[1], best[2], *(self.grow(x, gradient, curve, weight, rows[side], depth - 1) for side in (left, ~left))
+    def sums(self, x, y, weight, part, nodes: int, wide: int) -> np.ndarray:
+        """Gradient, curvature and weight of rows by (node that ``part`` leads to, feature, value), as whole numbers: their order and place make no difference."""
+        node = self.values(part, x).astype(np.int64)
+        p = 1 / (1 + np.exp(-self.scores(x)))
+        own = np.rint(np.stack([weight * (y - p), weight * p * (1 - p), weight], 1) * _FINE).astype(np.int64)
+        out, on = np.zeros((nodes * x.shape[1] * wide, 3), np.int64), node >= 0
+        for f in range(x.shape[1]):
+            np.add.at(out, (node[on] * x.shape[1] + f) * wide + x[on, f], own[on])
+        return out.reshape(nodes, x.shape[1], wide, 3)
+
+    def grow(self, sums):
+        """(feature, threshold, left, right), or the value of a leaf; a level at a time."""
+        done, level = {"": 0.0}, [""]
+
+        def nested(path: str, open_: dict | None = None):
+            if open_ is not None and path in open_:
+                return open_[path]
+            if isinstance(done[path], tuple):
+                return (*done[path], nested(path + "L", open_), nested(path + "R", open_))
+            return done[path] if open_ is None else -1.0
+
+        value = lambda at: float(self.rate * at[0] / (at[1] + 1))
+        for _ in range(self.depth):
+            split = []
+            for path, cells in zip(level, sums(nested("", {p: float(i) for i, p in enumerate(level)}), len(level)) / _FINE, strict=True):
+                left, total = np.cumsum(cells, 1)[:, :-1], cells[0].sum(0)
+                done[path] = value(total)
+                right = total - left
+                fits = (left[..., 2] >= self.least) & (right[..., 2] >= self.least)
+                gain = np.where(fits, left[..., 0] ** 2 / (left[..., 1] + 1) + right[..., 0] ** 2 / (right[..., 1] + 1) - total[0] ** 2 / (total[1] + 1), 0)
+                if gain.size and gain.max() > 1e-6:
+                    f, t = np.unravel_index(gain.argmax(), gain.shape)
+                    done[path], done[path + "L"], done[path + "R"] = (int(f), int(t)), value(left[f, t]), value(right[f, t])
+                    split += [path + "L", path + "R"]
+            level = split
+            if not level:
+                break
+        return nested("")
 
     def values(self, tree, x: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -247,15 +273,15 @@ class Detector:
 def fit_detector(table: DataFrame, least: float = 0.95, sample: int = SAMPLE, support: float = 50) -> Detector:
     """Fit on all documents' proposals but a fourth's, calibrate on that fourth.
 
-    A generator with less than ``support`` proposals in the fourth has no threshold.  Repeated rows count as
+    Above ``sample`` distinct feature rows Spark does the sums, with the same detector.  A generator with less than ``support`` proposals in the fourth has no threshold.  Repeated rows count as
     often as they occur; rows without an id are of one fold.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
     rows = table.filter(F.size("proposed") > 0).select(fold.alias("held"), F.explode("proposed").alias("x"))
     counts = written(rows.groupBy("held", F.col("x.f").alias("f"), F.col("x.hit").alias("hit")).agg(F.count(F.lit(1)).alias("n")), "proposals")
-    distinct = counts.count()
-    share = F.pmod(F.xxhash64("f"), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample / max(distinct, 1))
-    got = counts.filter(share).collect()
+    if counts.count() > sample:
+        return _fit_apart(counts, least, support)
+    got = counts.collect()
     x = np.array([r.f for r in got], np.int64).reshape(-1, len(FEATURES))
     y, n, held = (np.array([r[k] for r in got], np.float64) for k in ("hit", "n", "held"))
     fit, kept = held == 0, dict.fromkeys(range(len(GENERATORS)))
@@ -274,6 +300,60 @@ def fit_detector(table: DataFrame, least: float = 0.95, sample: int = SAMPLE, su
     return Detector(trees, kept)
 
 
+def _columns(batch) -> tuple[np.ndarray, ...]:
+    """Features, hits and counts of a batch of (f, hit, n)."""
+    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    return x, batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), batch.column(2).to_numpy().astype(np.float64)
+
+
+def _fit_apart(counts: DataFrame, least: float, support: float) -> Detector:
+    """The same detector where the driver can't hold the feature rows: Spark sums what each level of a tree needs, over all of them."""
+    fit, kept, trees = counts.filter("not held").select("f", "hit", "n"), dict.fromkeys(range(len(GENERATORS))), Trees()
+    total, hits = fit.agg(F.sum("n"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0))).first()
+    if not total or not 0 < hits < total:
+        return Detector(trees, kept)
+
+    def sums(part, nodes: int) -> np.ndarray:
+        def run(batches):
+            cells = np.zeros((nodes, len(FEATURES), WIDE, 3), np.int64)
+            for batch in batches:
+                cells += trees.sums(*_columns(batch), part, nodes, WIDE)
+            flat = cells.reshape(-1, 3)
+            at = np.flatnonzero(flat.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(flat[at, i]) for i in range(3))], names=["cell", "g", "h", "w"])
+
+        rows = fit.mapInArrow(run, "cell long, g long, h long, w long").groupBy("cell").agg(F.sum("g"), F.sum("h"), F.sum("w")).collect()  # no more than cells
+        out = np.zeros((nodes * len(FEATURES) * WIDE, 3), np.int64)
+        for cell, *own in rows:
+            out[cell] = own
+        return out.reshape(nodes, len(FEATURES), WIDE, 3)
+
+    trees.learn(hits / total, sums)
+
+    def score(batches):
+        for batch in batches:
+            x, y, n = _columns(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0], pa.int32()), pa.array(trees.scores(x)), pa.array((n * y).astype(np.int64)), pa.array(n.astype(np.int64))], names=["g", "score", "hits", "n"])
+
+    # The isotonic fit reaches ``least`` from where on the sum of hits - least * n, of all greater scores too, is greatest; of equal sums, the least score.
+    levels = counts.filter("held").select("f", "hit", "n").mapInArrow(score, "g int, score double, hits long, n long").groupBy("g", "score").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    levels = levels.select("g", "score", "n", F.floor(F.col("score") * _RANGES).alias("range"), (F.col("hits") - least * F.col("n")).alias("over"))
+    down = Window.partitionBy("g", "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = levels.withColumn("sum", F.round(F.sum("over").over(down), 6)).groupBy("g", "range").agg(F.max(F.struct("sum", (-F.col("score")).alias("less"))).alias("best"), F.sum("over").alias("over"), F.sum("n").alias("n"))
+    by: dict[int, list] = {}
+    for r in ranges.collect():  # one row for each range of scores
+        by.setdefault(r.g, []).append(r)
+    for g, own in by.items():
+        if sum(r.n for r in own) < support:
+            continue
+        top, above = -1e-6, 0.0
+        for r in sorted(own, key=lambda r: -r.range):
+            if above + r.best["sum"] >= top - 1e-6:
+                top, kept[g] = max(top, above + r.best["sum"]), -r.best["less"] - 1e-9
+            above += r.over
+    return Detector(trees, kept)
+
+
 def find_personal(docs: DataFrame, detector: Detector | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Detector]:
     """(doc_id, base, spans of every row; the detector, fitted here unless given).
 

@@ -132,6 +132,13 @@ def test_sample_bounds_the_driver(spark):
     assert isinstance(fit_detector(table, sample=10), Detector) and SAMPLE > 10
 
 
+def test_no_feature_row_is_left_out(spark):
+    rows = corpus() + [(i + 2000, f"call {'' if i % 3 else '+'}{'1 ' * (i % 4)}{10**6 + 7919 * i} or mail {'x' * (i % 9)}@{'y' * (i % 5)}.{'z' * (i % 3)}") for i in range(300)]
+    table = proposals(frame(spark, rows))
+    whole, apart = fit_detector(table), fit_detector(table, sample=10)
+    assert apart.trees.trees == whole.trees.trees and apart.least == whole.least and whole.least[1] is not None
+
+
 def test_redaction(spark):
     rows = [(1, "x 🙂 me@site.org, 10.0.0.1!"), (2, None), (3, "clean"), (4, "call +1 (212) 555-0199, 4111111111111111")]
     got = redact_personal(frame(spark, rows), Detector(Trees(), {0: None, 1: None, 2: None}))
