@@ -9,6 +9,7 @@ the attention-weighted passage representation is scored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from lexquarry.llm.wordbpe import slices, small_batches
 
 PASSAGE = 600
+#: Bytes of text that a task encodes at a time; each takes about a hundred bytes of memory.
+PART = 400_000
 #: Classes of neighbouring bytes: lower, upper, digit, blank, newline, stop marks, other marks, beyond ASCII.
 _CLASS = np.full(256, 7, np.int64)
 _CLASS[:128] = 6
@@ -100,6 +103,12 @@ def encode_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return encode_passages(data, offsets[:-1], offsets[1:])
 
 
+def encoded(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches in parts of at most ``PART`` text bytes (or one row), each with its passages."""
+    for part in (part for whole in batches for part in slices(whole, column, PART)):
+        yield part, *encode_texts(part.column(column))
+
+
 class GatedAttention:
     """Gated-attention pooling over passage embeddings, trained by Adam."""
 
@@ -171,8 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_co
     chosen = F.broadcast(marks.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30)))  # about 2 * per_class rows
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
-            x, bag = encode_texts(batch.column(1))
+        for batch, x, bag in encoded(batches):
             ends = np.searchsorted(bag, np.arange(batch.num_rows + 1)).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends * WIDTH, pa.int32()), pa.array(x.ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], names=["_id", "label", "x"])
@@ -193,8 +201,7 @@ def score_quality(docs: DataFrame, model: GatedAttention, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, most=2_000_000)):
-            x, bag = encode_texts(batch.column(1))
+        for batch, x, bag in encoded(batches):
             score = model.scores(x, bag, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
@@ -207,8 +214,7 @@ def keep_quality(docs: DataFrame, model: GatedAttention, least: float = 0.5, tex
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, at, 2_000_000)):
-            x, bag = encode_texts(batch.column(at))
+        for batch, x, bag in encoded(batches, at):
             yield batch.filter(pa.array(model.scores(x, bag, batch.num_rows) >= least))
 
     small_batches(docs.sparkSession)
