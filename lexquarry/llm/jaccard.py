@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lexquarry.llm.components import Forest, components, groups
 from lexquarry.llm.prefilter import split_by_ids
 from lexquarry.llm.shingles import mixed, shingle_sets
-from lexquarry.llm.wordbpe import ranges, slices, small_batches
+from lexquarry.llm.wordbpe import ranges, slices, small_batches, tidy
 from lexquarry.plans.storage import drop_written, written
 
 #: Sets and tokens that one side of a block holds at most, on average.
@@ -43,6 +43,8 @@ BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
 CROWD = 16
 GROUP = 16
 SEEDS = 4
+#: Bytes of text that a task makes sets of at a time.
+PART = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -227,9 +229,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fractio
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
 
+    @tidy
     def measure(batches):
         seen: set[int] = set()
-        for batch in (part for whole in batches for part in slices(whole, most=2_000_000)):
+        for batch in (part for whole in batches for part in slices(whole, most=PART)):
             tokens, bounds = shingle_sets(batch.column(1), size)
             filled = np.flatnonzero(np.diff(bounds) > 0)
             digest = []
@@ -273,6 +276,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fractio
 def families(signed: DataFrame) -> DataFrame:
     """(node, component) of the digests ``h1`` whose sets may be linked with another one."""
 
+    @tidy
     def spell(batches):
         for batch in batches:
             node, kinds = batch.column(0).to_numpy(), batch.column(1)
@@ -283,6 +287,7 @@ def families(signed: DataFrame) -> DataFrame:
             every = np.frombuffer(b"".join(sigs.to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.repeat(node, count), size)), pa.array(np.repeat(tag, size))], names=["sig", "node", "tag"])
 
+    @tidy
     def shared(batches):
         """The rows, sorted by signature and node, of signatures that two nodes have; one row is held back."""
         held, follows = None, False
@@ -326,8 +331,9 @@ def block_links(rows: DataFrame, family: DataFrame, size: int, like: Likeness) -
     block = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), "blocks").cast("int")
     placed = written(family.join(counted(family, "family").filter("n > 1").drop("n"), "family").withColumn("block", block(0)), "placed")
 
+    @tidy
     def tokens_of(batches):
-        for batch in (part for whole in batches for part in slices(whole, most=2_000_000)):
+        for batch in (part for whole in batches for part in slices(whole, most=PART)):
             tokens, bounds = shingle_sets(batch.column(1), size)
             packed = pa.array([tokens[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["doc_id", "tokens"])
@@ -337,6 +343,7 @@ def block_links(rows: DataFrame, family: DataFrame, size: int, like: Likeness) -
     chosen = may.mapInArrow(tokens_of, "doc_id long, tokens binary").join(placed.hint("shuffle_hash"), "doc_id")
     chosen = written(chosen.dropDuplicates(["doc_id"]), "tokens")  # repeated rows of an id hold one set
 
+    @tidy
     def link(batches):
         """Links of each cell: its left sets with the right ones, or with one another where there is no right side; sets joined already (by ``known``) are left alone."""
         for table in groups(batches, ["family", "i", "j"]):

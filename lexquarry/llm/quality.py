@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm.wordbpe import slices, small_batches
+from lexquarry.llm.wordbpe import slices, small_batches, tidy
 
 PASSAGE = 600
 #: Bytes of text that a task encodes at a time; each takes about a hundred bytes of memory.
@@ -179,6 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_co
     share = F.when(F.col("label") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
     chosen = F.broadcast(marks.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30)))  # about 2 * per_class rows
 
+    @tidy
     def run(batches):
         for batch, x, bag in encoded(batches):
             ends = np.searchsorted(bag, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -200,6 +201,7 @@ def score_quality(docs: DataFrame, model: GatedAttention, id_col: str = "doc_id"
     """doc_id and score of every row, from its whole text alone."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    @tidy
     def run(batches):
         for batch, x, bag in encoded(batches):
             score = model.scores(x, bag, batch.num_rows)
@@ -213,6 +215,7 @@ def keep_quality(docs: DataFrame, model: GatedAttention, least: float = 0.5, tex
     """The rows of ``docs``, all columns, whose whole text scores ``least`` or more."""
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch, x, bag in encoded(batches, at):
             yield batch.filter(pa.array(model.scores(x, bag, batch.num_rows) >= least))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm.prefilter import bitmap, found, fresh, split_by_ids
-from lexquarry.llm.wordbpe import slices, small_batches
+from lexquarry.llm.wordbpe import slices, small_batches, tidy
 from lexquarry.plans.storage import drop_written, written
 
 #: Bits of the map of rows to scan: 16 MB at most; a full map only has copies scanned again.
@@ -73,6 +73,7 @@ def scan_blobs(rows: DataFrame, rules: tuple[Rule, ...], wanted: np.ndarray) ->
     version, kinds = rule_version(rules), [r.kind for r in rules]
     sent = rows.sparkSession.sparkContext.broadcast(wanted)
 
+    @tidy
     def run(batches):
         scan, seen = scanner(rules), set()
         item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -145,6 +146,7 @@ def redact_secrets(docs: DataFrame, ledger: DataFrame, text_col: str = "text", m
             done = max(done, span["end"])
         return "".join(out) + text[done:]
 
+    @tidy
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text_col))):
             spans = batch.column(batch.schema.get_field_index(spans_of)).to_pylist()
