@@ -57,6 +57,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _wide(spark, sf_dir, name)
     sql = VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
+    if name == "judgments":  # orders are few bytes of input and much text: one small file would be one task
+        tables["orders"] = spread(tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), "o_orderkey")
     return spark.sql(sql, **tables)
 
 
