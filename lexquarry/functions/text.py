@@ -1,4 +1,4 @@
-"""Text columns: cleaning, tokens, keys and small scalar rules.  All built-in expressions."""
+"""Text columns: cleaning, tokens, keys and small scalar rules.  All built-in expressions, but for what tasks on bytes share with them."""
 
 from __future__ import annotations
 
@@ -117,6 +117,15 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike(r"^\d+$"))
 
 
+_KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789-/"
+_TERM_BYTES = bytes.maketrans(bytes(range(256)), bytes(b if b in _KEPT else b + 32 if 65 <= b <= 90 else 32 for b in range(256)))
+
+
+def term_bytes(text: bytes) -> list[bytes]:
+    """For use inside tasks: the words that :func:`tokens` chooses from, of a text in UTF-8; two letters outside ASCII have one of ASCII as lower case."""
+    return text.replace(b"\xc4\xb0", b"i ").replace(b"\xe2\x84\xaa", b"k").translate(_TERM_BYTES).split()
+
+
 def raw_length(text: Column) -> Column:
     """White-space separated words."""
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

@@ -17,8 +17,10 @@ only documents whose bound reaches the score are scored in full.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
+from lexquarry.functions.batches import bounded
 from lexquarry.plans.storage import shared_dir, width, written
 
 K1, B = 1.5, 0.75
@@ -54,23 +57,31 @@ class Index:
 
 
 def counted_terms(docs: DataFrame, key: str) -> DataFrame:
-    """(key, raw, length, terms, counts) of every document: distinct terms with their counts, in one pass."""
-    split = docs.select(key, T.raw_length(F.col("text")).alias("raw"), T.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    """(key, raw, length, terms, counts) of every document: distinct terms with their counts, in one pass.
 
-    def count(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = lists.flatten().dictionary_encode()
-            width = max(len(coded.dictionary), 1)
-            cell, n = np.unique(np.repeat(np.arange(batch.num_rows), size) * width + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-            ends = pa.array(np.searchsorted(cell // width, np.arange(batch.num_rows + 1)).astype(np.int32))
-            names = coded.dictionary.take(pa.array(cell % width))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(n))], names=["key", "raw", "length", "terms", "counts"]
-            )
+    The terms are those of :func:`text.tokens` and ``raw`` is :func:`text.raw_length`, made from the bytes of a few
+    megabytes of texts at a time: whether a word is a term is asked once for each distinct one.
+    """
 
-    return split.mapInArrow(count, f"key {dict(docs.dtypes)[key]}, raw int, length long, terms array<string>, counts array<long>")
+    def count(batches):
+        for batch in (part for whole in batches for part in bounded(whole)):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            words = [T.term_bytes(t or b"") for t in texts]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            at = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
+            term = np.fromiter((len(w) > 1 and not w.isdigit() for w in number), bool, len(number))
+            row, held = np.repeat(np.arange(len(words)), size), term[at]
+            row, at, width = row[held], at[held], max(len(number), 1)
+            cell, n = np.unique(row * width + at, return_counts=True)
+            ends = pa.array(np.searchsorted(cell // width, np.arange(len(words) + 1)).astype(np.int32))
+            names = pa.array(list(number), pa.binary()).cast(pa.string()).take(pa.array(cell % width))
+            raw = pa.array([None if t is None else len(t.split()) for t in texts], pa.int32())
+            length = pa.array(np.bincount(row, minlength=len(words)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, length, pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(n))], names=["key", "raw", "length", "terms", "counts"])
+
+    return docs.select(key, "text").mapInArrow(count, f"key {dict(docs.dtypes)[key]}, raw int, length long, terms array<string>, counts array<long>")
 
 
 def impact_blocks(postings: DataFrame, kind: str) -> DataFrame:
