@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions import text as T
 from lexquarry.operators.containment import GramIndex, containing
 from lexquarry.operators.lexical import bm25
+from lexquarry.plans.storage import written
 
 # Cue words of each intent in declared order, and the weight of each retriever for it.
 INTENTS = {
@@ -98,10 +99,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "type"))
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame, each: int = 5) -> DataFrame:
-    """Up to ``each`` neighbours of every seed section, undirected."""
+def neighbours(seeds: DataFrame, edges: DataFrame, each: int = 5, few: bool = False) -> DataFrame:
+    """Up to ``each`` neighbours of every seed section, undirected.
+
+    With ``few`` seeds, a small table that is read back, Spark asks for them in what ``edges`` are made of, so only their edges are made.
+    """
     order = Window.partitionBy("section_id").orderBy("b", "type")
-    hits = seeds.join(both_ways(edges), F.col("section_id") == F.col("a")).withColumn("n", F.row_number().over(order))
+    pairs = both_ways(edges)
+    if few:
+        pairs = pairs.join(seeds.select(F.col("section_id").alias("a")).distinct(), "a", "left_semi")
+    hits = seeds.join(pairs, F.col("section_id") == F.col("a")).withColumn("n", F.row_number().over(order))
     return hits.filter(F.col("n") <= each).select("section_id", F.col("b").alias("neighbour"), "type")
 
 
@@ -117,9 +124,10 @@ def graph_hits(queries: DataFrame, sections: DataFrame, edges: DataFrame | None
     A query that names no section is answered by :func:`section_text_hits`.
     """
     found = section_lookup(numbers_asked(queries), sections).select("query_id", "number", "section_id", F.format_string("Section %s: %s\n%s", "section_number", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    found = written(found, "named")  # a few rows a query
     rows = found.withColumns({"near": F.lit(0), "other": F.col("section_id")})
-    if edges is not None:
-        near = neighbours(found.select("section_id").distinct(), edges)
+    if edges is not None and not found.isEmpty():
+        near = neighbours(found.select("section_id").distinct(), edges, few=True)
         named = sections.select(F.col("section_id").alias("neighbour"), F.format_string("Related: Section %s (%s): %s\nRelationship: ", "section_number", F.coalesce("act", F.lit("")), F.coalesce("title", F.lit(""))).alias("said"))
         near = near.join(named, "neighbour").select(F.col("section_id").alias("of"), "neighbour", F.concat("said", "type").alias("said"))
         rows = rows.unionByName(found.join(near, F.col("section_id") == F.col("of")).select("query_id", "number", "section_id", F.col("said").alias("text"), F.lit(1).alias("near"), F.col("neighbour").alias("other")))
@@ -243,7 +251,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, sections: DataFrame, vect
         docs = docs.filter(F.col(column) == value)
     asked = queries.select("query_id", F.trim("text").alias("text")).withColumn("intent", detect_intent(F.col("text")))
     queries = asked.select("query_id", "text")
-    lexical = bm25(docs, queries, 2 * k).join(docs.select("doc_id", "text"), "doc_id")
+    lexical = written(bm25(docs, queries, 2 * k), "lexical").join(docs.select("doc_id", "text"), "doc_id")  # few rows: the texts stay where they are
     lexical = lexical.select("query_id", F.concat(F.lit("doc:"), "doc_id").alias("doc_key"), "text", "score", "rank", F.lit("keyword").alias("retriever"))
     cited = citation_hits(queries, sections, k).select("query_id", F.concat(F.lit("sec:"), F.coalesce(F.col("section_id").cast("string"), "text")).alias("doc_key"), "text", "score", "rank", "retriever")
     graph = graph_hits(queries, sections, edges, 2 * k).select("query_id", F.concat(F.lit("sec:"), "section_id").alias("doc_key"), "text", "score", "rank", F.lit("kg").alias("retriever"))

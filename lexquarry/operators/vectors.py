@@ -295,7 +295,9 @@ def text_hits(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
     """V09 over texts: (query_id, doc_key, text, score, rank) of the chunks (doc_key, text, embedding) nearest to each query (query_id, text); the best chunk of a document counts."""
     points = chunks.withColumn("vec_id", F.xxhash64("doc_key", "text"))
     asked = embed(queries.select("query_id", "text"), prefix=QUERY_PREFIX).select("query_id", "embedding")
-    hits = top_k(points, asked, k).join(points.select("vec_id", "doc_key", "text").dropDuplicates(["vec_id"]), "vec_id")
+    hits = written(top_k(points, asked, k), "nearest")  # ``k`` rows a query: of the texts only theirs are shuffled
+    named = points.select("vec_id", "doc_key", "text").join(hits.select("vec_id").distinct(), "vec_id", "left_semi")
+    hits = hits.join(named.dropDuplicates(["vec_id"]), "vec_id")
     best = Window.partitionBy("query_id", "doc_key").orderBy("rank")
     return hits.withColumn("n", F.row_number().over(best)).filter("n = 1").select("query_id", "doc_key", "text", "score", "rank")
 
