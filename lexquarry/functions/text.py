@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -146,16 +147,35 @@ def sentences(text: Column, longer_than: int) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?\n]"), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that it uses several times, made once a row."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def either(first: Column, *more: Column) -> Column:
+    """Whether one of some conditions holds."""
+    return reduce(lambda a, b: a | b, more, first)
+
+
+def holds(text: Column, *words: str) -> Column:
+    """Whether a text holds one of some words."""
+    return either(*map(text.contains, words))
+
+
 def found(value: Column, inferred: Column | None = None) -> Column:
     """A {value, status} field: extracted, else inferred, else not found."""
     other = F.lit(None).cast("string") if inferred is None else inferred
-    status = F.when(value.isNotNull(), "extracted").when(other.isNotNull(), "inferred").otherwise("not_found")
-    return F.struct(F.coalesce(value, other).alias("value"), status.alias("status"))
+
+    def field(of: Column) -> Column:
+        status = F.when(of["v"].isNotNull(), "extracted").when(of["o"].isNotNull(), "inferred").otherwise("not_found")
+        return F.struct(F.coalesce(of["v"], of["o"]).alias("value"), status.alias("status"))
+
+    return let(F.struct(value.alias("v"), other.alias("o")), field)
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """A pattern's first match, null when there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda m: F.when(m != "", m))
 
 
 def all_matches(text: Column, *patterns: str, group: int = 0) -> Column:
