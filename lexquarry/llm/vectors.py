@@ -2,8 +2,10 @@
 
 Equal vectors form one class first.  Centroids are fitted on a bounded sample;
 every class is assigned to its nearest cell, and also visits each cell of a lower number that a
-vector within the threshold of it could belong to, so every link is found in one cell.  Within
-a cell and label, blocks are compared by cosine products in double precision.
+vector within the threshold of it could belong to, so every link is found in one cell.  There are as many cells
+as send the fewest rows to blocks, by the visits of the sample: where all vectors visit most cells, few or one.
+Within a cell and label, blocks are compared by cosine products in double precision.  All pairs of blocks
+of a cell meet, so what is sent grows with the square of a cell; it goes in rounds of about the table's size, each freed before the next.
 Links leave a block as counts and a forest; components name the groups and
 the least id of each is kept.
 """
@@ -17,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.functions.batches import bounded
 from lexquarry.llm.components import Forest, components, groups
-from lexquarry.plans.storage import written
+from lexquarry.plans.storage import drop_written, width, written
 
-#: Vectors of one side of a block, on average; of the k-means sample; a cell has at least so many of the sample.
+#: Vectors of one side of a block, on average, in small cells; of the k-means sample; a cell has at least so many of the sample.
 BLOCK, SAMPLE, LEAST = 1024, 16_384, 8
+#: Bytes of one side of the largest blocks; vectors of either side that are multiplied at a time.
+SIDE, TILE = 2 << 20, 1024
+#: Rows that a round sends to blocks at least.
+ROUND = 400_000
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -51,6 +58,40 @@ def cells_of(x: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.ndarr
     return row, cell, cell == own[row]
 
 
+def block_size(cell: float, wide: int) -> int:
+    """Vectors of one side of a block of a cell of so many: a quarter of them, within bounds."""
+    return int(max(BLOCK, min(SIDE // (4 * max(1, wide)), cell // 4)))
+
+
+def fitted_cells(x: np.ndarray, largest: int, reach: float) -> np.ndarray:
+    """The centroids, of several numbers of them, with which the fewest rows go to blocks: a row's visits times the blocks of a cell."""
+    some, best, least = x[:4096], None, math.inf
+    k = max(1, min(len(x) // LEAST, -(-largest // BLOCK)))
+    while True:
+        centers = spherical_kmeans(x, k)
+        visits = len(cells_of(some, centers, reach)[0]) / len(some)
+        cell = largest * visits / k
+        sent = visits * max(1.0, cell / block_size(cell, x.shape[1]))
+        if sent < least:
+            best, least = centers, sent
+        if k == 1:
+            return best
+        k = max(1, k // 8)
+
+
+def join_all(forest: Forest, a: np.ndarray, b: np.ndarray) -> None:
+    """Join all pairs; of many pairs each b's first one, then those that are still apart."""
+    while len(a):
+        first = np.unique(b, return_index=True)[1] if len(a) > 1000 else np.arange(len(a))
+        for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+            forest.join(x, y)
+        if len(first) == len(a):
+            return
+        root = forest.roots()
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+
+
 def near_vectors(
     table: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -62,7 +103,9 @@ def near_vectors(
     that link with each other.  An empty table gives an empty result; other columns are ignored.
     """
     spark = table.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
+    narrow = table.schema[vector_col].dataType.simpleString() == "array<float>"  # kept so: half the bytes, the same numbers
+    vector = F.col(vector_col) if narrow else F.col(vector_col).cast("array<double>")
+    kept = np.float32 if narrow else np.float64
     rows = table.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), vector.alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & sound, F.lit(False))
@@ -82,60 +125,67 @@ def near_vectors(
             x = np.ones((1, wide))
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centers = spherical_kmeans(x, max(1, min(len(x) // LEAST, -(-largest // BLOCK))))
+        centers = fitted_cells(x, largest, reach)
+
+    def unit_rows(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        x = x / np.abs(x).max(1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def visit(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole)):
             v = batch.column(batch.schema.get_field_index("v"))
             sizes = np.array([len(a) for a in v])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = np.asarray(v.take(pa.array(at)).flatten(), np.float64).reshape(-1, size)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.asarray(v.take(pa.array(at)).flatten(), kept).reshape(-1, size)
                 if size == wide:
-                    row, cell, own = cells_of(x, centers, reach)
+                    row, cell, own = cells_of(unit_rows(x), centers, reach)
                 else:  # vectors of another length share one cell of their own
                     row, cell, own = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
                 taken = batch.take(pa.array(at[row]))
                 yield pa.RecordBatch.from_arrays(
                     [*(taken.column(k) for k in ("label", "rep", "copies")), pa.array(np.full(len(row), size)), pa.array(cell), pa.array(own), pa.array([u.tobytes() for u in x[row]], pa.binary())],
-                    names=["label", "rep", "copies", "size", "cell", "own", "unit"],
+                    names=["label", "rep", "copies", "size", "cell", "own", "raw"],
                 )
 
     label_type = dict(classes.dtypes)["label"]
-    visits = classes.mapInArrow(visit, f"label {label_type}, rep long, copies long, size long, cell long, own boolean, unit binary")
+    visits = classes.mapInArrow(visit, f"label {label_type}, rep long, copies long, size long, cell long, own boolean, raw binary")
     visits = written(visits.withColumn("label", F.col("label").cast("string")), "visits")
     place = ["label", "size", "cell"]
-    blocks = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sized = visits.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.floor(F.lit(SIDE) / (4 * F.col("size"))))
+    side = F.greatest(F.lit(BLOCK), F.least("most", F.floor(F.col("n") / 4)))  # as block_size
+    blocks = written(sized.select(*place, "n", F.ceil(F.col("n") / side).cast("int").alias("blocks")), "blocks")
+    rows, sent = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()
+    rounds = max(1, -(-sent // max(rows, ROUND)))
     spread = (
-        visits.join(blocks, place)
+        visits.join(blocks.drop("n"), place)
         .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*place, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "own", "unit")
+        .select(*place, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "own", "raw")
     )
 
     def compare(batches):
         for table in groups(batches, [*place, "i", "j"]):
             rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
             own, first = table.column("own").to_numpy(), table.column("block").to_numpy() == table.column("i")[0].as_py()
-            x = np.stack([np.frombuffer(u.as_buffer(), np.float64) for u in table.column("unit")])
+            x = unit_rows(np.stack([np.frombuffer(u.as_buffer(), kept) for u in table.column("raw")]))
             same = table.column("i")[0] == table.column("j")[0]
             order = np.argsort(~first, kind="stable")
             rep, copies, own, x, n = rep[order], copies[order], own[order], x[order], int(first.sum())
-            left, right = (slice(0, n), slice(0, n)) if same else (slice(0, n), slice(n, len(rep)))
-            linked = x[left] @ x[right].T >= threshold
-            if same:
-                np.fill_diagonal(linked, False)
-            linked &= own[left][:, None] | own[right][None, :]
-            count = np.zeros(len(rep), np.int64)
-            count[left] += linked @ copies[right]
-            if not same:
-                count[right] += linked.T @ copies[left]
-            forest = Forest(len(rep))
-            shift = 0 if same else n
-            for a, b in zip(*np.nonzero(np.triu(linked) if same else linked), strict=True):
-                forest.join(int(a), int(b) + shift)
+            count, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
+            for a in range(0, n, TILE):
+                left = slice(a, min(n, a + TILE))
+                for b in range(a if same else n, len(rep), TILE):
+                    right = slice(b, min(len(rep), b + TILE))
+                    linked = x[left] @ x[right].T >= threshold
+                    linked &= own[left][:, None] | own[right][None, :]
+                    if same and a == b:
+                        linked = np.triu(linked, 1)  # each pair once
+                    one, two = np.nonzero(linked)
+                    np.add.at(count, one + a, copies[two + b])
+                    np.add.at(count, two + b, copies[one + a])
+                    join_all(forest, one + a, two + b)
             root = forest.roots()
             some = np.flatnonzero((count > 0) | (root != np.arange(len(rep))))
             yield pa.RecordBatch.from_arrays(
@@ -143,7 +193,12 @@ def near_vectors(
             )
 
     keys = [*place, "i", "j"]
-    found = written(spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, n long"), "near")
+    found = None
+    for n in range(rounds):
+        dealt = spread.filter(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == n).repartition(width(spark, 16), *keys)
+        part = written(dealt.sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, n long"), "near")
+        found = part if found is None else found.unionByName(part)
+    drop_written(visits, blocks)
     counts = found.groupBy("a").agg(F.sum("n").alias("near"))
     named = (
         classes.join(components(found.select("a", "b")).withColumnRenamed("node", "rep"), "rep", "left")
