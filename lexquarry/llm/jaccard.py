@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, reduce
 from itertools import combinations
 from math import ceil, floor
 
@@ -35,7 +35,7 @@ from lexquarry.llm.components import Forest, components, groups
 from lexquarry.llm.prefilter import split_by_ids
 from lexquarry.llm.shingles import mixed, shingle_sets
 from lexquarry.llm.wordbpe import ranges, slices, small_batches, tidy
-from lexquarry.plans.storage import drop_written, written
+from lexquarry.plans.storage import drop_written, written, written_bytes
 
 #: Sets and tokens that one side of a block holds at most, on average.
 BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
@@ -45,6 +45,10 @@ GROUP = 16
 SEEDS = 4
 #: Bytes of text that a task makes sets of at a time.
 PART = 1_000_000
+#: Signatures are shuffled in rounds, one for so many bytes of them, in as many as this at most: a round is a part of all, whatever the input.
+ROUND_BYTES, ROUNDS = 32 << 20, 4
+#: Bytes of a signature that are kept; those that agree by chance only make a family larger.
+KEPT = 6
 
 
 @dataclass(frozen=True)
@@ -255,17 +259,21 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fractio
             cut[1:] = (tag[1:] != tag[:-1]) | (owner[1:] != owner[:-1])
             cut = np.flatnonzero(cut)
             ends = np.append(cut[1:], len(tag))
+            short = signature.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
             kinds: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for n, t, a, e in zip(some[owner[cut]].tolist(), tag[cut].tolist(), cut.tolist(), ends.tolist(), strict=True):
-                kinds[n].append({"tag": t, "sigs": signature[a:e].tobytes()})
+                kinds[n].append({"tag": t, "sigs": short[a:e].tobytes()})
             signed = pa.array(kinds, pa.list_(pa.struct([("tag", pa.int32()), ("sigs", pa.binary())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *map(pa.array, digest), signed], names=["doc_id", "n_shingles", "h1", "h2", "signed"])
 
     schema = "doc_id long, n_shingles long, h1 long, h2 long, signed array<struct<tag:int,sigs:binary>>"
     made = written(rows.mapInArrow(measure, schema), "sets")
-    sets, key = made.drop("signed"), ["n_shingles", "h1", "h2"]
+    key = ["n_shingles", "h1", "h2"]
+    sets = written(made.drop("signed"), "shapes")
     classes = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    family = families(made.filter("doc_id is not null and size(signed) > 0").select("h1", "signed"))
+    rounds = min(ROUNDS, -(-written_bytes(made) // ROUND_BYTES))
+    family = families(made.filter("doc_id is not null and size(signed) > 0").select("h1", "signed"), max(1, rounds))
+    drop_written(made)  # by far the largest table of the join
     placed = written(family.withColumnRenamed("node", "h1").join(classes, "h1").select(F.col("rep").alias("doc_id"), "n_shingles", F.col("component").alias("family")), "families")
     near = components(block_links(rows, placed, size, like))
     named = classes.join(near.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
@@ -273,18 +281,33 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: Fraction = Fractio
     return sets.join(written(named, "named"), key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def families(signed: DataFrame) -> DataFrame:
-    """(node, component) of the digests ``h1`` whose sets may be linked with another one."""
+def families(signed: DataFrame, rounds: int = 1) -> DataFrame:
+    """(node, component) of the digests ``h1`` whose sets may be linked with another one.
+
+    Most signatures are of one set alone; each round shuffles a share of all and keeps those that two sets have.
+    """
+
+    def spelled(round_: int):
+        @tidy
+        def run(batches):
+            for rows in spell(batches):
+                if rounds > 1:
+                    rows = rows.filter(pa.array(rows.column(0).to_numpy().view(np.uint64) % np.uint64(rounds) == round_))
+                yield rows
+
+        return run
 
-    @tidy
     def spell(batches):
         for batch in batches:
             node, kinds = batch.column(0).to_numpy(), batch.column(1)
             flat = kinds.flatten()
             count = pc.list_value_length(kinds).to_numpy(zero_copy_only=False)
             tag, sigs = flat.field(0).to_numpy(), flat.field(1)
-            size = pc.binary_length(sigs).to_numpy() // 8
-            every = np.frombuffer(b"".join(sigs.to_pylist()), np.int64)
+            size = pc.binary_length(sigs).to_numpy() // KEPT
+            short = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, KEPT)
+            every = np.zeros((len(short), 8), np.uint8)
+            every[:, :KEPT] = short
+            every = every.view("<i8").ravel()
             yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.repeat(node, count), size)), pa.array(np.repeat(tag, size))], names=["sig", "node", "tag"])
 
     @tidy
@@ -309,12 +332,15 @@ def families(signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(held, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["sig", "node", "tag"])
 
     rows = "sig long, node long, tag int"
-    live = signed.mapInArrow(spell, rows).repartition("sig").sortWithinPartitions("sig", "node")
-    live = written(live.mapInArrow(shared, rows), "shared")
+    parts = []
+    for n in range(rounds):
+        live = signed.mapInArrow(spelled(n), rows).repartition("sig").sortWithinPartitions("sig", "node")
+        parts.append(written(live.mapInArrow(shared, rows), "shared"))
+    live = reduce(DataFrame.unionByName, parts)
     # Narrow sides are written, so that AQE can split hot signatures.
     enough = written(live.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("tag").bitwiseAND(255)).drop("n"), "enough")
     kept = written(live.join(enough, ["node", "tag"], "left_semi").select("sig", "node"), "kept")
-    drop_written(live, enough)
+    drop_written(*parts, enough)
     lead = written(kept.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").drop("last"), "leads")
     live = kept.join(lead, "sig")
     return components(live.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
